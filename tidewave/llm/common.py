@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BENCHMARK, DOCUMENTS, EMBEDDINGS, LABELS, PAGES = "benchmark", "documents", "embeddings", "labels", "pages"
 
@@ -29,3 +30,36 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+SALTS = 32
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, id_col: str) -> DataFrame:
+    """Left join of ``rows`` with ``table``, which has one row per ``key``, where one key may own a third of all rows.
+
+    The table's row of a key is copied once for each salt the key's rows have (``SALTS`` at most), never once a row.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(SALTS)))
+    keys = salted.select(key, "_salt").distinct()
+    return salted.join(keys.join(table, key), [key, "_salt"], "left").drop("_salt")
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label): the least ``rank`` (ties: node) reachable over ``links(a, b)``, by minimum labels and pointer jumps.
+
+    ``nodes`` has (node, rank), ``rank`` not null. Labels of more distant nodes double their reach every round. Each round is cut.
+    """
+    both = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    linked = both.select(F.col("a").alias("node")).distinct()
+    labels = cut(nodes.join(linked, "node").select("node", F.struct("rank", "node").alias("label")))
+    while True:
+        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(seen, "node").select("node", F.least("label", "near").alias("new"), "label")
+        roots = labels.select(F.col("node").alias("root"), F.col("label").alias("jump"))
+        step = step.withColumn("root", F.col("new.node")).join(roots, "root").select("node", F.least("new", "jump").alias("label"), (F.least("new", "jump") != F.col("label")).alias("moved"))
+        step = cut(step)
+        moved = step.filter("moved").limit(1).count()
+        labels = step.select("node", "label")
+        if not moved:
+            return labels.select("node", F.col("label.rank").alias("label"))
