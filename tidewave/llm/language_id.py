@@ -65,7 +65,7 @@ class Filter:
     @staticmethod
     def _places(gram: np.ndarray, m: int):
         for k in range(HASHES):
-            yield (_mix(gram + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)) & np.uint64(m - 1)).astype(np.int64)
+            yield (_mix(gram + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) & np.uint64(m - 1)).astype(np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         g = grams(text)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, packing, sharding, simhash, token_counts
-from .common import BENCHMARK, DOCUMENTS, read
+from . import decontamination, html_extraction, language_id, line_dedup, neighbours, packing, quality, sharding, simhash, token_counts
+from .common import BENCHMARK, DOCUMENTS, EMBEDDINGS, LABELS, PAGES, read
 
 
 def vocabulary_path() -> str:
@@ -42,9 +42,24 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, DOCUMENTS)).drop("_row")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, EMBEDDINGS))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, DOCUMENTS))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_decontamination, op4_best_fit_packing, op5_simhash, op6_line_dedup, op8_sharding)}
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(read(spark, sf_dir, PAGES)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(read(spark, sf_dir, DOCUMENTS), read(spark, sf_dir, LABELS))
+
+
+QUERIES = {f.__name__: f for f in (
+        op1_token_counts, op2_language_id, op3_decontamination, op4_best_fit_packing, op5_simhash, op6_line_dedup, op7_nearest_neighbours, op8_sharding,
+        op9_html_extraction, op10_quality_resampling,
+    )}
 ORACLE_SQL: dict[str, str] = {}
