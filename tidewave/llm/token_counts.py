@@ -241,12 +241,12 @@ class Transducer:
         waiting = np.flatnonzero(head)
         none = np.zeros_like(reset)
         while len(waiting):
-            ready = waiting[exits[waiting - 1] > 0]
+            known = exits[waiting - 1] > 0
+            ready, waiting = waiting[known], waiting[~known]
             out, count = self.run(cols[:, ready], none[:, : len(ready)], head[ready], exits[ready - 1])
             total[ready] += count
             whole = head[ready] == length[ready]
             exits[ready[whole]] = out[whole]
-            waiting = waiting[exits[waiting - 1] == 0] if len(ready) < len(waiting) else waiting[:0]
         return np.bincount(text_of, weights=total, minlength=len(texts)).astype(np.int64)
 
 
