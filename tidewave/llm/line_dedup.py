@@ -90,10 +90,12 @@ def dedup_lines(docs: DataFrame, *, jaccard: float = JACCARD, least_words: int =
     docs = docs.select("_row", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = _lines(docs).filter(F.size("words") >= least_words)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("_row").alias("row"), F.col("line_no").alias("line"))
-    lines = lines.select("_row", "line_no", "words", place.alias("place"), F.unhex(F.md5(F.array_join(F.array_sort("words"), " "))).alias("key"))
-    salted = lines.groupBy("key", F.pmod(F.xxhash64("_row", "line_no"), F.lit(SALTS)).alias("s")).agg(F.min("place").alias("first"), F.any_value("words").alias("words"))
-    sets = cut(salted.groupBy("key").agg(F.min("first").alias("first"), F.any_value("words").alias("words")))
-    pairs = similar_sets(sets, jaccard)
+    lines = lines.select("_row", "line_no", F.array_join(F.array_sort("words"), " ").alias("line"), place.alias("place"))
+    lines = lines.withColumn("key", F.unhex(F.md5(F.encode("line", "UTF-8"))))
+    salted = lines.groupBy("key", F.pmod(F.xxhash64("_row", "line_no"), F.lit(SALTS)).alias("s")).agg(F.min("place").alias("first"), F.any_value("line").alias("line"))
+    # Lines travel as text: arrays of words take several times the room in a shuffle.
+    sets = cut(salted.groupBy("key").agg(F.min("first").alias("first"), F.any_value("line").alias("line")))
+    pairs = similar_sets(sets.select("key", F.split("line", " ").alias("words")), jaccard)
     firsts = sets.select("key", "first")
     both = pairs.union(pairs.select("b", "a")).toDF("key", "other")
     near = both.join(firsts.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("first").alias("near"))
