@@ -28,6 +28,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with ``_row``, a number that tells rows apart and is the same whenever it is computed; a given one is kept.
+
+    Rows read from files or a checkpoint always come in the same order; behind a shuffle they do not, so such rows are cut first.
+    """
+    if "_row" in df.columns:
+        return df
+    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    out = df.withColumn("_row", F.monotonically_increasing_id())
+    return cut(out) if "Exchange" in plan or "Map" in plan or "Sample" in plan else out
+
+
+#: The most bytes a side of a join may take to be broadcast; a larger side is shuffled.
+BROADCAST_BYTES = 16 << 20
+
+
+def sized(df: DataFrame, size) -> DataFrame:
+    """``df``, cut, and marked for broadcast only if ``size`` (estimated bytes of a row, a column) sums to ``BROADCAST_BYTES`` or less."""
+    df = cut(df)
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,80 +1,161 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words. Words are ordered by rarity; two sets with Jaccard similarity t or more share a word among
-their |x| - ceil(t|x|) + 1 rarest, so only these are indexed (prefix filter). Pairs that meet there pass a length and a
-positional filter and are then verified. Equal sets are one node. Rarity comes from counts in a fixed number of hashed
-slots: any fixed order gives exact results, so collisions cost time only.
+their |x| - ceil(t|x|) + 1 rarest, so only these are indexed (prefix filter). Pairs that meet there pass a length, a
+positional and a parity filter (differing bits of 96 parities never exceed differing words) and are then verified on their
+text. Equal sets are one node, told by two 64-bit sums of word hashes. Rarity comes from counts in a fixed number of hashed
+slots, and the index names words by 32 bits: any fixed order and any merging of words only adds candidates, never loses a pair.
+
+Texts travel once, keyed by row; the index holds numbers only.
 """
 
 from __future__ import annotations
 
+from array import array
+from collections import defaultdict
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, cut, spread_join
+from .common import cut, numbered, sized
 
 JACCARD = 0.8
 #: Lines of fewer distinct words are too short to tell a copy from chance and stay.
 LEAST_WORDS = 5
-SLOTS = 1 << 20
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.select("_row", F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumn("words", F.array_distinct(F.filter(F.split(F.lower("line"), r"[\x09-\x0D ]+"), lambda w: w != "")))
-
-
-def _order(lines: DataFrame):
+SLOTS = 1 << 18
+#: Texts are parsed in chunks of about this many characters; a longer text is a chunk of its own.
+CHUNK = 4 << 20
+
+
+def words_of(line: str) -> set[bytes]:
+    """The words of a line: lower case, split at ASCII white space."""
+    return set(line.lower().encode().split())
+
+
+def _chunks(batches, least: int):
+    """(batch, row in batch, line number, words' codes flat, words a line, vocabulary) of lines with ``least`` words or more."""
+    for batch in batches:
+        size, vocabulary = 0, defaultdict()
+        vocabulary.default_factory = vocabulary.__len__
+        codes, at, numbers, sizes = array("q"), array("q"), array("i"), array("q")
+        for i, text in enumerate(batch.column("text")):
+            text = text.as_py()
+            if text is None:
+                continue
+            for no, line in enumerate(text.lower().encode().split(b"\n")):
+                words = line.split()
+                if len(words) >= least:
+                    codes.extend(map(vocabulary.__getitem__, words))
+                    at.append(i)
+                    numbers.append(no)
+                    sizes.append(len(words))
+            size += len(text)
+            if size >= CHUNK:
+                yield batch, np.array(at), np.array(numbers), np.array(codes), np.array(sizes), vocabulary
+                size, vocabulary = 0, defaultdict()
+                vocabulary.default_factory = vocabulary.__len__
+                codes, at, numbers, sizes = array("q"), array("q"), array("i"), array("q")
+        if len(at):
+            yield batch, np.array(at), np.array(numbers), np.array(codes), np.array(sizes), vocabulary
+
+
+def _hashes(vocabulary, seed: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
+
+
+def _order(docs: DataFrame, least: int):
     """Broadcast of word counts by slot (``SLOTS`` numbers at most), the rarity that orders words."""
 
     def count(batches):
-        for pdf in batches:
-            total = np.zeros(SLOTS, np.int64)
-            for words in pdf["words"]:
-                np.add.at(total, np.asarray(words, np.int64), 1)
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"slot": at, "n": total[at]})
-
-    slots = lines.select(F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS))).alias("words"))
-    counts = slots.mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+        total = np.zeros(SLOTS, np.int64)
+        for _, _, _, codes, _, vocabulary in _chunks(batches, least):
+            slots = (_hashes(vocabulary, 1) & np.uint64(SLOTS - 1)).astype(np.int64)
+            total += np.bincount(slots, np.bincount(codes, minlength=len(slots)), SLOTS).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(SLOTS, np.int64)
     table[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    return lines.sparkSession.sparkContext.broadcast(table)
-
-
-def similar_sets(sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """Pairs (a, b), a < b, of keys whose word sets have at least that Jaccard similarity. ``sets``: key (distinct), words (distinct)."""
-    held = _order(sets)
-    hashed = sets.select("key", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-
-    def index(batches):
-        table = held.value
-        for pdf in batches:
-            out = []
-            for key, hashes in zip(pdf["key"], pdf["hashes"]):
-                h = np.asarray(hashes, np.int64)
-                h = h[np.lexsort((h, table[np.mod(h, SLOTS)]))]
-                n = len(h)
-                out += [(key, int(w), i, n) for i, w in enumerate(h[: n - int(np.ceil(jaccard * n - 1e-9)) + 1])]
-            yield pd.DataFrame(out, columns=["key", "word", "place", "n"])
-
-    rows = hashed.mapInPandas(index, "key binary, word long, place int, n int")
-    rows = cut(rows)
-    often = rows.groupBy("word").agg(F.count("*").alias("c")).filter("c > 1").select("word")
-    rows = rows.join(often, "word", "left_semi")
-    x, y = (rows.select("word", *[F.col(c).alias(f"{p}_{c}") for c in ("key", "place", "n")]) for p in "xy")
+    return docs.sparkSession.sparkContext.broadcast(table)
+
+
+def _lines(docs: DataFrame, held, jaccard: float, least: int) -> DataFrame:
+    """One row a line of ``least`` distinct words or more: its place, set key (k1, k2), size n, parities and rarest words."""
+
+    def parse(batches):
+        for batch, at, numbers, codes, sizes, vocabulary in _chunks(batches, least):
+            h1, h2 = _hashes(vocabulary, 1), _hashes(vocabulary, 2)
+            short = (h1 & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            order = np.lexsort((h1, short, held.value[short & (SLOTS - 1)]))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            spread = np.repeat(np.arange(len(sizes)) * len(order), sizes) + rank[codes]
+            spread.sort()
+            spread = spread[np.concatenate(([True], spread[1:] != spread[:-1]))]
+            line, code = spread // len(order), order[spread % len(order)]
+            n = np.bincount(line, minlength=len(sizes))
+            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+            k1, k2 = np.add.reduceat(h1[code], starts).view(np.int64), np.add.reduceat(h2[code], starts).view(np.int64)
+            # Each word flips one of 96 parities, held in 64 and 32 bits.
+            bit = (h2 % np.uint64(96))[code]
+            parity = np.bitwise_xor.reduceat(np.where(bit < 64, np.left_shift(np.uint64(1), bit & np.uint64(63)), np.uint64(0)), starts).view(np.int64)
+            more = np.bitwise_xor.reduceat(np.where(bit < 64, np.uint64(0), np.left_shift(np.uint64(1), bit & np.uint64(31))), starts).astype(np.uint32).view(np.int32)
+            kept = n >= least
+            lead = (n - np.ceil(jaccard * n - 1e-9).astype(np.int64) + 1)[kept]
+            ends = np.cumsum(lead)
+            first = np.repeat(starts[kept] - (ends - lead), lead) + np.arange(ends[-1] if len(ends) else 0)
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(short[code[first]].astype(np.uint32).view(np.int32)))
+            rows = pa.array(at[kept])
+            columns = [batch.column("_row").take(rows), batch.column("doc_id").take(rows), *[pa.array(x[kept]) for x in (numbers, k1, k2, n.astype(np.int32), parity, more)], prefix]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "doc_id", "line_no", "k1", "k2", "n", "parity", "more", "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(parse, f"_row long, doc_id {kind}, line_no int, k1 long, k2 long, n int, parity long, more int, prefix array<int>")
+
+
+def _place(row: str, line: str, doc: str = "doc_id"):
+    return F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc"), F.col(row).alias("row"), F.col(line).alias("line"))
+
+
+def _candidates(sets: DataFrame, jaccard: float) -> DataFrame:
+    """Pairs (a_row, a_line, b_row, b_line) of sets that pass the prefix, length, positional and parity filters."""
+    index = sets.select("row", "line", "n", "parity", "more", F.posexplode("prefix").alias("place", "word"))
+    x, y = (index.select("word", *[F.col(c).alias(f"{p}_{c}") for c in ("row", "line", "n", "parity", "more", "place")]) for p in "xy")
+    met = x.join(y, "word").filter("x_row < y_row OR (x_row = y_row AND x_line < y_line)")
+    met = met.filter(F.least("x_n", "y_n") >= F.lit(jaccard) * F.greatest("x_n", "y_n") - 1e-9)
     need = F.ceil(F.lit(jaccard / (1 + jaccard)) * (F.col("x_n") + F.col("y_n")) - 1e-9)
-    met = x.join(y, "word").filter("x_key < y_key")
-    met = met.filter((F.least("x_n", "y_n") >= F.lit(jaccard) * F.greatest("x_n", "y_n") - 1e-9))
     # Words before either place may all be shared at best, those behind as many as the shorter rest has.
-    reach = F.least("x_place", "y_place") + 1 + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) - 1
-    pairs = met.filter(reach >= need).select(F.col("x_key").alias("a"), F.col("y_key").alias("b")).distinct()
-    words = sets.select("key", "words")
-    pairs = pairs.join(words.select(F.col("key").alias("a"), F.col("words").alias("aw")), "a").join(words.select(F.col("key").alias("b"), F.col("words").alias("bw")), "b")
-    both = F.size(F.array_intersect("aw", "bw"))
-    return pairs.filter(both >= F.lit(jaccard) * (F.size("aw") + F.size("bw") - both) - 1e-9).select("a", "b")
+    reach = F.least("x_place", "y_place") + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    # Narrow integers count their sign as 64 bits, hence the mask.
+    apart = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) + F.bit_count(F.col("x_more").bitwiseXOR(F.col("y_more")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    met = met.filter((reach >= need) & (apart <= F.col("x_n") + F.col("y_n") - 2 * need))
+    return cut(met.select(*[F.col(f"{p}_{c}").alias(f"{q}_{c}") for p, q in ("xa", "yb") for c in ("row", "line")]).distinct())
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, jaccard: float) -> DataFrame:
+    """(a, b): places of pairs whose lines reach the similarity. Only lines of candidates are taken from their documents."""
+    nodes = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{q}_row").alias("_row"), F.col(f"{q}_line").alias("line")) for q in "ab"])).alias("s")).select("s.*").distinct()
+    wanted = sized(nodes.groupBy("_row").agg(F.collect_list("line").alias("wanted")), 48 + 8 * F.size("wanted"))
+    # The outer lambda splits a text once, however many of its lines are taken.
+    taken = F.transform(F.array(F.split("text", "\n")), lambda parts: F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get(parts, i).alias("words"))))
+    lines = docs.join(wanted, "_row").select("_row", "doc_id", F.inline(taken[0])).select("_row", "line", _place("_row", "line").alias("place"), "words")
+    a, b = (lines.select(F.col("_row").alias(f"{q}_row"), F.col("line").alias(f"{q}_line"), F.col("place").alias(q), F.col("words").alias(f"{q}_words")) for q in "ab")
+    both = pairs.join(a, ["a_row", "a_line"]).join(b, ["b_row", "b_line"]).select("a", "b", "a_words", "b_words")
+
+    def check(batches):
+        for batch in batches:
+            fine = []
+            for left, right in zip(batch.column("a_words").to_pylist(), batch.column("b_words").to_pylist()):
+                left, right = words_of(left), words_of(right)
+                shared = len(left & right)
+                fine.append(shared >= jaccard * (len(left) + len(right) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    return both.mapInArrow(check, both.select("a", "b").schema)
 
 
 def dedup_lines(docs: DataFrame, *, jaccard: float = JACCARD, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,24 +166,21 @@ def dedup_lines(docs: DataFrame, *, jaccard: float = JACCARD, least_words: int =
     documents of their own, so the later ones lose their lines and keep an empty text. An empty table gives an empty result.
     ``_row`` may be given as a column that tells rows apart; otherwise it is made.
     """
-    if "_row" not in docs.columns:
-        docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    docs = docs.select("_row", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = _lines(docs).filter(F.size("words") >= least_words)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("_row").alias("row"), F.col("line_no").alias("line"))
-    lines = lines.select("_row", "line_no", F.array_join(F.array_sort("words"), " ").alias("line"), place.alias("place"))
-    lines = lines.withColumn("key", F.unhex(F.md5(F.encode("line", "UTF-8"))))
-    salted = lines.groupBy("key", F.pmod(F.xxhash64("_row", "line_no"), F.lit(SALTS)).alias("s")).agg(F.min("place").alias("first"), F.any_value("line").alias("line"))
-    # Lines travel as text: arrays of words take several times the room in a shuffle.
-    sets = cut(salted.groupBy("key").agg(F.min("first").alias("first"), F.any_value("line").alias("line")))
-    pairs = similar_sets(sets.select("key", F.split("line", " ").alias("words")), jaccard)
-    firsts = sets.select("key", "first")
-    both = pairs.union(pairs.select("b", "a")).toDF("key", "other")
-    near = both.join(firsts.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("first").alias("near"))
-    table = firsts.join(near, "key", "left").select("key", F.least("first", "near").alias("earliest"))
-    gone = spread_join(lines.select("key", "_row", "line_no", "place"), table, "key", "_row").filter(F.col("place") > F.col("earliest"))
-    gone = gone.groupBy("_row").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+    docs = numbered(docs).select("_row", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    lines = _lines(docs, _order(docs, least_words), jaccard, least_words)
+    first = F.min(F.struct(_place("_row", "line_no").alias("place"), "n", "parity", "more", "prefix")).alias("f")
+    sets = lines.groupBy("k1", "k2").agg(first, F.count("*").alias("copies"))
+    sets = cut(sets.select("k1", "k2", "copies", "f.place.doc", F.col("f.place.row").alias("row"), F.col("f.place.line").alias("line"), "f.n", "f.parity", "f.more", "f.prefix"))
+    pairs = _verified(_candidates(sets, jaccard), docs, jaccard)
+    later = pairs.select(F.greatest("a", "b").alias("place"), F.least("a", "b").alias("near"))
+    near = sized(later.groupBy(F.col("place.row").alias("row"), F.col("place.line").alias("line")).agg(F.min("near").alias("near")), F.lit(96))
+    # A line that others equal or come near to is looked up; one key may own many lines, so the table has one row a key.
+    table = sets.select("k1", "k2", "copies", _place("row", "line", "doc").alias("place"), "row", "line").join(near, ["row", "line"], "left").filter("copies > 1 OR near IS NOT NULL")
+    table = sized(table.select("k1", "k2", F.coalesce("near", "place").alias("earliest")), F.lit(96))
+    gone = lines.select("k1", "k2", "_row", "line_no", _place("_row", "line_no").alias("place")).join(table, ["k1", "k2"]).filter(F.col("place") > F.col("earliest"))
+    gone = sized(gone.groupBy("_row").agg(F.array_sort(F.collect_list("line_no")).alias("removed")), 48 + 8 * F.size("removed"))
     out = docs.join(gone, "_row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("removed"), i))
-    return out.select("_row", "doc_id", F.array_join(kept, "\n").alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.size("removed").alias("n_removed"), "removed")
+    stay = F.transform(F.array(parts), lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("removed")), lambda i: F.get(p, i)))[0]
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(stay, "\n"))
+    return out.select("_row", "doc_id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.size("removed").alias("n_removed"), "removed")
