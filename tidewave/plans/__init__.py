@@ -1 +1 @@
-"""Spatio-temporal activity analytics on Spark."""
+"""Named queries."""
