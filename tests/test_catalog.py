@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidewave.plans import events  # noqa: F401
+from tidewave.plans import events, traces  # noqa: F401
 from tidewave.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +15,7 @@ def rows(frame):
     return sorted(map(repr, (tuple(None if v != v else float(v) if isinstance(v, (int, float)) or hasattr(v, "item") and not isinstance(v, str) else v for v in r) for r in frame.itertuples(index=False, name=None))))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
     for t in TABLES:
