@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidewave.plans import events, traces  # noqa: F401
+from tidewave.plans import events, statistics, traces  # noqa: F401
 from tidewave.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

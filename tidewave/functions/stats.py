@@ -27,3 +27,27 @@ def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:
     n = F.col("n")
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("t") / (n * n * n - n))
     return total.select(F.round(h, 6).alias("h"), "n", F.col("k").alias("k"))
+
+
+def dunn(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group_a, group_b, z) of all pairs of groups, ties corrected. Only one row a group is paired."""
+    ranks = mid_ranks(rows, group, value)
+    per = ranks.groupBy(group).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mid")) / F.sum("n")).alias("m"))
+    ties = ranks.select(value, "ties").distinct().agg(F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("t"))
+    total = per.agg(F.sum("n").alias("all")).crossJoin(ties)
+    a, b = per.toDF("group_a", "na", "ma"), per.toDF("group_b", "nb", "mb")
+    pairs = a.join(b, F.col("group_a") < F.col("group_b")).crossJoin(F.broadcast(total))
+    n = F.col("all")
+    spread = (n * (n + 1) / 12 - F.col("t") / (12 * (n - 1))) * (1 / F.col("na") + 1 / F.col("nb"))
+    return pairs.select("group_a", "group_b", ((F.col("ma") - F.col("mb")) / F.sqrt(spread)).alias("z"))
+
+
+def adjust(tests: DataFrame, p: str, order: list[str]) -> DataFrame:
+    """``tests`` with p-values adjusted by Bonferroni, Sidak, Holm and Benjamini-Hochberg; one row a test, so one window holds all."""
+    n = tests.agg(F.count("*").alias("_m"))
+    ranked = tests.crossJoin(F.broadcast(n)).withColumn("_i", F.row_number().over(Window.orderBy(p, *order)))
+    at, m = F.col(p), F.col("_m")
+    holm = F.max(F.least(F.lit(1.0), (m - F.col("_i") + 1) * at)).over(Window.orderBy("_i"))
+    fdr = F.min(F.least(F.lit(1.0), m * at / F.col("_i"))).over(Window.orderBy(F.desc("_i")))
+    out = {"bonferroni": F.least(F.lit(1.0), m * at), "sidak": 1 - F.pow(1 - at, m), "holm": holm, "fdr_bh": fdr}
+    return ranked.withColumns(out).drop("_m", "_i")

@@ -95,10 +95,11 @@ def percentile_edges(spark, d):
     return w.join(F.broadcast(w.agg(F.percentile("weight", F.lit(0.9)).alias("bar"))), F.col("weight") >= F.col("bar")).drop("bar")
 
 
-@query(f"WITH {_PEAKS} SELECT cell, count(*) AS n_peaks, count(DISTINCT dataset) AS n_datasets, round(avg(height), 6) AS mean_height, max(dur) AS max_dur, round(count(*) / 720.0, 9) AS frequency FROM peaks GROUP BY cell")
+@query(f"WITH {_PEAKS} SELECT cell, count(*) AS n_peaks, count(DISTINCT dataset) AS n_datasets, round(CAST(sum(CAST(height AS DECIMAL(18, 4))) AS DOUBLE) / count(*), 6) AS mean_height, max(dur) AS max_dur, round(count(*) / 720.0, 9) AS frequency FROM peaks GROUP BY cell")
 def cell_metadata(spark, d):
-    n = F.count("*")
-    return peaks(spark, d).groupBy("cell").agg(n.alias("n_peaks"), F.countDistinct("dataset").alias("n_datasets"), F.round(F.avg("height"), 6).alias("mean_height"), F.max("dur").alias("max_dur"), F.round(n / 720.0, 9).alias("frequency"))
+    # Summed as decimals, so that the mean does not hang on the order of rows.
+    n, total = F.count("*"), F.sum(F.col("height").cast("decimal(18,4)")).cast("double")
+    return peaks(spark, d).groupBy("cell").agg(n.alias("n_peaks"), F.countDistinct("dataset").alias("n_datasets"), F.round(total / n, 6).alias("mean_height"), F.max("dur").alias("max_dur"), F.round(n / 720.0, 9).alias("frequency"))
 
 
 @query(f"WITH {_PEAKS} SELECT a.event_id AS a_id, b.event_id AS b_id, least(a.frame + a.dur, b.frame + b.dur) - greatest(a.frame, b.frame) AS shared FROM peaks a JOIN peaks b ON a.cell = b.cell AND a.event_id < b.event_id AND least(a.frame + a.dur, b.frame + b.dur) - greatest(a.frame, b.frame) >= 2")
