@@ -1,4 +1,4 @@
-"""A corpus pipeline over ``documents``: language ID, line dedup, SimHash near-dedup, benchmark decontamination, packing.
+"""A corpus pipeline over ``documents``: language ID, line dedup, near-dedup by shingle sets, benchmark decontamination, packing.
 
 Every stage keeps the columns of documents, but for the last, which returns the packed pieces. Nulls, repeated rows and
 empty tables are defined as in the operators; stages tell rows apart by a row number of their own, so repeated ids are safe.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import decontamination, language_id, line_dedup, packing, simhash
+from tidewave.llm import decontamination, language_id, line_dedup, near_copies, packing
 from tidewave.llm.common import BENCHMARK, DOCUMENTS, cut, read
 from tidewave.llm.queries import vocabulary_path
 
@@ -34,10 +34,9 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles)."""
+    """One document of each group of near copies stays: Jaccard similarity of 0.8 or more on five-word shingles."""
     rows = _numbered(docs)
-    groups = simhash.simhash_groups(rows, width=5, id_col="_row")
-    return rows.join(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_row")), "_row", "left_semi").select(docs.columns)
+    return rows.join(near_copies.representatives(rows), "_row", "left_semi").select(docs.columns)
 
 
 def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +53,12 @@ def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("language_id", stage_language),
     ("line_dedup", stage_lines),
-    ("simhash", stage_near_copies),
+    ("near_copies", stage_near_copies),
     ("decontamination", stage_benchmark),
     ("packing", stage_packing),
 ]
 
-#: Line similarity, SimHash components and tokenization have no SQL form; the tests compare with brute force.
+#: Line similarity, near-copy components and tokenization have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 

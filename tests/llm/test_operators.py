@@ -344,3 +344,49 @@ def test_pipeline(spark, odd, docs):
     pieces = corpus_pipeline.run(spark, SF).collect()
     check_packing(pieces, zip(rows[4].doc_id, rows[4].text), packing.CAPACITY)
     assert {r.doc_id for r in pieces} == set(rows[4].doc_id)
+
+
+def slow_copies(texts):
+    """Row numbers of the first of each group linked by Jaccard 0.8 on five-word shingles."""
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(range(len(sets)), 2):
+        shared = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or shared and shared >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+            lo, hi = sorted((root(a), root(b)))
+            parent[hi] = lo
+    return {i for i in range(len(sets)) if root(i) == i}
+
+
+def test_near_copies_are_those_of_brute_force(spark, odd, docs):
+    import corpus_pipeline
+    from tidewave.llm import near_copies
+
+    rng = np.random.default_rng(4)
+    texts = [None, "", "a b", "A  b", "one"]
+    for _ in range(25):
+        base = [f"w{x}" for x in rng.integers(0, 400, rng.integers(8, 120))]
+        texts.append(" ".join(base))
+        for _ in range(rng.integers(0, 8)):
+            base = list(base)
+            for at in rng.integers(0, len(base), rng.integers(0, 3)):
+                base[at] = f"x{rng.integers(0, 400)}"
+            texts.append(" ".join(base))
+    texts += list(docs.text)
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    got = [r._row for r in near_copies.representatives(rows).collect()]
+    slow = slow_copies(texts)
+    assert set(got) == slow and len(got) == len(slow) < len(set(texts)) - 20
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts[2:120])], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in corpus_pipeline.stage_near_copies(spark, frame, SF).collect()} == slow_copies(texts[2:120])
+    assert near_copies.representatives(none(spark)).count() == 0
+    assert near_copies.representatives(odd).count() == len({frozenset([]) if not words(t) else b" ".join(words(t)) for (t,) in odd.select("text").collect()})
