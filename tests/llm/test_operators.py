@@ -405,3 +405,11 @@ def test_neighbours_recall_does_not_fall_with_size(spark):
         s[q] = -2
         found += len(set(np.argsort(-s)[:5]) & set(got.vec_id[got.query_id == q]))
     assert len(got) == 800 and found / 800 >= 0.92
+
+
+def test_line_dedup_of_a_long_text_without_lines_to_join(spark):
+    blob = "x" * (line_dedup.CHUNK + 1)
+    line = "a line of six plain words"
+    rows = [(0, blob), (1, line), (2, blob.replace("x", "y\n", 9)), (3, line)]
+    out = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert out == {0: (blob, 0), 1: (line, 0), 2: (rows[2][1], 0), 3: ("", 1)}

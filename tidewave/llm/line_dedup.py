@@ -54,7 +54,8 @@ def _chunks(batches, least: int):
                     sizes.append(len(words))
             size += len(text)
             if size >= CHUNK:
-                yield batch, np.array(at), np.array(numbers), np.array(codes), np.array(sizes), vocabulary
+                if len(at):
+                    yield batch, np.array(at), np.array(numbers), np.array(codes), np.array(sizes), vocabulary
                 size, vocabulary = 0, defaultdict()
                 vocabulary.default_factory = vocabulary.__len__
                 codes, at, numbers, sizes = array("q"), array("q"), array("i"), array("q")
