@@ -413,3 +413,17 @@ def test_line_dedup_of_a_long_text_without_lines_to_join(spark):
     rows = [(0, blob), (1, line), (2, blob.replace("x", "y\n", 9)), (3, line)]
     out = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
     assert out == {0: (blob, 0), 1: (line, 0), 2: (rows[2][1], 0), 3: ("", 1)}
+
+
+def texts_of(spark, pages):
+    rows = [(i, "http://h.example/x", p) for i, p in enumerate(pages)]
+    return [r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_article_marks_are_a_prior(spark):
+    long = "a main text that is only here, number"
+    teasers = texts_of(spark, [f"<body><div class=story><p>{long} {i}</div><article class=card>Read this, too</article></body>" for i in range(6)])
+    assert teasers == [f"{long} {i}" for i in range(6)]
+    inside = texts_of(spark, [f"<body><article><p>{long} {i}</p><div class=say>All rights reserved on each page</div></article></body>" for i in range(6)])
+    assert inside == [f"{long} {i}" for i in range(6)]
+    assert texts_of(spark, [f"<body><article><p>{long}</article></body>"] * 6) == [long] * 6

@@ -1,10 +1,10 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree whose nodes are element paths (tags with their classes). A node's importance
-comes from two entropies over the host's pages: that of its presentation (the sequences of blocks seen there) and that of
-its content (a text that recurs on all pages tells nothing). Branches of low importance are removed from each page.
-Elements whose tag, role or class states that they are no article text go first, and what a page marks as its article is
-kept: the tree decides on everything else. A host's single page gives no evidence, so its nodes count as important.
+comes from two entropies over the host's distinct pages: that of its presentation (the numbers of blocks seen there) and that
+of its content (a text that recurs on all pages tells nothing). Branches of low importance are removed from each page.
+Elements whose tag or role states that they are no article text go first; the tree decides on everything else. Marks of an
+article and names of classes only raise or lower an importance. Few pages of a host give no evidence: their nodes are ``PLAIN``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import cut, spread_join
 
 THRESHOLD = 0.2
 LEAST_PAGES = 3
+#: Importance without evidence; factors of a class that states no article text and of a place outside the article a page marks; what a place inside adds.
+PLAIN, HINT, OUTSIDE, INSIDE = 0.5, 0.3, 0.6, 0.1
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = set("head title script style noscript template nav footer aside form button select textarea iframe svg canvas object dialog menu".split())
 BLOCKS = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -30,8 +32,9 @@ NO_CLASSES = SKIP | {"header", "html", "body", "article", "main"}
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, label, dropped, in the article
-        self.blocks: list[list] = []  # path, text, dropped, in the article
+        self.stack: list[tuple[str, str, bool, bool, tuple]] = []  # tag, label, dropped, in the article, hinted elements
+        self.blocks: list[list] = []  # path, text, dropped, in the article, hinted elements
+        self.hinted = 0
         self.fresh = True
 
     def _noise(self, tag: str, attrs: dict, inside: bool) -> bool:
@@ -39,10 +42,14 @@ class _Page(HTMLParser):
             return True
         if attrs.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"):
             return True
+        return False
+
+    def _hint(self, tag: str, attrs: dict) -> int:
+        """2 if a whole name states no article text, 1 if a part of one does."""
         if tag in NO_CLASSES:
-            return False
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-        return any(NOISE.match(w) for name in names.split() for w in {name, *re.split(r"[-_]+", name)})
+            return 0
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
+        return 2 if any(map(NOISE.match, names)) else int(any(NOISE.match(w) for name in names for w in re.split(r"[-_]+", name)))
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
@@ -60,10 +67,13 @@ class _Page(HTMLParser):
         if tag in VOID:
             return
         attrs = dict(attrs)
-        dropped, inside = self.stack[-1][2:] if self.stack else (False, False)
+        dropped, inside, hints = self.stack[-1][2:] if self.stack else (False, False, ())
+        if strength := self._hint(tag, attrs):
+            self.hinted += 1
+            hints = (*hints, (self.hinted, strength))
         here = inside or tag in ("article", "main") or attrs.get("role") == "main"
         label = ".".join([tag, *sorted((attrs.get("class") or "").split())])
-        self.stack.append((tag, label, dropped or self._noise(tag, attrs, inside), here))
+        self.stack.append((tag, label, dropped or self._noise(tag, attrs, inside), here, hints))
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
@@ -77,38 +87,44 @@ class _Page(HTMLParser):
         self._add(data)
 
     def _add(self, data):
-        dropped, inside = self.stack[-1][2:] if self.stack else (False, False)
-        if self.fresh or not self.blocks:
+        dropped, inside, hints = self.stack[-1][2:] if self.stack else (False, False, ())
+        # A run of text that is dropped, hinted or in the article otherwise than the block so far is a block of its own; dropped inline text only leaves the block.
+        other = self.blocks and not self.fresh and (self.blocks[-1][2:] != [dropped, inside, hints]) and not dropped
+        if self.fresh or not self.blocks or other:
             if not data.strip():
                 return
             path = "/".join(label for tag, label, *_ in self.stack if tag in BLOCKS)
-            self.blocks.append([path, "", dropped, inside])
+            self.blocks.append([path, "", dropped, inside, hints])
             self.fresh = False
-        if not dropped:
-            self.blocks[-1][1] += data
-        elif self.blocks[-1][2]:
+        if not dropped or self.blocks[-1][2]:
             self.blocks[-1][1] += data
 
 
-def blocks_of(html: str | None) -> list[tuple[str, str, str]]:
-    """(path, text, state) of each block: ``no`` stated not to be article text, ``yes`` in the article, ``ask`` left to the tree."""
+def blocks_of(html: str | None) -> list[tuple[str, str, str, bool]]:
+    """(path, text, state, hint) of each block: ``no`` dropped by tag or role, else ``in`` or ``out`` of a marked article, or ``ask``.
+
+    ``hint``: a class or id of an element around it states no article text. A part of a name
+    counts only if the element holds less than half of the page's text.
+    """
     page = _Page()
     page.feed(html or "")
     page.close()
-    marked = any(inside and not dropped for _, _, dropped, inside in page.blocks)
-    out = []
-    for path, text, dropped, inside in page.blocks:
-        text = " ".join(text.split())
-        if text:
-            out.append((path, text, "no" if dropped or (marked and not inside) else "yes" if inside else "ask"))
-    return out
+    blocks = [(path, text, *rest) for path, raw, *rest in page.blocks if (text := " ".join(raw.split()))]
+    live = [b for b in blocks if not b[2]]
+    marked, held = any(b[3] for b in live), {}
+    for _, text, _, _, hints in live:
+        for h in hints:
+            held[h] = held.get(h, 0) + len(text)
+    half = sum(len(b[1]) for b in live) / 2
+    return [(path, text, "no" if dropped else "in" if inside else "out" if marked else "ask", any(h[1] == 2 or held.get(h, 0) < half for h in hints)) for path, text, dropped, inside, hints in blocks]
 
 
 def importances(blocks: DataFrame) -> DataFrame:
-    """Importance of each (host, path) with at least ``LEAST_PAGES`` pages, from the merged tree. Counts are pre-aggregated."""
-    texts = blocks.groupBy("host", "path", "hash", "_row").agg(F.count("*").alias("c"))
+    """Importance of each (host, path) with at least ``LEAST_PAGES`` pages, from the merged tree. Counts are pre-aggregated; repeated pages of a host count once."""
+    texts = blocks.groupBy("host", "path", "hash", "page").agg(F.count("*").alias("c"))
     texts = texts.groupBy("host", "path", "hash").agg(F.count("*").alias("pages"))
-    looks = blocks.groupBy("host", "path", "_row").agg(F.count("*").alias("look")).groupBy("host", "path", "look").agg(F.count("*").alias("n"))
+    looks = blocks.groupBy("host", "path", "_row").agg(F.count("*").alias("look"), F.min("page").alias("page"))
+    looks = looks.groupBy("host", "path", "page").agg(F.min("look").alias("look")).groupBy("host", "path", "look").agg(F.count("*").alias("n"))
     looks = looks.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn")).filter(F.col("m") >= LEAST_PAGES)
     look = (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")
     text = texts.groupBy("host", "path").agg(F.avg(F.log("pages")).alias("spread"))
@@ -123,16 +139,20 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     An empty table gives an empty result. White space inside a block, line breaks included, becomes one space.
     """
 
-    @F.pandas_udf("array<struct<path string, text string, state string>>")
+    @F.pandas_udf("array<struct<path string, text string, state string, hint boolean>>")
     def parse(html: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("path", "text", "state"), b)) for b in blocks_of(h)] for h in html], dtype=object)
+        return pd.Series([[dict(zip(("path", "text", "state", "hint"), b)) for b in blocks_of(h)] for h in html], dtype=object)
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = cut(pages.select("page_id", "url", host.alias("host"), parse("html").alias("blocks"), F.monotonically_increasing_id().alias("_row")))
-    blocks = rows.select("_row", "host", F.posexplode("blocks").alias("at", "b")).select("_row", "host", "at", "b.path", "b.state", F.xxhash64("b.text").alias("hash"))
-    low = importances(blocks).filter(F.col("importance") < threshold).select(F.xxhash64("host", "path").alias("node"), F.lit(True).alias("low")).distinct()
-    asked = blocks.filter("state = 'ask'").select("_row", "at", F.xxhash64("host", "path").alias("node"))
-    gone = spread_join(asked, low, "node", "_row").filter("low").groupBy("_row").agg(F.collect_set("at").alias("gone"))
+    page = F.xxhash64(F.transform("blocks", lambda b: b["text"]), F.transform("blocks", lambda b: b["path"]))
+    blocks = rows.select("_row", "host", page.alias("page"), F.posexplode("blocks").alias("at", "b"))
+    blocks = blocks.filter("b.state != 'no'").select("_row", "host", "page", "at", "b.path", "b.state", "b.hint", F.xxhash64("b.text").alias("hash"))
+    known = importances(blocks).select(F.xxhash64("host", "path").alias("node"), "importance").dropDuplicates(["node"])
+    asked = blocks.select("_row", "at", "state", "hint", F.xxhash64("host", "path").alias("node"))
+    weight = F.coalesce("importance", F.lit(PLAIN)) * F.when(F.col("hint"), HINT).otherwise(1.0) * F.when(F.col("state") == "out", OUTSIDE).otherwise(1.0)
+    weight = weight + F.when(F.col("state") == "in", INSIDE).otherwise(0.0)
+    gone = spread_join(asked, known, "node", "_row").filter(weight < threshold).groupBy("_row").agg(F.collect_set("at").alias("gone"))
     out = rows.join(gone, "_row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     kept = F.filter("blocks", lambda b, i: (b["state"] != "no") & ~F.array_contains("gone", i))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
