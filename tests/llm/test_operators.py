@@ -427,3 +427,13 @@ def test_html_article_marks_are_a_prior(spark):
     inside = texts_of(spark, [f"<body><article><p>{long} {i}</p><div class=say>All rights reserved on each page</div></article></body>" for i in range(6)])
     assert inside == [f"{long} {i}" for i in range(6)]
     assert texts_of(spark, [f"<body><article><p>{long}</article></body>"] * 6) == [long] * 6
+
+
+def test_html_keeps_text_after_dropped_inline_content_and_under_hints(spark):
+    parts = ["<div><script>x</script>Article text %d</div>", "<p><button>Share</button>Article text %d", "<p><span class=ad>Ad</span>Article text %d"]
+    for part in parts:
+        assert texts_of(spark, [f"<body>{part % i}</body>" for i in range(4)]) == [f"Article text {i}" for i in range(4)]
+    for name in ("with-sidebar", "search-results"):
+        assert texts_of(spark, [f"<body><div class={name}><p>Whole page {i}</div></body>" for i in range(4)]) == [f"Whole page {i}" for i in range(4)]
+    title = [f"<body><article><div class=entry-header><h1>Title {i}</h1></div><p>Text of the article {i}</article></body>" for i in range(4)]
+    assert texts_of(spark, title) == [f"Title {i}\nText of the article {i}" for i in range(4)]
