@@ -437,3 +437,14 @@ def test_html_keeps_text_after_dropped_inline_content_and_under_hints(spark):
         assert texts_of(spark, [f"<body><div class={name}><p>Whole page {i}</div></body>" for i in range(4)]) == [f"Whole page {i}" for i in range(4)]
     title = [f"<body><article><div class=entry-header><h1>Title {i}</h1></div><p>Text of the article {i}</article></body>" for i in range(4)]
     assert texts_of(spark, title) == [f"Title {i}\nText of the article {i}" for i in range(4)]
+
+
+def test_decontamination_scores_do_not_depend_on_slices(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(6, 30)) % 200) for _ in range(60)] + ["", "..."]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, "before it " + t + " behind it " * (i % 9)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = lambda: {(r.doc_id, r.item_id): tuple(round(x, 5) for x in (r.score, r.question_overlap, r.answer_overlap)) for r in decontamination.contaminated(docs, items, threshold=0.2).collect()}
+    whole = found()
+    monkeypatch.setattr(decontamination, "SLICE", 9)
+    assert len(whole) >= 60 and found() == whole

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from math import log
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -51,21 +52,38 @@ def overlap(part: list[str], passage: list[str]) -> float:
     return len(mine & there) / len(mine)
 
 
+def bag_of(text: str) -> Counter:
+    """The words of an item, counted."""
+    q, a = question_answer(text)
+    return Counter(q + a)
+
+
+class Statistics(NamedTuple):
+    """What scores take from all items that have words: their number, words' document frequencies, mean and largest length."""
+
+    n: int
+    df: dict[str, int]
+    mean: float
+    longest: int
+
+
+def statistics(bags: list[Counter]) -> Statistics:
+    sizes = [sum(b.values()) for b in bags]
+    return Statistics(len(bags), Counter(w for b in bags for w in b), sum(sizes) / max(1, len(bags)), max(sizes, default=0))
+
+
 class Index:
-    """Blocks of items. A block keeps the impacts of its own words and the largest impact of each."""
+    """Blocks of items. A block keeps the impacts of its own words and the largest impact of each. ``stats`` are of all items, these by default."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], stats: Statistics | None = None):
         self.items = [(i, *question_answer(t)) for i, t in items]
         bags = [Counter(q + a) for _, q, a in self.items]
         keep = [k for k, b in enumerate(bags) if b]
         self.items, bags = [self.items[k] for k in keep], [bags[k] for k in keep]
-        n = len(bags)
-        df = Counter(w for b in bags for w in b)
-        self.vocabulary = {w: i for i, w in enumerate(sorted(df))}
-        mean = sum(sum(b.values()) for b in bags) / max(1, n)
-        self.longest = max((sum(b.values()) for b in bags), default=0)
+        n, df, mean, self.longest = stats or statistics(bags)
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for b in bags for w in b}))}
         self.blocks = []
-        for at in range(0, n, BLOCK):
+        for at in range(0, len(bags), BLOCK):
             some = bags[at : at + BLOCK]
             local = np.array(sorted({self.vocabulary[w] for b in some for w in b}), np.int64)
             place = {int(w): k for k, w in enumerate(local)}
@@ -118,6 +136,31 @@ class Index:
         yield from best.values()
 
 
+def _counted(items: DataFrame) -> DataFrame:
+    """(n, words) of each item that has words."""
+
+    def run(batches):
+        for pdf in batches:
+            bags = [b for b in map(bag_of, pdf["text"]) if b]
+            if bags:
+                yield pd.DataFrame({"n": [sum(b.values()) for b in bags], "words": [list(b) for b in bags]})
+
+    return items.select("text").mapInPandas(run, "n long, words array<string>")
+
+
+def _statistics(items: DataFrame) -> Statistics:
+    """Number and lengths of all items, without frequencies."""
+    r = _counted(items).agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    return Statistics(r["c"], {}, (r["total"] or 0) / max(1, r["c"]), r["most"] or 0)
+
+
+def _frequencies(items: DataFrame, mine: list) -> dict[str, int]:
+    """In how many of all items each word of ``mine`` is; the driver holds the words of one slice only."""
+    own = items.sparkSession.createDataFrame([(w,) for w in sorted({w for r in mine for w in bag_of(r["text"])})], "w string")
+    counts = _counted(items).select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    return {r["w"]: r["df"] for r in counts.join(own, "w").collect()}
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, least: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -131,10 +174,10 @@ def contaminated(
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text IS NOT NULL")
     slices = max(1, -(-items.count() // SLICE))
-    out = None
+    out, whole = None, None if slices == 1 else _statistics(items)
     for k in range(slices):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
-        held = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine]))
+        held = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in mine], whole and whole._replace(df=_frequencies(items, mine))))
 
         def run(batches, held=held):
             for pdf in batches:
