@@ -448,3 +448,14 @@ def test_decontamination_scores_do_not_depend_on_slices(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(decontamination, "SLICE", 9)
     assert len(whole) >= 60 and found() == whole
+
+
+def test_packing_meets_the_bound_over_all_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 20)
+    rows = [(i, 0, 0, 5, i) for i in range(400)]
+    todo = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    alone = packing._pack(todo, 400, 10, 0)
+    assert alone.filter("gap > 0").count() == 0 and alone.select("sequence_id").distinct().count() > 200
+    out = packing._exchanged(todo, 10).collect()
+    assert len({r.doc_id for r in out}) == len(out) == 400 and len({r.sequence_id for r in out}) == 200
+    assert len({(r.sequence_id, r.offset) for r in out}) == 400 and {r.offset for r in out} == {0, 5}

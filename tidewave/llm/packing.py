@@ -3,8 +3,8 @@
 Documents become token pieces. Pieces are dealt to partitions of bounded size and packed there by best-fit decreasing.
 Dual feasible functions give a lower bound of each partition's bin count; a partition that reaches its bound is optimal
 and done. Partitions with gaps give up the pieces of their bins that are not full; those are exchanged (dealt anew) and
-packed again, until nothing is gained. The bound over all pieces, from the histogram of lengths (at most ``capacity``
-rows), certifies the whole.
+packed again, until nothing is gained. Then the bins that are not full of all partitions are exchanged likewise. The bound
+over all pieces, from the histogram of lengths (at most ``capacity`` rows), certifies the whole: who meets it is done.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from .common import cut
 CAPACITY = 2048
 #: Pieces in one partition of the packing; bounds the memory of a task.
 PART = 40_000
-ROUNDS = 3
 
 
 @lru_cache(maxsize=2)
@@ -117,13 +116,36 @@ def _pack(items: DataFrame, n: int, capacity: int, turn: int) -> DataFrame:
         gap = len(fill) - lower_bound(Counter(lengths.tolist()), capacity)
         fills = np.array(fill, np.int64)[where] if len(fill) else where
         out = pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
-        out["sequence_id"] = (np.int64(turn) << 56) + (np.int64(key[0]) << 24) + where
+        out["sequence_id"] = (np.int64(turn) << 44) + (np.int64(key[0]) << 16) + where
         return out.assign(offset=offset, fill=fills, gap=gap)
 
     items = items.select("doc_id", "piece", "start", "length", "ids_crc32", salt.alias("_part"))
     return cut(items.repartition(min(parts, 20_000), "_part").groupBy("_part").applyInPandas(pack, _COLUMNS))
 
 
+def _exchanged(todo: DataFrame, capacity: int) -> DataFrame:
+    """Pieces below ``capacity``, packed and exchanged until their number of bins meets the bound over all or nothing is gained."""
+    lengths = {r["length"]: r["n"] for r in todo.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    bound = lower_bound(lengths, capacity)
+    packed = _pack(todo, sum(lengths.values()), capacity, 0)
+    bins, turn, everyone = packed.filter("offset = 0").count(), 0, False
+    while bins > bound:
+        loose = (F.col("fill") < capacity) & (F.lit(everyone) | (F.col("gap") > 0))
+        figures = packed.filter(loose).agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("bins")).first()
+        gained = 0
+        if figures["n"]:
+            turn += 1
+            again = _pack(packed.filter(loose), figures["n"], capacity, turn)
+            gained = figures["bins"] - again.filter("offset = 0").count()
+        if gained > 0:
+            packed, bins = cut(packed.filter(~loose).unionByName(again)), bins - gained
+        elif everyone:
+            break
+        else:
+            everyone = True
+    return packed
+
+
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece with its sequence and its place there; no sequence exceeds ``capacity``.
 
@@ -134,20 +156,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, *, id_col:
     full = todo.filter(F.col("length") == capacity).select("*", ((F.lit(127).cast("long") * (1 << 56)) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     todo = todo.filter(F.col("length") < capacity)
     names = full.columns
-    packed = _pack(todo, todo.count(), capacity, 0)
-    done = [full]
-    for turn in range(1, ROUNDS + 1):
-        loose = (F.col("gap") > 0) & (F.col("fill") < capacity)
-        figures = packed.filter(loose).agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("bins")).first()
-        if not figures["n"]:
-            break
-        again = _pack(packed.filter(loose), figures["n"], capacity, turn)
-        if again.filter("offset = 0").count() >= figures["bins"]:
-            break
-        done.append(packed.filter(~loose).select(names))
-        packed = again
-    done.append(packed.select(names))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    return full.unionByName(_exchanged(todo, capacity).select(names))
