@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, numbered
 
 JACCARD, WIDTH = 0.8, 5
-SLOTS = 1 << 20
+SLOTS = 1 << 16
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
