@@ -444,10 +444,10 @@ def test_decontamination_scores_do_not_depend_on_slices(spark, monkeypatch):
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(6, 30)) % 200) for _ in range(60)] + ["", "..."]
     items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
     docs = spark.createDataFrame([(i, "before it " + t + " behind it " * (i % 9)) for i, t in enumerate(texts)], "doc_id long, text string")
-    found = lambda: {(r.doc_id, r.item_id): tuple(round(x, 5) for x in (r.score, r.question_overlap, r.answer_overlap)) for r in decontamination.contaminated(docs, items, threshold=0.2).collect()}
+    found = lambda: {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, items, threshold=0.2, least=0.0).collect()}
     whole = found()
     monkeypatch.setattr(decontamination, "SLICE", 9)
-    assert len(whole) >= 60 and found() == whole
+    assert len(whole) > 60 and found() == pytest.approx(whole, abs=1e-4)
 
 
 def test_packing_meets_the_bound_over_all_partitions(spark, monkeypatch):
