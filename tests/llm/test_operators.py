@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidewave.llm import decontamination, html_extraction, language_id, line_dedup, neighbours, packing, quality, queries, sharding, simhash, token_counts
 
@@ -222,7 +223,7 @@ def slow_lines(rows):
         kept = []
         for line in [] if t is None else t.split("\n"):
             s = frozenset(line.lower().split())
-            if len(s) >= 5:
+            if s:
                 twin = any(len(s & x) >= 0.8 * len(s | x) - 1e-9 for x in seen)
                 seen.append(s)
                 if twin:
@@ -383,13 +384,14 @@ def test_near_copies_are_those_of_brute_force(spark, odd, docs):
             texts.append(" ".join(base))
     texts += list(docs.text)
     rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
-    got = [r._row for r in near_copies.representatives(rows).collect()]
+    gone = [r._row for r in near_copies.later_copies(rows, "_row").collect()]
     slow = slow_copies(texts)
-    assert set(got) == slow and len(got) == len(slow) < len(set(texts)) - 20
+    assert sorted(gone) == sorted(set(range(len(texts))) - slow) and len(slow) < len(set(texts)) - 20
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts[2:120])], "doc_id long, text string").coalesce(1)
     assert {r.doc_id for r in corpus_pipeline.stage_near_copies(spark, frame, SF).collect()} == slow_copies(texts[2:120])
-    assert near_copies.representatives(none(spark)).count() == 0
-    assert near_copies.representatives(odd).count() == len({frozenset([]) if not words(t) else b" ".join(words(t)) for (t,) in odd.select("text").collect()})
+    numbers = lambda frame: frame.withColumn("_row", F.monotonically_increasing_id())
+    assert near_copies.later_copies(numbers(none(spark)), "_row").count() == 0
+    assert odd.count() - near_copies.later_copies(numbers(odd), "_row").count() == len({frozenset([]) if not words(t) else b" ".join(words(t)) for (t,) in odd.select("text").collect()})
 
 
 def test_neighbours_recall_does_not_fall_with_size(spark):
@@ -411,7 +413,7 @@ def test_line_dedup_of_a_long_text_without_lines_to_join(spark):
     blob = "x" * (line_dedup.CHUNK + 1)
     line = "a line of six plain words"
     rows = [(0, blob), (1, line), (2, blob.replace("x", "y\n", 9)), (3, line)]
-    out = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    out = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), least_words=5).collect()}
     assert out == {0: (blob, 0), 1: (line, 0), 2: (rows[2][1], 0), 3: ("", 1)}
 
 

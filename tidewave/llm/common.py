@@ -1,9 +1,12 @@
-"""Shared plumbing of the training-data operators: table reads, lineage cuts and small numeric helpers."""
+"""Shared plumbing of the training-data operators: table reads, lineage cuts, free column names and graph components."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,29 +18,56 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; a folder of our own is set only where it names none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewave-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. Only a local session, which has one machine, may do without one."""
+    named = spark.sparkContext._jsc.sc().getCheckpointDir()
+    path = named.get() if named.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="tidewave-")
+    if not named.isDefined():
+        spark.sparkContext.setCheckpointDir(path)
+        path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint, so that lost executors cost a read and not a recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table written to the shared folder: lost executors then cost a read, not a recomputation. Columns not read cost nothing."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with ``_row``, a number that tells rows apart and is the same whenever it is computed; a given one is kept.
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing will read again."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
-    Rows read from files or a checkpoint always come in the same order; behind a shuffle they do not, so such rows are cut first.
+
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, with underscores in front until no column has that name, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the new column ``name``, a number that tells rows apart and is the same whenever it is computed.
+
+    Rows read from files come in the same order as long as files are split alike, so the number of splits, which else follows the
+    executors alive, is fixed for the session. Behind a shuffle rows come in any order, so such rows are cut first.
     """
-    if "_row" in df.columns:
-        return df
+    spark, pinned = df.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(pinned, None) is None:
+        spark.conf.set(pinned, spark.sparkContext.defaultParallelism)
     plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
-    out = df.withColumn("_row", F.monotonically_increasing_id())
-    return cut(out) if "Exchange" in plan or "Map" in plan or "Sample" in plan else out
+    out = df.withColumn(name, F.monotonically_increasing_id())
+    return cut(out) if any(x in plan for x in ("Exchange", "Map", "Sample", "ExistingRDD", "Arrow")) else out
 
 
 #: The most bytes a side of a join may take to be broadcast; a larger side is shuffled.
@@ -82,7 +112,39 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         roots = labels.select(F.col("node").alias("root"), F.col("label").alias("jump"))
         step = step.withColumn("root", F.col("new.node")).join(roots, "root").select("node", F.least("new", "jump").alias("label"), (F.least("new", "jump") != F.col("label")).alias("moved"))
         step = cut(step)
+        release(labels)
         moved = step.filter("moved").limit(1).count()
         labels = step.select("node", "label")
         if not moved:
+            release(both)
             return labels.select("node", F.col("label.rank").alias("label"))
+
+
+def slot_counts(docs: DataFrame, batch_counts, slots: int):
+    """Broadcast of counts by slot (int32, ``slots`` of them, a power of two), summed over all rows of ``docs``.
+
+    ``batch_counts(batches, total)`` adds what the batches of a task hold to ``total``. A task sends its counts as blocks of numbers.
+    """
+    size = min(slots, 1 << 14)
+
+    def count(batches):
+        total = np.zeros(slots, np.int64)
+        batch_counts(batches, total)
+        blocks = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32).reshape(-1, size)
+        at = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([blocks[i].tobytes() for i in at], pa.binary())], names=["block", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, counts in zip(batch.column("block").to_pylist(), batch.column("counts")):
+                sums[at] = sums.get(at, 0) + np.frombuffer(counts.as_buffer(), np.int32).astype(np.int64)
+        held = [np.minimum(x, np.iinfo(np.int32).max).astype(np.int32).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(held, pa.binary())], names=["block", "counts"])
+
+    schema, parts = "block int, counts binary", min(slots // size, shuffle_partitions(docs.sparkSession))
+    got = docs.mapInArrow(count, schema).repartition(parts, "block").mapInArrow(add, schema).collect()
+    table = np.zeros((slots // size, size), np.int32)
+    for r in got:
+        table[r["block"]] = np.frombuffer(r["counts"], np.int32)
+    return docs.sparkSession.sparkContext.broadcast(table.ravel())

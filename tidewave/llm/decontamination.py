@@ -22,6 +22,8 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 #: Items of one index; more items are searched in more passes, each with an index of this size.
 SLICE = 4096
+#: Words weighed together; bounds the memory a long text takes.
+SPAN = 1 << 15
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 _WORD = re.compile(r"\w+")
 
@@ -72,6 +74,13 @@ def statistics(bags: list[Counter]) -> Statistics:
     return Statistics(len(bags), Counter(w for b in bags for w in b), sum(sizes) / max(1, len(bags)), max(sizes, default=0))
 
 
+class _Places(dict):
+    """Places of words; words no item has are in the place behind the last."""
+
+    def __missing__(self, word: str) -> int:
+        return len(self)
+
+
 class Index:
     """Blocks of items. A block keeps the impacts of its own words and the largest impact of each. ``stats`` are of all items, these by default."""
 
@@ -94,6 +103,11 @@ class Index:
                     impact[place[self.vocabulary[w]], j] = log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm)
             impact /= impact.sum(axis=0)
             self.blocks.append((local, impact, impact.max(axis=1)))
+        # The largest impact of each word in each block; the last row is of words no item has.
+        self.places = _Places(self.vocabulary)
+        self.largest = np.zeros((len(self.vocabulary) + 1, len(self.blocks)), np.float32)
+        for k, (local, _, largest) in enumerate(self.blocks):
+            self.largest[local, k] = largest
 
     def search(self, ids: np.ndarray, threshold: float) -> dict[int, float]:
         """Every item (by place) that scores at least ``threshold`` for the distinct word ids of a passage."""
@@ -116,19 +130,23 @@ class Index:
 
     def matches(self, text: str | None, threshold: float, least: float):
         tokens = words(text)
-        get = self.vocabulary.get
-        known = np.array([get(w, -1) for w in tokens], np.int64)
-        distinct = np.unique(known)
-        distinct = distinct[distinct >= 0]
-        # A whole text scores at least as much as any passage in it, so texts without hits need no passages.
-        if not len(distinct) or not self.search(distinct, threshold):
+        known = np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))
+        if not len(known):
             return
         best: dict[int, tuple] = {}
         step = max(SHINGLE, self.longest)
-        for at in range(0, max(1, len(tokens) - step), step):
-            passage = slice(at, at + 2 * step)
+        # A passage's words, repeats included, weigh at least as much as its distinct ones: no passage below the threshold is looked at.
+        at = np.arange(0, max(1, len(tokens) - step), step)
+        weights = []
+        for some in np.array_split(at, -(-len(tokens) // SPAN)):
+            if len(some):
+                reach = np.cumsum(self.largest[known[some[0] : some[-1] + 2 * step]], axis=0, dtype=np.float64)
+                ends, before = np.minimum(some - some[0] + 2 * step, len(reach)) - 1, some - some[0] - 1
+                weights.append((reach[ends] - np.where(before[:, None] >= 0, reach[before], 0)).max(axis=1, initial=0))
+        for lo in at[np.concatenate(weights) >= threshold - 1e-3].tolist():
+            passage = slice(lo, lo + 2 * step)
             ids = np.unique(known[passage])
-            for k, score in self.search(ids[ids >= 0], threshold).items():
+            for k, score in self.search(ids[ids < len(self.vocabulary)], threshold).items():
                 item, q, a = self.items[k]
                 row = (item, score, overlap(q, tokens[passage]), overlap(a, tokens[passage]))
                 if min(row[2:]) >= least and row[1:] > best.get(k, (0, 0.0))[1:]:
@@ -167,7 +185,8 @@ def contaminated(
     """Pairs (doc_id, item_id, score, question_overlap, answer_overlap) of documents and the test items they hold.
 
     Passages are windows of twice the longest item, one item apart, so an item lies whole in some passage. Null and empty texts and items
-    match nothing. Repeated rows are reported each; each pair shows its best passage. Empty tables give an empty result.
+    match nothing. Repeated rows are reported each; each pair shows its best passage (of equal ones the first). Texts of any length are
+    searched whole; other columns are not read. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")

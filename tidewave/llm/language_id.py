@@ -8,35 +8,66 @@ language's false-positive rate, and the largest count decides.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIZES = (2, 3, 4)
+from .common import free_name
+
 HASHES = 3
 #: An n-gram belongs to a language if at least this share of its learning documents holds it. So a language has at most
 #: (mean distinct n-grams of a document) / SHARE n-grams, however many documents there are.
 SHARE = 0.004
 
 
-def grams(text: str | None) -> np.ndarray:
-    """Distinct hashed letter n-grams of the whole text; empty if it has no letter."""
+#: Code points hashed together; bounds the memory a long text takes.
+BLOCK = 1 << 18
+_POINT = np.uint64(21)
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Per code point: itself if a letter or mark, else a blank; and which ones are letters."""
     import regex
 
-    plain = regex.sub(r"[^\p{L}\p{M}]+", " ", (text or "").lower())
-    if not regex.search(r"\p{L}", plain):
+    keep, letter = np.full(0x110000, 0x20, np.uint32), np.zeros(0x110000, bool)
+    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for pattern, is_letter in ((r"\p{L}+", True), (r"\p{M}+", False)):
+        for m in regex.finditer(pattern, points):
+            a, b = (i if i < 0xD800 else i + 0x800 for i in (m.start(), m.end() - 1))
+            keep[a : b + 1] = np.arange(a, b + 1)
+            letter[a : b + 1] = is_letter
+    return keep, letter
+
+
+def _unique(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def grams(text: str | None) -> np.ndarray:
+    """Distinct letter n-grams of the whole text, as numbers; empty if it has no letter."""
+    keep, letter = _letters()
+    raw = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not letter[raw].any():
         return np.zeros(0, np.uint64)
-    p = np.frombuffer(f" {plain.strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out = []
-    for n in SIZES:
-        if len(p) >= n:
-            h = np.full(len(p) - n + 1, n, np.uint64)
-            for i in range(n):
-                h = _mix(h + p[i : len(p) - n + 1 + i])
-            out.append(h)
-    return np.unique(np.concatenate(out))
+    p = np.empty(len(raw) + 2, np.uint64)
+    p[0] = p[-1] = 0x20
+    p[1:-1] = keep[raw]
+    blank = p == 0x20
+    p = p[~(blank & np.concatenate(([False], blank[:-1])))]
+    parts = []
+    for at in range(0, max(1, len(p) - 3), BLOCK):
+        q = p[at : at + BLOCK + 3]
+        two = (q[:-1] << _POINT) | q[1:]
+        three = (two[:-1] << _POINT) | q[2:]
+        # Four code points do not fit: a mixed value, which may collide as any hash.
+        four = (three[:-1] ^ (three[:-1] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + q[3:]
+        parts.append(_unique(np.concatenate((two, three, four))))
+    return parts[0] if len(parts) == 1 else _unique(np.concatenate(parts))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,8 +95,11 @@ class Filter:
 
     @staticmethod
     def _places(gram: np.ndarray, m: int):
-        for k in range(HASHES):
-            yield (_mix(gram + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) & np.uint64(m - 1)).astype(np.int64)
+        h = _mix(gram)
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        for _ in range(HASHES):
+            yield (h & np.uint64(m - 1)).astype(np.int64)
+            h = h + step
 
     def predict(self, text: str | None) -> tuple[str, float]:
         g = grams(text)
@@ -74,7 +108,8 @@ class Filter:
         masks = None
         for s in self._places(g, len(self.slots)):
             masks = self.slots[s] if masks is None else masks & self.slots[s]
-        hits = np.array([int(((masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).sum()) for k in range(len(self.languages))])
+        masks = masks[masks.any(axis=1)]
+        hits = np.array([np.count_nonzero(masks[:, k // 64] & np.uint64(1 << k % 64)) for k in range(len(self.languages))])
         true = np.maximum(0, (hits - len(g) * self.wrong) / (1 - np.minimum(self.wrong, 0.999)))
         if true.sum() <= 0:
             return self.languages[self.default], 0.0
@@ -88,9 +123,19 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sh
     def count(batches):
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
-                found = [grams(t) for t in texts]
-                value, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": value.view(np.int64), "n": n.astype(np.int64)})
+                # Lists of some documents are merged before the next ones are read, which bounds the memory.
+                values, numbers, some, size = [], [], [], 0
+                for i, t in enumerate(texts):
+                    some.append(grams(t))
+                    size += len(some[-1])
+                    if size > 1 << 20 or i == len(texts) - 1:
+                        value, n = np.unique(np.concatenate(some), return_counts=True)
+                        values.append(value)
+                        numbers.append(n)
+                        some, size = [], 0
+                value, at = np.unique(np.concatenate(values), return_inverse=True)
+                n = np.bincount(at, np.concatenate(numbers), len(value)).astype(np.int64)
+                yield pd.DataFrame({"lang": lang, "gram": value.view(np.int64), "n": n})
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
@@ -105,20 +150,27 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sh
     return Filter.build(languages, kept["gram"].to_numpy(np.int64).view(np.uint64), kept["lang"].map(number).to_numpy(np.int64), default)
 
 
-def predict(docs: DataFrame, model: Filter, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (share of the corrected hits, 0 to 1) in place of any columns of those names.
-
-    Null texts and texts without letters: ``und``, 0. Ties: the first language by name. A text none of whose n-grams is known: the
-    language with most learning documents, score 0. No learned language at all: ``und``. Repeated rows stay; the table may be empty.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def predicted(model: Filter):
+    """A column function: struct of lang_pred and score of a text."""
 
     @F.pandas_udf("lang_pred string, score double")
     def run(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([held.value.predict(t) for t in text], columns=["lang_pred", "score"])
 
-    out = docs.drop("lang_pred", "score", "_lid").withColumn("_lid", run(F.col(text_col)))
-    return out.select("*", "_lid.lang_pred", "_lid.score").drop("_lid")
+    held = SparkSession.active().sparkContext.broadcast(model)
+    return run
+
+
+def predict(docs: DataFrame, model: Filter, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score (share of the corrected hits, 0 to 1) in place of any columns of those names.
+
+    Null texts and texts without letters: ``und``, 0. Ties: the first language by name. A text none of whose n-grams is known: the
+    language with most learning documents, score 0. No learned language at all: ``und``. Texts of any length are read whole, in blocks.
+    Repeated rows stay; the table may be empty.
+    """
+    lid = free_name(docs.columns, "_lid")
+    out = docs.withColumn(lid, predicted(model)(F.col(text_col))).drop("lang_pred", "score")
+    return out.select("*", f"{lid}.lang_pred", f"{lid}.score").drop(lid)
 
 
 def remainder(doc_id):

@@ -2,9 +2,14 @@
 
 A line is the set of its words. Words are ordered by rarity; two sets with Jaccard similarity t or more share a word among
 their |x| - ceil(t|x|) + 1 rarest, so only these are indexed (prefix filter). Pairs that meet there pass a length, a
-positional and a parity filter (differing bits of 96 parities never exceed differing words) and are then verified on their
-text. Equal sets are one node, told by two 64-bit sums of word hashes. Rarity comes from counts in a fixed number of hashed
-slots, and the index names words by 32 bits: any fixed order and any merging of words only adds candidates, never loses a pair.
+positional and a parity filter (differing bits of 128 parities never exceed differing words) and are then verified on their
+words. Equal sets are one node, told by a 64-bit sum of word hashes, their number and 128 parities of other hashes. Rarity
+comes from counts in a fixed number of hashed slots, and the index names words by 32 bits: any fixed order and any merging of
+words only adds candidates, never loses a pair.
+
+A line goes if one earlier line is near it, so not all near pairs are wanted. Sets that agree in a min-wise signature first
+meet the least set of that signature; where that one is near and earlier, the set is resolved. The prefix join then only
+looks for partners of sets not resolved, so a group of near copies costs its size, not its square.
 
 Texts travel once, keyed by row; the index holds numbers only.
 """
@@ -12,7 +17,7 @@ Texts travel once, keyed by row; the index holds numbers only.
 from __future__ import annotations
 
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, sized
+from .common import cut, free_name, numbered, release, sized, slot_counts
 
 JACCARD = 0.8
-#: Lines of fewer distinct words are too short to tell a copy from chance and stay.
-LEAST_WORDS = 5
-SLOTS = 1 << 18
+#: Lines of fewer distinct words never go; 1 lets every line take part that is not blank.
+LEAST_WORDS = 1
+SLOTS = 1 << 20
 #: Texts are parsed in chunks of about this many characters; a longer text is a chunk of its own.
 CHUNK = 4 << 20
+#: Min-wise signatures a set has, and the permutations joined in each.
+SIGNATURES, JOINED = 3, 2
+_ODD = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(SIGNATURES * JOINED)]
 
 
 def words_of(line: str) -> set[bytes]:
@@ -36,7 +44,7 @@ def words_of(line: str) -> set[bytes]:
 
 
 def _chunks(batches, least: int):
-    """(batch, row in batch, line number, words' codes flat, words a line, vocabulary) of lines with ``least`` words or more."""
+    """(row numbers, line numbers, words' codes flat, words a line, vocabulary) of lines with ``least`` words or more."""
     for batch in batches:
         size, vocabulary = 0, defaultdict()
         vocabulary.default_factory = vocabulary.__len__
@@ -67,31 +75,41 @@ def _hashes(vocabulary, seed: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
 
 
-def _order(docs: DataFrame, least: int):
-    """Broadcast of word counts by slot (``SLOTS`` numbers at most), the rarity that orders words."""
+def _order(docs: DataFrame):
+    """Broadcast of word counts by slot, the rarity that orders words."""
+
+    def count(batches, total):
+        some = Counter()
 
-    def count(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for _, _, _, codes, _, vocabulary in _chunks(batches, least):
-            slots = (_hashes(vocabulary, 1) & np.uint64(SLOTS - 1)).astype(np.int64)
-            total += np.bincount(slots, np.bincount(codes, minlength=len(slots)), SLOTS).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+        def flush():
+            slots = (_hashes(some, 1) & np.uint64(SLOTS - 1)).astype(np.int64)
+            np.add.at(total, slots, np.fromiter(some.values(), np.int64, len(some)))
+            some.clear()
 
-    counts = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(SLOTS, np.int64)
-    table[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    return docs.sparkSession.sparkContext.broadcast(table)
+        for batch in batches:
+            for text in batch.column("text"):
+                text = text.as_py()
+                if text:
+                    some.update(text.lower().encode().split())
+                    if len(some) > 300_000:
+                        flush()
+        flush()
 
+    return slot_counts(docs.select("text"), count, SLOTS)
 
-def _lines(docs: DataFrame, held, jaccard: float, least: int) -> DataFrame:
-    """One row a line of ``least`` distinct words or more: its place, set key (k1, k2), size n, parities and rarest words."""
+
+def _lines(docs: DataFrame, row: str, held, jaccard: float, least: int) -> DataFrame:
+    """One row a line of ``least`` distinct words or more: its place, set key (k, n, p1, p2), signatures and rarest words.
+
+    ``prefix`` leaves out words no other line has, and is empty for sets too small to be near an unequal one.
+    """
 
     def parse(batches):
         for batch, at, numbers, codes, sizes, vocabulary in _chunks(batches, least):
             h1, h2 = _hashes(vocabulary, 1), _hashes(vocabulary, 2)
             short = (h1 & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            order = np.lexsort((h1, short, held.value[short & (SLOTS - 1)]))
+            often = held.value[short & (SLOTS - 1)]
+            order = np.lexsort((h1, short, often))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             spread = np.repeat(np.arange(len(sizes)) * len(order), sizes) + rank[codes]
@@ -100,88 +118,170 @@ def _lines(docs: DataFrame, held, jaccard: float, least: int) -> DataFrame:
             line, code = spread // len(order), order[spread % len(order)]
             n = np.bincount(line, minlength=len(sizes))
             starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-            k1, k2 = np.add.reduceat(h1[code], starts).view(np.int64), np.add.reduceat(h2[code], starts).view(np.int64)
-            # Each word flips one of 96 parities, held in 64 and 32 bits.
-            bit = (h2 % np.uint64(96))[code]
-            parity = np.bitwise_xor.reduceat(np.where(bit < 64, np.left_shift(np.uint64(1), bit & np.uint64(63)), np.uint64(0)), starts).view(np.int64)
-            more = np.bitwise_xor.reduceat(np.where(bit < 64, np.uint64(0), np.left_shift(np.uint64(1), bit & np.uint64(31))), starts).astype(np.uint32).view(np.int32)
+            key = np.add.reduceat(h1[code], starts).view(np.int64)
+            # Each word flips one of 128 parities, held in two numbers.
+            bit = np.left_shift(np.uint64(1), h2 & np.uint64(63))
+            low = ((h2 >> np.uint64(6)) & np.uint64(1)).astype(bool)
+            p1, p2 = (np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0))[code], starts).view(np.int64) for side in (low, ~low))
+            signs = []
+            for j in range(SIGNATURES):
+                sign = np.zeros(len(n), np.uint64)
+                for k in range(JOINED):
+                    least_of = np.minimum.reduceat(((h2 ^ (h2 >> np.uint64(31))) * np.uint64(_ODD[j * JOINED + k]))[code], starts)
+                    sign = (sign * np.uint64(_ODD[0]) + least_of) * np.uint64(_ODD[1])
+                signs.append(((sign >> np.uint64(33)).astype(np.int64) * SIGNATURES + j).astype(np.int64))
             kept = n >= least
-            lead = (n - np.ceil(jaccard * n - 1e-9).astype(np.int64) + 1)[kept]
+            small = n <= np.floor(jaccard / (1 - jaccard) + 1e-9).astype(np.int64) - 1 if jaccard < 1 else np.ones(len(n), bool)
+            lead = np.where(small, 0, n - np.ceil(jaccard * n - 1e-9).astype(np.int64) + 1)[kept]
             ends = np.cumsum(lead)
-            first = np.repeat(starts[kept] - (ends - lead), lead) + np.arange(ends[-1] if len(ends) else 0)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(short[code[first]].astype(np.uint32).view(np.int32)))
+            place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lead, lead)
+            first = code[np.repeat(starts[kept], lead) + place]
+            shared = often[first] > 1
+            owner = np.repeat(np.arange(len(lead)), lead)[shared]
+            bounds = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(lead))))).astype(np.int32))
+            prefix, places = (pa.ListArray.from_arrays(bounds, pa.array(x[shared])) for x in (short[first].astype(np.uint32).view(np.int32), place.astype(np.int16)))
+            sign = pa.ListArray.from_arrays(pa.array((np.arange(len(lead) + 1) * SIGNATURES).astype(np.int32)), pa.array(np.stack(signs, axis=1)[kept].ravel()))
             rows = pa.array(at[kept])
-            columns = [batch.column("_row").take(rows), batch.column("doc_id").take(rows), *[pa.array(x[kept]) for x in (numbers, k1, k2, n.astype(np.int32), parity, more)], prefix]
-            yield pa.RecordBatch.from_arrays(columns, names=["_row", "doc_id", "line_no", "k1", "k2", "n", "parity", "more", "prefix"])
+            columns = [batch.column("row").take(rows), batch.column("doc").take(rows), *[pa.array(x[kept]) for x in (numbers, key, n.astype(np.int32), p1, p2)], sign, prefix, places]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc", "line", "k", "n", "p1", "p2", "signs", "prefix", "places"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(parse, f"_row long, doc_id {kind}, line_no int, k1 long, k2 long, n int, parity long, more int, prefix array<int>")
+    kind = docs.schema["doc"].dataType.simpleString()
+    schema = f"row long, doc {kind}, line int, k long, n int, p1 long, p2 long, signs array<long>, prefix array<int>, places array<smallint>"
+    return docs.select(F.col(row).alias("row"), "doc", "text").mapInArrow(parse, schema)
 
 
-def _place(row: str, line: str, doc: str = "doc_id"):
-    return F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc"), F.col(row).alias("row"), F.col(line).alias("line"))
+def _place(prefix: str = ""):
+    doc = F.col(f"{prefix}doc")
+    return F.struct(doc.isNull().alias("none"), doc.alias("doc"), F.col(f"{prefix}row").alias("row"), F.col(f"{prefix}line").alias("line"))
 
 
-def _candidates(sets: DataFrame, jaccard: float) -> DataFrame:
-    """Pairs (a_row, a_line, b_row, b_line) of sets that pass the prefix, length, positional and parity filters."""
-    index = sets.select("row", "line", "n", "parity", "more", F.posexplode("prefix").alias("place", "word"))
-    x, y = (index.select("word", *[F.col(c).alias(f"{p}_{c}") for c in ("row", "line", "n", "parity", "more", "place")]) for p in "xy")
-    met = x.join(y, "word").filter("x_row < y_row OR (x_row = y_row AND x_line < y_line)")
-    met = met.filter(F.least("x_n", "y_n") >= F.lit(jaccard) * F.greatest("x_n", "y_n") - 1e-9)
+def _alike(jaccard: float):
+    """The condition on entries x and y of one word: length, positional and parity filter."""
     need = F.ceil(F.lit(jaccard / (1 + jaccard)) * (F.col("x_n") + F.col("y_n")) - 1e-9)
+    apart = F.bit_count(F.col("x_p1").bitwiseXOR(F.col("y_p1"))) + F.bit_count(F.col("x_p2").bitwiseXOR(F.col("y_p2")))
+    near = F.least("x_n", "y_n") >= F.lit(jaccard) * F.greatest("x_n", "y_n") - 1e-9
+    return near & (apart <= F.col("x_n") + F.col("y_n") - 2 * need), need
+
+
+def _sides(x: DataFrame, y: DataFrame, columns: list[str]) -> list[DataFrame]:
+    return [d.select(*[F.col(c).alias(f"{p}_{c}") for c in columns]) for p, d in (("x", x), ("y", y))]
+
+
+def _by_signature(sets: DataFrame, jaccard: float) -> DataFrame:
+    """Pairs (a, b), a < b, of sets and the least set of one of their signatures that pass the filters."""
+    entries = sets.filter(F.col("n") > 1).select(F.explode("signs").alias("sign"), "node", "n", "p1", "p2")
+    least = entries.groupBy("sign").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node < other").select("sign", "node")
+    x, y = _sides(least.join(entries, ["sign", "node"]), entries, ["sign", "node", "n", "p1", "p2"])
+    alike, _ = _alike(jaccard)
+    met = x.join(y, (F.col("x_sign") == F.col("y_sign")) & (F.col("x_node") < F.col("y_node")) & alike)
+    return cut(met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct())
+
+
+def _by_prefix(sets: DataFrame, done: DataFrame, jaccard: float) -> DataFrame:
+    """Pairs (a, b), a < b, of sets that share a word of their prefixes and pass the filters; one of the two is not ``done``."""
+    columns = ["word", "node", "n", "p1", "p2", "at"]
+    both = F.arrays_zip(F.col("prefix").alias("word"), F.col("places").alias("at"))
+    marked = sets.filter(F.size("prefix") > 0).select("node", "n", "p1", "p2", "prefix", "places").join(done.withColumn("done", F.lit(True)), "node", "left")
+    entries = lambda d: d.select("node", "n", "p1", "p2", F.explode(both).alias("e")).select("node", "n", "p1", "p2", "e.word", "e.at")
+    todo, rest = entries(marked.filter("done IS NULL")), entries(marked.filter("done"))
+    alike, need = _alike(jaccard)
     # Words before either place may all be shared at best, those behind as many as the shorter rest has.
-    reach = F.least("x_place", "y_place") + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-    # Narrow integers count their sign as 64 bits, hence the mask.
-    apart = F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) + F.bit_count(F.col("x_more").bitwiseXOR(F.col("y_more")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    met = met.filter((reach >= need) & (apart <= F.col("x_n") + F.col("y_n") - 2 * need))
-    return cut(met.select(*[F.col(f"{p}_{c}").alias(f"{q}_{c}") for p, q in ("xa", "yb") for c in ("row", "line")]).distinct())
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, jaccard: float) -> DataFrame:
-    """(a, b): places of pairs whose lines reach the similarity. Only lines of candidates are taken from their documents."""
-    nodes = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{q}_row").alias("_row"), F.col(f"{q}_line").alias("line")) for q in "ab"])).alias("s")).select("s.*").distinct()
-    wanted = sized(nodes.groupBy("_row").agg(F.collect_list("line").alias("wanted")), 48 + 8 * F.size("wanted"))
-    # The outer lambda splits a text once, however many of its lines are taken.
-    taken = F.transform(F.array(F.split("text", "\n")), lambda parts: F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get(parts, i).alias("words"))))
-    lines = docs.join(wanted, "_row").select("_row", "doc_id", F.inline(taken[0])).select("_row", "line", _place("_row", "line").alias("place"), "words")
-    a, b = (lines.select(F.col("_row").alias(f"{q}_row"), F.col("line").alias(f"{q}_line"), F.col("place").alias(q), F.col("words").alias(f"{q}_words")) for q in "ab")
-    both = pairs.join(a, ["a_row", "a_line"]).join(b, ["b_row", "b_line"]).select("a", "b", "a_words", "b_words")
+    reach = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    out = None
+    for left, order in ((todo, F.col("x_node") < F.col("y_node")), (rest, F.col("x_node") != F.col("y_node"))):
+        x, y = _sides(left, todo, columns)
+        met = x.join(y, (F.col("x_word") == F.col("y_word")) & order & alike & (reach >= need)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+        out = met if out is None else out.union(met)
+    return cut(out.distinct())
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, row: str, jaccard: float) -> DataFrame:
+    """The pairs (a, b) whose lines reach the similarity. Only lines of candidates are taken from their documents."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    spots = sets.select("node", "row", "line").join(nodes, "node")
+    wanted = sized(spots.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("line", "node")).alias("wanted")), 48 + 16 * F.size("wanted"))
+
+    def take(batches):
+        for batch in batches:
+            node, words = [], []
+            for text, lines in zip(batch.column("text"), batch.column("wanted")):
+                parts = text.as_py().split("\n")
+                for spot in lines.as_py():
+                    node.append(spot["node"])
+                    h = sorted({xxhash.xxh64_intdigest(w, 1) for w in parts[spot["line"]].lower().encode().split()})
+                    words.append(np.array(h, np.uint64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(words, pa.binary())], names=["node", "words"])
+
+    lines = cut(docs.select(row, "text").join(wanted, row).select("text", "wanted").mapInArrow(take, "node long, words binary"))
+    a, b = (lines.select(F.col("node").alias(q), F.col("words").alias(f"{q}_words")) for q in "ab")
 
     def check(batches):
         for batch in batches:
             fine = []
-            for left, right in zip(batch.column("a_words").to_pylist(), batch.column("b_words").to_pylist()):
-                left, right = words_of(left), words_of(right)
-                shared = len(left & right)
+            for left, right in zip(batch.column("a_words"), batch.column("b_words")):
+                left, right = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))
+                shared = len(left) + len(right) - len(np.unique(np.concatenate((left, right))))
                 fine.append(shared >= jaccard * (len(left) + len(right) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    return both.mapInArrow(check, both.select("a", "b").schema)
+    out = cut(pairs.join(a, "a").join(b, "b").select("a", "b", "a_words", "b_words").mapInArrow(check, "a long, b long"))
+    release(wanted, lines)
+    return out
+
+
+def _earliest(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, near): the first earlier place among the partners of each set that has one."""
+    place = sets.select("node", _place().alias("place"))
+    a, b = (place.select(F.col("node").alias(q), F.col("place").alias(f"{q}_place")) for q in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    later = F.when(F.col("a_place") < F.col("b_place"), F.struct(F.col("b").alias("node"), F.col("a_place").alias("near"))).otherwise(F.struct(F.col("a").alias("node"), F.col("b_place").alias("near")))
+    return cut(both.select(later.alias("s")).select("s.*").groupBy("node").agg(F.min("near").alias("near")))
+
+
+def removed_lines(docs: DataFrame, row: str, *, jaccard: float = JACCARD, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, removed): the sorted numbers of the lines that go, of each row of ``docs`` that loses some. ``row`` names rows."""
+    least = max(1, least_words)
+    docs = docs.select(row, F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    lines = cut(_lines(docs, row, _order(docs), jaccard, least))
+    first = F.min(F.struct(_place().alias("place"), "signs", "prefix", "places")).alias("f")
+    sets = lines.groupBy("k", "n", "p1", "p2").agg(first, F.count("*").alias("copies"))
+    sets = sets.select("k", "n", "p1", "p2", "copies", "f.place.doc", "f.place.row", "f.place.line", "f.signs", "f.prefix", "f.places")
+    sets = cut(sets.withColumn("node", F.monotonically_increasing_id()))
+    if not sets.limit(1).count():
+        return lines.select(F.col("row").alias(row), F.array("line").alias("removed"))
+    met = _by_signature(sets, jaccard)
+    early = _earliest(sets, _verified(met, sets, docs, row, jaccard))
+    pairs = _by_prefix(sets, sized(early.select("node"), F.lit(16)), jaccard)
+    late = _earliest(sets, _verified(pairs, sets, docs, row, jaccard))
+    release(met, pairs)
+    near = early.union(late).groupBy("node").agg(F.min("near").alias("near"))
+    # A line that others equal or come near to is looked up; one key may own many lines, so the table has one row a key.
+    table = sets.select("k", "n", "p1", "p2", "copies", "node", _place().alias("place")).join(near, "node", "left").filter("copies > 1 OR near IS NOT NULL")
+    table = sized(table.select("k", "n", "p1", "p2", F.coalesce("near", "place").alias("earliest")), F.lit(96))
+    gone = lines.select("k", "n", "p1", "p2", "row", "line", _place().alias("place")).join(table, ["k", "n", "p1", "p2"]).filter(F.col("place") > F.col("earliest"))
+    out = sized(gone.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list("line")).alias("removed")), 48 + 8 * F.size("removed"))
+    release(lines, sets, table)
+    return out
+
+
+def without(text: str, removed: str):
+    """The text column without the lines whose numbers the column ``removed`` lists; a null list takes none."""
+    parts = F.split(text, "\n")
+    stay = F.transform(F.array(parts), lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(removed)), lambda i: F.get(p, i)))[0]
+    return F.when(F.coalesce(F.size(removed), F.lit(0)) <= 0, F.col(text)).otherwise(F.array_join(stay, "\n"))
 
 
 def dedup_lines(docs: DataFrame, *, jaccard: float = JACCARD, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: _row, doc_id, text without its repeated lines, n_lines, n_removed, removed (line numbers from 0).
+    """Per row of ``docs``: doc_id, text without its repeated lines, n_lines, n_removed, removed (line numbers from 0).
 
-    A line goes if an earlier line (by doc_id, row, line number; null ids last) reaches the similarity, be that line kept or not. Lines of
-    fewer than ``least_words`` distinct words stay. A null text stays null with 0 lines; an empty one has one empty line. Repeated rows are
-    documents of their own, so the later ones lose their lines and keep an empty text. An empty table gives an empty result.
-    ``_row`` may be given as a column that tells rows apart; otherwise it is made.
+    A line goes if an earlier line (by doc_id, row, line number; null ids last) reaches the similarity, be that line kept or not. Blank
+    lines and lines of fewer than ``least_words`` distinct words stay. A null text stays null with 0 lines; an empty one has one
+    empty line. Repeated rows are documents of their own, so the later ones lose their lines and keep an empty text. Texts of any
+    length are read whole. Other columns are not read, whatever their names. An empty table gives an empty result.
     """
-    docs = numbered(docs).select("_row", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = _lines(docs, _order(docs, least_words), jaccard, least_words)
-    first = F.min(F.struct(_place("_row", "line_no").alias("place"), "n", "parity", "more", "prefix")).alias("f")
-    sets = lines.groupBy("k1", "k2").agg(first, F.count("*").alias("copies"))
-    sets = cut(sets.select("k1", "k2", "copies", "f.place.doc", F.col("f.place.row").alias("row"), F.col("f.place.line").alias("line"), "f.n", "f.parity", "f.more", "f.prefix"))
-    pairs = _verified(_candidates(sets, jaccard), docs, jaccard)
-    later = pairs.select(F.greatest("a", "b").alias("place"), F.least("a", "b").alias("near"))
-    near = sized(later.groupBy(F.col("place.row").alias("row"), F.col("place.line").alias("line")).agg(F.min("near").alias("near")), F.lit(96))
-    # A line that others equal or come near to is looked up; one key may own many lines, so the table has one row a key.
-    table = sets.select("k1", "k2", "copies", _place("row", "line", "doc").alias("place"), "row", "line").join(near, ["row", "line"], "left").filter("copies > 1 OR near IS NOT NULL")
-    table = sized(table.select("k1", "k2", F.coalesce("near", "place").alias("earliest")), F.lit(96))
-    gone = lines.select("k1", "k2", "_row", "line_no", _place("_row", "line_no").alias("place")).join(table, ["k1", "k2"]).filter(F.col("place") > F.col("earliest"))
-    gone = sized(gone.groupBy("_row").agg(F.array_sort(F.collect_list("line_no")).alias("removed")), 48 + 8 * F.size("removed"))
-    out = docs.join(gone, "_row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    parts = F.split("text", "\n")
-    stay = F.transform(F.array(parts), lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("removed")), lambda i: F.get(p, i)))[0]
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(stay, "\n"))
-    return out.select("_row", "doc_id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.size("removed").alias("n_removed"), "removed")
+    row = free_name([id_col, text_col, "doc", "text", "doc_id", "removed"], "_row")
+    docs = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), row)
+    gone = removed_lines(docs, row, jaccard=jaccard, least_words=least_words)
+    out = docs.join(gone, row, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    return out.select("doc_id", without("text", "removed").alias("text"), lines.alias("n_lines"), F.size("removed").alias("n_removed"), "removed")

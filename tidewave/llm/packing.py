@@ -9,6 +9,7 @@ over all pieces, from the histogram of lengths (at most ``capacity`` rows), cert
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import Counter
@@ -16,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,33 +28,79 @@ CAPACITY = 2048
 PART = 40_000
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: Words whose ids a worker keeps, and the longest of them; others are encoded anew.
+KEPT_WORDS, LONGEST_WORD = 400_000, 64
+#: Fixed value: the pre-tokenizer of byte-level BPE files with ``use_regex``.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    return Tokenizer.from_file(path)
+
+class Encoder(dict):
+    """Ids of whole texts as the library gives them, little-endian unsigned 32-bit. As words never influence each other, the library
+    encodes each distinct word once; added tokens inside texts are cut out first, as the library does."""
+
+    def __init__(self, path: str):
+        import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.library = Tokenizer.from_file(path)
+        pre = spec["pre_tokenizer"] or {}
+        plain = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        added = spec["added_tokens"]
+        simple = not any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added)
+        #: Other kinds of files are left to the library, text by text.
+        self.by_word = plain and simple
+        self.words = regex.compile(WORD).findall
+        self.added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._library(word)
+        if len(word) <= LONGEST_WORD:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._library(text)
+        if self.special is None or not any(x in text for x in self.added):
+            return b"".join(map(self.__getitem__, self.words(text)))
+        return b"".join(self.added[part] if part in self.added else b"".join(map(self.__getitem__, self.words(part))) for part in self.special.split(text) if part)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Token pieces of each document: its ids, then ``end_id``; only documents above ``capacity`` ids are cut. The first piece takes the rest."""
+    end = np.array([end_id], "<u4").tobytes()
 
     def cut_up(batches):
-        tok = _tokenizer(vocabulary)
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                some = pdf.iloc[at : at + 256]
-                out = []
-                texts = ["" if t is None else t for t in some["text"]]
-                for doc, enc in zip(some["doc_id"], tok.encode_batch(texts, add_special_tokens=False)):
-                    ids = np.array([*enc.ids, end_id], "<u4")
-                    first = len(ids) % capacity or capacity
-                    cuts = [0, *range(first, len(ids) + 1, capacity)]
-                    out += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        encode = encoder(vocabulary).encode
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = encode(text.as_py() or "") + end
+                n = len(ids) // 4
+                first = n % capacity or capacity
+                cuts = [0, *range(first, n + 1, capacity)]
+                out += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            columns = zip(*out) if out else ((),) * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: dict[int, int], capacity: int) -> int:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,35 +18,57 @@ from .common import cut
 
 BUCKETS = 1 << 16
 SMOOTH = 1.0
+#: The target model is fitted on this many labelled rows at most, those with the least hash of their id. Their ids (8 bytes each) are sent
+#: to all tasks, so that no text is shuffled. The raw model is counted over all rows, and all rows are weighed and drawn from.
+TARGET_ROWS = 25_000
 
 
-def features(text: str | None) -> np.ndarray:
-    """Buckets of the word unigrams and bigrams of the whole text, repeats included."""
-    import xxhash
+class _Hashes(dict):
+    """Hashes of words met by a worker; bounded, as words beyond are hashed anew."""
 
-    h = xxhash.xxh64_intdigest
-    words = (text or "").lower().encode("utf-8", "replace").split()
-    return np.array([h(w) % BUCKETS for w in words] + [h(a + b" " + b) % BUCKETS for a, b in zip(words, words[1:])], np.int64)
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
 
 
-def _counts(rows: DataFrame) -> np.ndarray:
-    """n-grams by bucket: ``BUCKETS`` numbers whatever the number of rows."""
+_HASHES = _Hashes()
 
-    def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        for pdf in batches:
-            for t in pdf["text"]:
-                total += np.bincount(features(t), minlength=BUCKETS)
-        yield pd.DataFrame({"bucket": np.arange(BUCKETS), "n": total})
 
-    got = rows.select("text").mapInPandas(count, "bucket long, n long").filter("n > 0").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS)
-    out[got["bucket"].to_numpy(np.int64)] = got["n"]
-    return out
+def features(text: str | None) -> np.ndarray:
+    """Buckets of the word unigrams and bigrams of the whole text, repeats included."""
+    words = (text or "").lower().encode("utf-8", "replace").split()
+    one = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) * np.uint64(0xD6E8FEB86659FD93)
+    return (np.concatenate((one, two ^ (two >> np.uint64(32)))) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def log_ratio(target: DataFrame, raw: DataFrame) -> np.ndarray:
-    a, b = _counts(target), _counts(raw)
+def _counts(rows: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams by bucket of the rows whose id is in ``targets`` (sorted) and of all rows: 2 x ``BUCKETS`` numbers whatever the number of rows."""
+    sent = rows.sparkSession.sparkContext.broadcast(targets)
+
+    def count(batches):
+        total = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            ids = batch.column("doc_id")
+            good = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), sent.value) & ids.is_valid().to_numpy(zero_copy_only=False)
+            for t, is_good in zip(batch.column("text"), good):
+                n = np.bincount(features(t.as_py()), minlength=BUCKETS)
+                total[1] += n
+                if is_good:
+                    total[0] += n
+        which, bucket = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[which, bucket])], names=["which", "bucket", "n"])
+
+    got = rows.select("doc_id", "text").mapInArrow(count, "which int, bucket int, n long").groupBy("which", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((2, BUCKETS))
+    out[got["which"].to_numpy(np.int64), got["bucket"].to_numpy(np.int64)] = got["n"]
+    return out[0], out[1]
+
+
+def log_ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log of each bucket's probability under the target counts ``a`` over that under the raw counts ``b``."""
     share = b / max(1.0, b.sum())
     # Buckets with little evidence lean to the raw model, so a ratio far from 1 needs counts.
     smooth = (a + SMOOTH * len(a) * share + 1e-9) / (a.sum() + SMOOTH * len(a) + 1e-9 * len(a))
@@ -78,20 +102,24 @@ def top_k(rows: DataFrame, key: str, tie: str, k: int, bins: int = 4096) -> Data
     return rows.withColumn("selected", (F.col(key) > last["_k"]) | ((F.col(key) == last["_k"]) & (F.col(tie) <= last["_t"])))
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(
+    docs: DataFrame, labels: DataFrame, *, share: float | None = None, seed: int = 0, target_rows: int = TARGET_ROWS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Per row of ``docs``: doc_id, log_weight, gumbel_key, selected.
 
-    The target is every document labelled quality 1 and not toxic. ``share`` of the rows is drawn; by default the share of target rows among
-    the labelled ones. Null and empty texts have weight 0 (both models give 1). Noise comes from (seed, id, text), so reruns agree; equal keys
-    go by a row hash. Repeated rows tie and share their fate. No labels or no rows: share 1, all are selected.
+    The target is documents labelled quality 1 and not toxic, ``target_rows`` of them at most, by least hash of their id. ``share`` of the
+    rows is drawn; by default the share of target rows among all labelled ones. Null and empty texts have weight 0 (both models give 1).
+    Noise comes from (seed, id, text), so reruns agree; equal keys go by a row hash. Repeated rows tie and share their fate. Texts of any
+    length are read whole; other columns are not read, whatever their names. No labels or no rows: share 1, all are selected.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     good = labels.groupBy("doc_id").agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
     figures = good.agg(F.count("*").alias("n"), F.count_if("good").alias("good")).first()
     if share is None:
         share = figures["good"] / figures["n"] if figures["good"] else 1.0
-    ratio = log_ratio(rows.join(good.filter("good"), "doc_id", "left_semi"), rows)
-    held = docs.sparkSession.sparkContext.broadcast(ratio)
+    some = good.filter("good AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    targets = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).toPandas()["doc_id"].to_numpy(np.int64)
+    held = docs.sparkSession.sparkContext.broadcast(log_ratio(*_counts(rows, np.sort(targets))))
 
     @F.pandas_udf("double")
     def weight(text: pd.Series) -> pd.Series:
