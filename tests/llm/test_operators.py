@@ -1,7 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows and empty tables."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -461,3 +461,34 @@ def test_packing_meets_the_bound_over_all_partitions(spark, monkeypatch):
     out = packing._exchanged(todo, 10).collect()
     assert len({r.doc_id for r in out}) == len(out) == 400 and len({r.sequence_id for r in out}) == 200
     assert len({(r.sequence_id, r.offset) for r in out}) == 400 and {r.offset for r in out} == {0, 5}
+
+
+def test_html_trees_too_large_to_send_give_the_same(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    sent = {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
+    monkeypatch.setattr(html_extraction, "BROADCAST_BYTES", 0)
+    assert {r.page_id: r.text for r in html_extraction.extract(pages).collect()} == sent
+
+
+def test_html_without_article_marks_and_class_names(spark):
+    """The tree alone, with article tags and class names replaced: precision and recall of the article's words."""
+    import re
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
+    names: dict[str, str] = {}
+    blank = lambda m: f'{m[1]}="{names.setdefault(m[2], f"n{len(names)}")}"'
+    plain = [re.sub(r'(class|id)="([^"]*)"', blank, re.sub(r"(</?)article\b", r"\1div", h)) for h in pages.html]
+    frame = spark.createDataFrame(pd.DataFrame({"page_id": pages.page_id, "url": pages.url, "html": plain}))
+    got = {r.page_id: (r.text or "").split() for r in html_extraction.extract(frame).collect()}
+    want = {r.page_id: (r.text or "").split() for r in html_extraction.extract(spark.createDataFrame(pages[["page_id", "url", "html"]])).collect()}
+    shared = sum(sum((Counter(got[i]) & Counter(want[i])).values()) for i in want)
+    assert shared / sum(map(len, want.values())) >= 0.95 and shared / sum(map(len, got.values())) >= 0.9, (shared / sum(map(len, want.values())), shared / sum(map(len, got.values())))
+
+
+def test_html_odd_rows(spark):
+    body = "<body><p>Tail of page %d</p></body>"
+    long = "<p>" + "many words " * 50_000 + "</p>"
+    rows = [(1, "u", body % 1, "x", 1), (1, "u", body % 1, "y", 2), (2, None, long, None, 3), (None, "", "<p>a < b &amp; c", "z", 4), (3, "u", None, "", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, row string, host int")
+    out = sorted(((r.page_id, r.text) for r in html_extraction.extract(frame).collect()), key=repr)
+    assert out == sorted([(1, "Tail of page 1"), (1, "Tail of page 1"), (2, ("many words " * 50_000).strip()), (None, "a < b & c"), (3, "")], key=repr)

@@ -1,22 +1,29 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree whose nodes are element paths (tags with their classes). A node's importance
-comes from two entropies over the host's distinct pages: that of its presentation (the numbers of blocks seen there) and that
-of its content (a text that recurs on all pages tells nothing). Branches of low importance are removed from each page.
-Elements whose tag or role states that they are no article text go first; the tree decides on everything else. Marks of an
-article and names of classes only raise or lower an importance. Few pages of a host give no evidence: their nodes are ``PLAIN``.
+The pages of a host are merged into one tree whose nodes are element paths (tags with their classes). The importance of a node
+that holds blocks comes from two entropies over the host's distinct pages: that of its presentation (the numbers of blocks seen
+there) and that of its content (a text that recurs on all pages tells nothing). Importances go up the tree: that of an element is
+the mean over the blocks below it. A block without evidence of its own takes the importance of the nearest element around it that
+has some, so branches of low importance are removed as a whole. Elements whose tag or role states that they are no article text go
+first; the tree decides on everything else. Marks of an article and names of classes only raise or lower an importance. Few pages of
+a host give no evidence: their blocks are ``PLAIN``.
+
+Pages are parsed twice, first for numbers that name nodes and texts, then with the importances: no text is stored or shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread_join
+from .common import BROADCAST_BYTES, cut, numbered, release, spread_join
 
 THRESHOLD = 0.2
 LEAST_PAGES = 3
@@ -119,41 +126,98 @@ def blocks_of(html: str | None) -> list[tuple[str, str, str, bool]]:
     return [(path, text, "no" if dropped else "in" if inside else "out" if marked else "ask", any(h[1] == 2 or held.get(h, 0) < half for h in hints)) for path, text, dropped, inside, hints in blocks]
 
 
+@lru_cache(maxsize=200_000)
+def _nodes(host: str, path: str) -> tuple[int, ...]:
+    """Names of a path and of all elements around it, the inner ones first."""
+    parts = path.split("/")
+    return tuple(xxhash.xxh64_intdigest(f"{host}\0{'/'.join(parts[:k])}") - (1 << 63) for k in range(len(parts), 0, -1))
+
+
+def _weight(importance, state, hint):
+    """The importance a block counts with. ``importance``, ``state`` and ``hint`` are columns."""
+    weight = F.coalesce(importance, F.lit(PLAIN)) * F.when(hint, HINT).otherwise(1.0) * F.when(state == "out", OUTSIDE).otherwise(1.0)
+    return weight + F.when(state == "in", INSIDE).otherwise(0.0)
+
+
+def _kept(html: str | None, stays) -> str:
+    """The text of the blocks (by number and block) that stay, dropped ones never."""
+    return "\n".join(b[1] for i, b in enumerate(blocks_of(html)) if b[2] != "no" and stays(i, b))
+
+
 def importances(blocks: DataFrame) -> DataFrame:
-    """Importance of each (host, path) with at least ``LEAST_PAGES`` pages, from the merged tree. Counts are pre-aggregated; repeated pages of a host count once."""
-    texts = blocks.groupBy("host", "path", "hash", "page").agg(F.count("*").alias("c"))
-    texts = texts.groupBy("host", "path", "hash").agg(F.count("*").alias("pages"))
-    looks = blocks.groupBy("host", "path", "_row").agg(F.count("*").alias("look"), F.min("page").alias("page"))
-    looks = looks.groupBy("host", "path", "page").agg(F.min("look").alias("look")).groupBy("host", "path", "look").agg(F.count("*").alias("n"))
-    looks = looks.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn")).filter(F.col("m") >= LEAST_PAGES)
+    """(node, importance) of the merged trees; nodes with blocks need ``LEAST_PAGES`` pages. Counts are pre-aggregated; repeated pages of a host count once.
+
+    ``blocks`` has (row, page, nodes, text), ``nodes`` being the names of the block's element and of those around it.
+    """
+    blocks = blocks.withColumn("leaf", F.get("nodes", 0))
+    texts = blocks.groupBy("leaf", "text", "page").agg(F.count("*").alias("c"))
+    texts = texts.groupBy("leaf", "text").agg(F.count("*").alias("pages"), F.sum("c").alias("c"))
+    looks = blocks.groupBy("leaf", "row").agg(F.count("*").alias("look"), F.min("page").alias("page"))
+    looks = looks.groupBy("leaf", "page").agg(F.min("look").alias("look")).groupBy("leaf", "look").agg(F.count("*").alias("n"))
+    looks = looks.groupBy("leaf").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn")).filter(F.col("m") >= LEAST_PAGES)
     look = (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")
-    text = texts.groupBy("host", "path").agg(F.avg(F.log("pages")).alias("spread"))
-    both = looks.join(text, ["host", "path"])
-    return both.select("host", "path", (0.5 * look + 0.5 * (1 - F.col("spread") / F.log("m"))).alias("importance"))
+    text = texts.groupBy("leaf").agg(F.avg(F.log("pages")).alias("spread"), F.sum("c").alias("blocks"))
+    leaves = looks.join(text, "leaf").select("leaf", (0.5 * look + 0.5 * (1 - F.col("spread") / F.log("m"))).alias("importance"), "blocks")
+    around = blocks.select("leaf", "nodes").distinct().join(leaves, "leaf").select(F.explode(F.slice("nodes", 2, 1_000)).alias("node"), "importance", "blocks")
+    mean = F.sum(F.col("importance") * F.col("blocks")) / F.sum("blocks")
+    # An element that holds blocks itself keeps the importance they give it.
+    inner = around.groupBy("node").agg(mean.alias("importance")).join(leaves.select(F.col("leaf").alias("node")), "node", "left_anti")
+    return leaves.select(F.col("leaf").alias("node"), "importance").union(inner)
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``pages``: page_id, url, text (blocks joined by newlines; empty if none).
 
-    Null html counts as empty and null urls share one host. Repeated rows each give a row. Broken markup is read as far as it goes.
-    An empty table gives an empty result. White space inside a block, line breaks included, becomes one space.
+    Null html counts as empty and null urls share one host. Repeated rows each give a row and count once as evidence; ties cannot
+    arise, blocks stay in page order. Broken markup is read as far as it goes. Pages of any length are read whole. Other columns are
+    not read, whatever their names. An empty table gives an empty result. White space inside a block, line breaks included, becomes
+    one space.
     """
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    pages = numbered(pages.select("page_id", "url", "html"), "row").withColumn("host", host)
+
+    @F.pandas_udf("array<struct<at int, nodes array<long>, text long, state string, hint boolean>>")
+    def parse(html: pd.Series, host: pd.Series) -> pd.Series:
+        out = []
+        for h, name in zip(html, host):
+            live = [(i, b) for i, b in enumerate(blocks_of(h)) if b[2] != "no"]
+            out.append([{"at": i, "nodes": _nodes(name, path), "text": xxhash.xxh64_intdigest(text) - (1 << 63), "state": state, "hint": hint} for i, (path, text, state, hint) in live])
+        return pd.Series(out, dtype=object)
+
+    rows = cut(pages.select("row", parse("html", "host").alias("blocks")))
+    page = F.xxhash64(F.transform("blocks", lambda b: b["text"]), F.transform("blocks", lambda b: F.get(b["nodes"], 0)))
+    blocks = rows.select("row", page.alias("page"), F.explode("blocks").alias("b")).select("row", "page", "b.*")
+    known = cut(importances(blocks))
+    if known.count() * 16 <= BROADCAST_BYTES:
+        table = known.toPandas().sort_values("node")
+        sent = pages.sparkSession.sparkContext.broadcast((table["node"].to_numpy(np.int64), table["importance"].to_numpy(np.float64)))
+
+        def stays(host: str, block: tuple) -> bool:
+            path, _, state, hint = block
+            names, values = sent.value
+            importance = PLAIN
+            for node in _nodes(host, path):
+                k = int(np.searchsorted(names, node))
+                if k < len(names) and names[k] == node:
+                    importance = values[k]
+                    break
+            return importance * (HINT if hint else 1) * (OUTSIDE if state == "out" else 1) + (INSIDE if state == "in" else 0) >= threshold
 
-    @F.pandas_udf("array<struct<path string, text string, state string, hint boolean>>")
-    def parse(html: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("path", "text", "state", "hint"), b)) for b in blocks_of(h)] for h in html], dtype=object)
+        @F.pandas_udf("string")
+        def text(html: pd.Series, host: pd.Series) -> pd.Series:
+            return pd.Series([_kept(h, lambda i, b, name=name: stays(name, b)) for h, name in zip(html, host)], dtype=object)
 
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = cut(pages.select("page_id", "url", host.alias("host"), parse("html").alias("blocks"), F.monotonically_increasing_id().alias("_row")))
-    page = F.xxhash64(F.transform("blocks", lambda b: b["text"]), F.transform("blocks", lambda b: b["path"]))
-    blocks = rows.select("_row", "host", page.alias("page"), F.posexplode("blocks").alias("at", "b"))
-    blocks = blocks.filter("b.state != 'no'").select("_row", "host", "page", "at", "b.path", "b.state", "b.hint", F.xxhash64("b.text").alias("hash"))
-    known = importances(blocks).select(F.xxhash64("host", "path").alias("node"), "importance").dropDuplicates(["node"])
-    asked = blocks.select("_row", "at", "state", "hint", F.xxhash64("host", "path").alias("node"))
-    weight = F.coalesce("importance", F.lit(PLAIN)) * F.when(F.col("hint"), HINT).otherwise(1.0) * F.when(F.col("state") == "out", OUTSIDE).otherwise(1.0)
-    weight = weight + F.when(F.col("state") == "in", INSIDE).otherwise(0.0)
-    gone = spread_join(asked, known, "node", "_row").filter(weight < threshold).groupBy("_row").agg(F.collect_set("at").alias("gone"))
-    out = rows.join(gone, "_row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    kept = F.filter("blocks", lambda b, i: (b["state"] != "no") & ~F.array_contains("gone", i))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return out.select("page_id", "url", text.alias("text"))
+        release(rows, known)
+        return pages.select("page_id", "url", text("html", "host").alias("text"))
+
+    # Too many nodes to send: blocks look theirs up by a join, and pages are joined with the numbers of the blocks that go.
+    asked = blocks.select("row", "at", "state", "hint", F.posexplode("nodes").alias("up", "node"))
+    found = spread_join(asked, known, "node", "row").groupBy("row", "at", "state", "hint").agg(F.min_by("importance", F.when(F.col("importance").isNotNull(), F.col("up"))).alias("importance"))
+    gone = found.filter(_weight(F.col("importance"), F.col("state"), F.col("hint")) < threshold).groupBy("row").agg(F.collect_set("at").alias("gone"))
+
+    @F.pandas_udf("string")
+    def rest(html: pd.Series, gone: pd.Series) -> pd.Series:
+        away = [set() if g is None else set(g) for g in gone]
+        return pd.Series([_kept(h, lambda i, b, g=g: i not in g) for h, g in zip(html, away)], dtype=object)
+
+    return pages.join(gone, "row", "left").select("page_id", "url", rest("html", "gone").alias("text"))
