@@ -8,8 +8,8 @@ comes from counts in a fixed number of hashed slots, and the index names words b
 words only adds candidates, never loses a pair.
 
 A line goes if one earlier line is near it, so not all near pairs are wanted. Sets that agree in a min-wise signature first
-meet the least set of that signature; where that one is near and earlier, the set is resolved. The prefix join then only
-looks for partners of sets not resolved, so a group of near copies costs its size, not its square.
+meet the first set of that signature; where that one is near, the set is resolved. The sets that resolved others then meet the
+rest by the prefix join, and last the sets still not resolved meet all. So a group of near copies costs its size, not its square.
 
 Texts travel once, keyed by row; the index holds numbers only.
 """
@@ -34,7 +34,7 @@ SLOTS = 1 << 20
 #: Texts are parsed in chunks of about this many characters; a longer text is a chunk of its own.
 CHUNK = 4 << 20
 #: Min-wise signatures a set has, and the permutations joined in each.
-SIGNATURES, JOINED = 3, 2
+SIGNATURES, JOINED = 4, 2
 _ODD = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(SIGNATURES * JOINED)]
 
 
@@ -168,31 +168,49 @@ def _sides(x: DataFrame, y: DataFrame, columns: list[str]) -> list[DataFrame]:
 
 
 def _by_signature(sets: DataFrame, jaccard: float) -> DataFrame:
-    """Pairs (a, b), a < b, of sets and the least set of one of their signatures that pass the filters."""
-    entries = sets.filter(F.col("n") > 1).select(F.explode("signs").alias("sign"), "node", "n", "p1", "p2")
-    least = entries.groupBy("sign").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node < other").select("sign", "node")
-    x, y = _sides(least.join(entries, ["sign", "node"]), entries, ["sign", "node", "n", "p1", "p2"])
+    """Pairs (a, b), a < b, of sets and a first set of one of their signatures that pass the filters.
+
+    The first set is that of the least document (least row, if documents have no whole numbers as ids), so it is earlier than the others.
+    """
+    first = "doc" if sets.schema["doc"].dataType.typeName() in ("byte", "short", "integer", "long") else "row"
+    entries = sets.filter(F.col("n") > 1).select(F.explode("signs").alias("sign"), F.col(first).alias("first"), "node", "n", "p1", "p2")
+    least = entries.groupBy("sign").agg(F.min("first").alias("first"), F.max("first").alias("last")).filter("first < last").select("sign", "first")
+    x, y = _sides(least.join(entries, ["sign", "first"]), entries, ["sign", "first", "node", "n", "p1", "p2"])
     alike, _ = _alike(jaccard)
-    met = x.join(y, (F.col("x_sign") == F.col("y_sign")) & (F.col("x_node") < F.col("y_node")) & alike)
-    return cut(met.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct())
+    met = x.join(y, (F.col("x_sign") == F.col("y_sign")) & (F.col("x_node") != F.col("y_node")) & alike)
+    return cut(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
 
 
-def _by_prefix(sets: DataFrame, done: DataFrame, jaccard: float) -> DataFrame:
-    """Pairs (a, b), a < b, of sets that share a word of their prefixes and pass the filters; one of the two is not ``done``."""
-    columns = ["word", "node", "n", "p1", "p2", "at"]
+def _entries(sets: DataFrame) -> DataFrame:
+    """One row a prefix word of each set."""
     both = F.arrays_zip(F.col("prefix").alias("word"), F.col("places").alias("at"))
-    marked = sets.filter(F.size("prefix") > 0).select("node", "n", "p1", "p2", "prefix", "places").join(done.withColumn("done", F.lit(True)), "node", "left")
-    entries = lambda d: d.select("node", "n", "p1", "p2", F.explode(both).alias("e")).select("node", "n", "p1", "p2", "e.word", "e.at")
-    todo, rest = entries(marked.filter("done IS NULL")), entries(marked.filter("done"))
+    return sets.select("node", "n", "p1", "p2", F.explode(both).alias("e")).select("node", "n", "p1", "p2", "e.word", "e.at")
+
+
+def _meet(left: DataFrame, right: DataFrame, order, jaccard: float) -> DataFrame:
+    """Pairs (a, b), a < b, of entries of one word that pass the filters and ``order``, a condition on x_node and y_node."""
     alike, need = _alike(jaccard)
     # Words before either place may all be shared at best, those behind as many as the shorter rest has.
     reach = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    out = None
-    for left, order in ((todo, F.col("x_node") < F.col("y_node")), (rest, F.col("x_node") != F.col("y_node"))):
-        x, y = _sides(left, todo, columns)
-        met = x.join(y, (F.col("x_word") == F.col("y_word")) & order & alike & (reach >= need)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
-        out = met if out is None else out.union(met)
-    return cut(out.distinct())
+    x, y = _sides(left, right, ["word", "node", "n", "p1", "p2", "at"])
+    met = x.join(y, (F.col("x_word") == F.col("y_word")) & order & alike & (reach >= need))
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+
+
+def _by_prefix(sets: DataFrame, done: DataFrame, jaccard: float) -> DataFrame:
+    """Pairs (a, b), a < b, of sets that share a word of their prefixes and pass the filters; one of the two is not ``done``."""
+    marked = sets.filter(F.size("prefix") > 0).join(done.withColumn("done", F.lit(True)), "node", "left")
+    todo, rest = _entries(marked.filter("done IS NULL")), _entries(marked.filter("done"))
+    own = _meet(todo, todo, F.col("x_node") < F.col("y_node"), jaccard)
+    return cut(own.union(_meet(rest, todo, F.col("x_node") != F.col("y_node"), jaccard)).distinct())
+
+
+def _by_centre(sets: DataFrame, pairs: DataFrame, done: DataFrame, jaccard: float) -> DataFrame:
+    """As ``_by_prefix``, but only pairs of a set that is not ``done`` and one that resolved others."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(done, "node", "left_anti")
+    some = sets.filter(F.size("prefix") > 0)
+    centres = sized(_entries(some.join(nodes, "node", "left_semi")), F.lit(64))
+    return cut(_meet(_entries(some.join(done, "node", "left_anti")), centres, F.col("x_node") != F.col("y_node"), jaccard).distinct())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, row: str, jaccard: float) -> DataFrame:
@@ -249,12 +267,15 @@ def removed_lines(docs: DataFrame, row: str, *, jaccard: float = JACCARD, least_
     sets = cut(sets.withColumn("node", F.monotonically_increasing_id()))
     if not sets.limit(1).count():
         return lines.select(F.col("row").alias(row), F.array("line").alias("removed"))
-    met = _by_signature(sets, jaccard)
-    early = _earliest(sets, _verified(met, sets, docs, row, jaccard))
-    pairs = _by_prefix(sets, sized(early.select("node"), F.lit(16)), jaccard)
-    late = _earliest(sets, _verified(pairs, sets, docs, row, jaccard))
-    release(met, pairs)
-    near = early.union(late).groupBy("node").agg(F.min("near").alias("near"))
+    near = None
+    for find in (_by_signature, _by_centre, _by_prefix):
+        done = near and sized(near.select("node").distinct(), F.lit(16))
+        met = find(sets, jaccard) if near is None else find(sets, *[links] * (find is _by_centre), done, jaccard)
+        links = _verified(met, sets, docs, row, jaccard)
+        more = _earliest(sets, links)
+        near = more if near is None else near.union(more)
+        release(met)
+    near = near.groupBy("node").agg(F.min("near").alias("near"))
     # A line that others equal or come near to is looked up; one key may own many lines, so the table has one row a key.
     table = sets.select("k", "n", "p1", "p2", "copies", "node", _place().alias("place")).join(near, "node", "left").filter("copies > 1 OR near IS NOT NULL")
     table = sized(table.select("k", "n", "p1", "p2", F.coalesce("near", "place").alias("earliest")), F.lit(96))
