@@ -5,15 +5,90 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewave.operators.graph import cut
+
+
+#: Bins by which order statistics are narrowed down.
+BINS = 2048
+
+
+def quantiles(rows: DataFrame, groups: list[str], value: str, parts: dict[str, float]) -> DataFrame:
+    """(groups, one column a part): exact quantiles with linear interpolation of each group's values that are not null. Null is a group.
+
+    No task holds a group: values are counted, a histogram of ``BINS`` bins a group finds the bins that hold the two order statistics
+    around each part, and only the values of those bins are put in order.
+    """
+    keys = [f"_g{i}" for i in range(len(groups))]
+    named = rows.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    counts = named.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    ends = named.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_total"))
+
+    def match(a: DataFrame, b: DataFrame, extra: list[str], small: bool = True) -> DataFrame:
+        right = b.select(*[F.col(c).alias(f"_r{c}") for c in [*keys, *extra]], *[c for c in b.columns if c not in [*keys, *extra]])
+        on = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys] + [F.col(c) == F.col(f"_r{c}") for c in extra]
+        right = F.broadcast(right) if small else right
+        joined = a.join(right, on) if on else a.crossJoin(right)
+        return joined.drop(*[f"_r{c}" for c in [*keys, *extra]])
+
+    few = not groups
+    width = F.nullif((F.col("_hi") - F.col("_lo")) / BINS, F.lit(0.0))
+    at = F.coalesce(F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BINS - 1)), F.lit(0))
+    binned = match(counts, ends, [], few).withColumn("_bin", at)
+    upto = Window.partitionBy(*keys).orderBy("_bin")
+    bars = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_m"), F.first("_total").alias("_all"))
+    bars = bars.withColumn("_before", F.sum("_m").over(upto) - F.col("_m"))
+    wanted = F.array(*[F.floor(F.lit(p) * (F.col("_all") - 1) + step) for p in parts.values() for step in (0, 1)])
+    mine = F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m")))
+    picks = bars.filter(F.size(mine) > 0).select(*keys, "_bin", "_before")
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
+    ordered = match(binned.select(*keys, "_v", "_n", "_bin", "_total"), picks, ["_bin"], few).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    out = []
+    for name, p in parts.items():
+        rank = F.lit(p) * (F.col("_total") - 1)
+        value_at = lambda r: F.max(F.when((r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto")), F.col("_v")))
+        lo, hi = value_at(F.floor(rank)), value_at(F.floor(rank) + 1)
+        out.append((lo + (F.coalesce(hi, lo) - lo) * (F.max(rank) - F.floor(F.max(rank)))).alias(name))
+    return ordered.groupBy(*keys).agg(*out).select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], *parts)
+
+
+def iqr_split(rows: DataFrame, value: str, groups: list[str], k_lower: float, k_upper: float) -> DataFrame:
+    """``rows`` with lower, upper (fences of the row's group, ends included, null being a group) and inlier. Values are read as numbers; others are null, and such rows go."""
+    number = rows.withColumn(value, F.col(value).try_cast("double")).filter(F.col(value).isNotNull())
+    q = quantiles(number, groups, value, {"_q1": 0.25, "_q3": 0.75})
+    fences = q.select(*[F.col(g).alias(f"_f{g}") for g in groups], (F.col("_q1") - k_lower * (F.col("_q3") - F.col("_q1"))).alias("lower"), (F.col("_q3") + k_upper * (F.col("_q3") - F.col("_q1"))).alias("upper"))
+    on = [F.col(g).eqNullSafe(F.col(f"_f{g}")) for g in groups]
+    out = number.join(fences, on) if on else number.crossJoin(F.broadcast(fences))
+    return out.drop(*[f"_f{g}" for g in groups]).withColumn("inlier", F.col(value).between(F.col("lower"), F.col("upper")))
+
+
+def pair_distances(points: DataFrame) -> DataFrame:
+    """(mean_distance, max_distance) over all pairs of ``points`` (x, y).
+
+    Pairs are formed of distinct offsets, not of points: points are counted by place, places by row of the plane. A plane of n rows
+    and m columns has at most n * m offsets, however many points lie there.
+    """
+    places = points.groupBy("x", "y").agg(F.count("*").alias("n"))
+    rows = places.groupBy("y").agg(F.collect_list(F.struct("x", "n")).alias("held"))
+    a, b = rows.toDF("ay", "a_held"), rows.toDF("by", "b_held")
+    pairs = a.join(F.broadcast(b), F.col("ay") <= F.col("by"))
+    offsets = F.flatten(F.transform("a_held", lambda p: F.transform("b_held", lambda q: F.struct(F.abs(p["x"] - q["x"]).alias("dx"), (p["n"] * q["n"]).alias("n")))))
+    met = pairs.select((F.col("by") - F.col("ay")).alias("dy"), F.explode(offsets).alias("o")).select("dy", "o.*")
+    # Within one row each pair is met twice, and each place with itself.
+    weight = F.when(F.col("dy") == 0, F.when(F.col("dx") == 0, 0.0).otherwise(F.col("n") / 2)).otherwise(F.col("n").cast("double"))
+    dist, total = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2), F.count("*")
+    size = points.agg(total.alias("k"))
+    sums = met.agg(F.sum(weight * dist).alias("s"), F.max(dist).alias("m")).crossJoin(F.broadcast(size))
+    return sums.select(F.round(F.col("s") / (F.col("k") * (F.col("k") - 1) / 2), 6).alias("mean_distance"), F.round("m", 6).alias("max_distance"))
+
 
 def mid_ranks(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, value, n, mid): pooled mid-rank of each value. Values are numbered by buckets of their order, not in one task."""
+    """(group, value, n, mid): pooled mid-rank of each value. Values are numbered by lanes of their order, of like size, not in one task."""
     sums = rows.groupBy(value).agg(F.count("*").alias("n"))
-    lanes = sums.withColumn("_lane", F.floor(value))
+    lanes = cut(sums.repartitionByRange(value).withColumn("_lane", F.spark_partition_id()))
     lead = lanes.groupBy("_lane").agg(F.sum("n").alias("m"))
     before = lead.withColumn("_lead", F.coalesce(F.sum("m").over(Window.orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
     inside = Window.partitionBy("_lane").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = lanes.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before, "_lane")
+    ranked = lanes.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(before), "_lane")
     ranked = ranked.select(value, F.col("n").alias("ties"), (F.col("_lead") + F.col("_in") + (F.col("n") + 1) / 2).alias("mid"))
     return rows.groupBy(group, value).agg(F.count("*").alias("n")).join(ranked, value)
 

@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder the session names; one of our own is set only where it names none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewave-"))
-    return df.checkpoint(eager=True)
+    """``df`` as a table written to the folder the session names in spark.checkpoint.dir: lost executors then cost a read, not a recomputation.
+
+    Only a local session, which has one machine, may do without such a folder.
+    """
+    spark = df.sparkSession
+    named = spark.sparkContext._jsc.sc().getCheckpointDir()
+    path = named.get() if named.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewave-"))
+        path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{path}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ancestry(links: DataFrame, node: str, parent: str) -> DataFrame:
@@ -33,3 +44,33 @@ def trees(links: DataFrame, node: str, parent: str) -> DataFrame:
     below = ancestry(links, node, parent)
     roots = below.select(F.col("root").alias("node")).distinct()
     return below.union(roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long")))
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, label) of every node in ``links(a, b)``: the least node reachable, by minimum labels and pointer jumps; each round is cut."""
+    both = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        jump = labels.select(F.col("node").alias("step"), F.col("label").alias("far"))
+        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("step")).join(jump, "step")
+        step = cut(step.select("node", F.least("step", "far").alias("label"), (F.least("step", "far") != F.col("label")).alias("moved")))
+        labels = step.drop("moved")
+        if not step.filter("moved").limit(1).count():
+            return labels
+
+
+def levels(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level, parent): breadth-first levels from ``roots(node)`` over ``edges(a, b)``; a parent is the least node of the level before.
+
+    Each round reads the edges of the frontier only; rounds end with the deepest level.
+    """
+    found = cut(roots.select("node", F.lit(0).cast("long").alias("level"), F.lit(None).cast("long").alias("parent")))
+    front, level = found, 0
+    while True:
+        level += 1
+        next_ones = edges.join(front.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        front = cut(next_ones.join(found.select("node"), "node", "left_anti").select("node", F.lit(level).cast("long").alias("level"), "parent"))
+        if not front.limit(1).count():
+            return found
+        found = found.union(front)

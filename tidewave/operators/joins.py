@@ -18,11 +18,21 @@ def mark_join(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFra
     return left.join(right.select(key).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by equality that fails if ``right`` holds a key twice."""
+    if right.groupBy(*keys).count().filter("count > 1").limit(1).count():
+        raise ValueError(f"keys {keys} are not unique on the right side")
+    return left.join(right, keys, how)
+
+
 def farthest_back(peaks: DataFrame, edges: DataFrame, reach: int) -> DataFrame:
-    """Each peak's cause: the neighbour cell's peak of the same dataset farthest back within ``reach`` frames; ties: smaller id."""
-    cause = peaks.select(F.col("event_id").alias("cause_id"), F.col("cell").alias("neighbour"), "dataset", F.col("frame").alias("cause_frame"))
+    """Each peak's cause: the neighbour cell's peak of the same dataset farthest back within ``reach`` frames; ties: smaller id.
+
+    Causes are reduced to the first id of a cell's frame; one aggregation, partial before its shuffle, keeps the best candidate of each
+    peak, and nothing is sorted.
+    """
+    cause = peaks.groupBy(F.col("cell").alias("neighbour"), "dataset", F.col("frame").alias("cause_frame")).agg(F.min("event_id").alias("cause_id"))
     spans = peaks.select("event_id", "cell", "dataset", "frame", (F.col("frame") - reach).alias("lo"), (F.col("frame") - 1).alias("hi")).join(edges, "cell")
     met = range_join(spans, cause, ["neighbour", "dataset"], "lo", "hi", "cause_frame", reach + 1)
-    first = Window.partitionBy("event_id").orderBy("cause_frame", "cause_id")
-    out = met.withColumn("r", F.row_number().over(first)).filter("r = 1")
-    return out.select("event_id", "cell", "dataset", "frame", "cause_id", F.col("neighbour").alias("cause_cell"), (F.col("frame") - F.col("cause_frame")).alias("lag"))
+    best = met.groupBy("event_id").agg(F.min(F.struct("cause_frame", "cause_id", F.col("neighbour").alias("cause_cell"), "cell", "dataset", "frame")).alias("b")).select("event_id", "b.*")
+    return best.select("event_id", "cell", "dataset", "frame", "cause_id", "cause_cell", (F.col("frame") - F.col("cause_frame")).alias("lag"))
