@@ -126,3 +126,23 @@ def adjust(tests: DataFrame, p: str, order: list[str]) -> DataFrame:
     fdr = F.min(F.least(F.lit(1.0), m * at / F.col("_i"))).over(Window.orderBy(F.desc("_i")))
     out = {"bonferroni": F.least(F.lit(1.0), m * at), "sidak": 1 - F.pow(1 - at, m), "holm": holm, "fdr_bh": fdr}
     return ranked.withColumns(out).drop("_m", "_i")
+
+
+def theil_sen(rows: DataFrame, x: str, y: str, z: float = 1.959963984540054) -> DataFrame:
+    """(slope, intercept, lo_slope, hi_slope): median of the slopes of all pairs of unequal ``x``, and its interval from the normal approximation.
+
+    The slopes are of pairs of rows, so their number grows with the square of the rows; they are spread over all tasks and never sorted as a whole.
+    """
+    p = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    slopes = cut(p.toDF("ax", "ay").join(p.toDF("bx", "by"), F.col("ax") < F.col("bx")).select(((F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))).alias("k")))
+    n, t = p.count(), slopes.count()
+    if not t:
+        return quantiles(slopes, [], "k", {c: 0.5 for c in ("slope", "intercept", "lo_slope", "hi_slope")})
+    c = F.col("c")
+    ties = p.groupBy("x").agg(F.count("*").alias("c")).agg(F.sum(c * (c - 1) * (2 * c + 5))).first()[0]
+    spread = z * ((n * (n - 1) * (2 * n + 5) - ties) / 18.0) ** 0.5
+    rank = lambda r: (min(max(round(r), 1), t) - 1) / max(1, t - 1)
+    q = quantiles(slopes, [], "k", {"slope": 0.5, "lo_slope": rank((t - spread) / 2), "hi_slope": rank((t + spread) / 2)})
+    mid = quantiles(p, [], "x", {"mx": 0.5}).crossJoin(quantiles(p, [], "y", {"my": 0.5}))
+    out = q.crossJoin(F.broadcast(mid)).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
+    return out.select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("lo_slope", 6).alias("lo_slope"), F.round("hi_slope", 6).alias("hi_slope"))

@@ -139,9 +139,10 @@ def overlay(pixels: DataFrame, lines: DataFrame) -> DataFrame:
     return marked.select("seq", "frame", "y", "x", F.when(F.col("_line"), 255).otherwise(F.col("grey")).alias("red"), other.alias("green"), other.alias("blue"))
 
 
-def paint(mask: DataFrame, metric: DataFrame, name: str) -> DataFrame:
+def paint(mask: DataFrame, metric: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
     """``mask`` with the metric ``name`` of each pixel's label, 0 where there is none."""
-    return mask.join(metric.select("label", name), "label", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    keys = keys or ["label"]
+    return mask.join(metric.select(*keys, name), keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def segments(pixels: DataFrame, width: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewave.functions import stats
 from tidewave.operators import joins
-from tidewave.sources.tables import neighbours, peaks, table
+from tidewave.sources.tables import last_frame, neighbours, peaks, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -20,7 +20,7 @@ edges AS (SELECT a.cell, b.cell AS neighbour FROM cells a JOIN cells b ON a.cell
 _LINKS = """links AS (SELECT * FROM (SELECT p.event_id, p.cell, p.dataset, p.frame, q.event_id AS cause_id, q.cell AS cause_cell, p.frame - q.frame AS lag,
   row_number() OVER (PARTITION BY p.event_id ORDER BY q.frame, q.event_id) AS r
   FROM peaks p JOIN edges e ON p.cell = e.cell JOIN peaks q ON q.cell = e.neighbour AND q.dataset = p.dataset AND q.frame BETWEEN p.frame - 15 AND p.frame - 1) WHERE r = 1)"""
-_WINDOWS = """active AS (SELECT DISTINCT dataset, cell, f FROM (SELECT dataset, cell, unnest(range(frame, frame + dur + 1)) AS f FROM peaks) WHERE f < 720),
+_WINDOWS = """active AS (SELECT DISTINCT dataset, cell, f FROM (SELECT dataset, cell, unnest(range(frame, frame + dur + 1)) AS f FROM peaks) WHERE f <= (SELECT max(frame) FROM peaks)),
 trace AS (SELECT dataset, f AS frame, count(*) AS cells FROM active GROUP BY ALL),
 high AS (SELECT dataset, frame, cells, frame - row_number() OVER (PARTITION BY dataset ORDER BY frame) AS run
   FROM (SELECT *, 0.6 * max(cells) OVER (PARTITION BY dataset) AS bar FROM trace) WHERE cells >= bar),
@@ -36,13 +36,20 @@ def query(sql: str):
     return add
 
 
+def rows_only(f):
+    """A query without SQL."""
+    QUERIES[f.__name__] = f
+    return f
+
+
 def _links(spark, d):
     p = peaks(spark, d)
     return joins.farthest_back(p, neighbours(p.select("cell").distinct()), 15)
 
 
 def _trace(p):
-    return p.select("dataset", "cell", F.explode(F.sequence("frame", F.col("frame") + F.col("dur"))).alias("frame")).filter("frame < 720").groupBy("dataset", "frame").agg(F.countDistinct("cell").alias("cells"))
+    active = p.crossJoin(F.broadcast(last_frame(p)))
+    return active.select("dataset", "cell", F.explode(F.sequence("frame", F.least(F.col("frame") + F.col("dur"), F.col("last")))).alias("frame")).groupBy("dataset", "frame").agg(F.countDistinct("cell").alias("cells"))
 
 
 def _windows(p):
@@ -92,7 +99,7 @@ def neighbor_pair_stats(spark, d):
 @query(f"WITH {_PEAKS}, {_EDGES}, {_LINKS}, w AS (SELECT cause_cell, cell, count(*) AS weight FROM links GROUP BY ALL) SELECT * FROM w WHERE weight >= (SELECT quantile_cont(weight, 0.9) FROM w)")
 def percentile_edges(spark, d):
     w = _links(spark, d).groupBy("cause_cell", "cell").agg(F.count("*").alias("weight"))
-    return w.join(F.broadcast(w.agg(F.percentile("weight", F.lit(0.9)).alias("bar"))), F.col("weight") >= F.col("bar")).drop("bar")
+    return w.crossJoin(F.broadcast(stats.quantiles(w, [], "weight", {"bar": 0.9}))).filter("weight >= bar").drop("bar")
 
 
 @query(f"WITH {_PEAKS} SELECT cell, count(*) AS n_peaks, count(DISTINCT dataset) AS n_datasets, round(CAST(sum(CAST(height AS DECIMAL(18, 4))) AS DOUBLE) / count(*), 6) AS mean_height, max(dur) AS max_dur, round(count(*) / 720.0, 9) AS frequency FROM peaks GROUP BY cell")
@@ -105,11 +112,12 @@ def cell_metadata(spark, d):
 @query(f"WITH {_PEAKS} SELECT a.event_id AS a_id, b.event_id AS b_id, least(a.frame + a.dur, b.frame + b.dur) - greatest(a.frame, b.frame) AS shared FROM peaks a JOIN peaks b ON a.cell = b.cell AND a.event_id < b.event_id AND least(a.frame + a.dur, b.frame + b.dur) - greatest(a.frame, b.frame) >= 2")
 def interval_overlap(spark, d):
     p = peaks(spark, d)
-    # Durations are at most 9 frames, so overlapping intervals start in the same or in adjacent buckets of 10.
-    a = p.select(F.col("event_id").alias("a_id"), "cell", F.col("frame").alias("af"), (F.col("frame") + F.col("dur")).alias("ae"), F.explode(F.array(*[F.floor(F.col("frame") / 10) + i for i in (-1, 0, 1)])).alias("bucket"))
-    b = p.select(F.col("event_id").alias("b_id"), "cell", F.col("frame").alias("bf"), (F.col("frame") + F.col("dur")).alias("be"), F.floor(F.col("frame") / 10).alias("bucket"))
-    shared = F.least("ae", "be") - F.greatest("af", "bf")
-    return a.join(b, ["cell", "bucket"]).filter((F.col("a_id") < F.col("b_id")) & (shared >= 2)).select("a_id", "b_id", shared.alias("shared"))
+    # The interval that starts later starts inside the other one, so one side is spread over the buckets it covers.
+    a = p.select(F.col("event_id").alias("a"), "cell", F.col("frame").alias("af"), (F.col("frame") + F.col("dur")).alias("ae"))
+    b = p.select(F.col("event_id").alias("b"), "cell", F.col("frame").alias("bf"), (F.col("frame") + F.col("dur")).alias("be"))
+    met = joins.range_join(a, b, ["cell"], "af", "ae", "bf", 16).filter((F.col("af") < F.col("bf")) | ((F.col("af") == F.col("bf")) & (F.col("a") < F.col("b"))))
+    shared = F.least("ae", "be") - F.col("bf")
+    return met.filter(shared >= 2).select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id"), shared.alias("shared"))
 
 
 @query(f"WITH {_PEAKS}, g AS (SELECT dataset, cell, frame - lag(frame) OVER (PARTITION BY dataset, cell ORDER BY frame, event_id) AS gap FROM peaks) SELECT dataset, count(gap) AS n_gaps, round(avg(gap), 6) AS mean_gap, round(stddev_pop(gap) / avg(gap), 6) AS cv FROM g GROUP BY dataset")
@@ -119,11 +127,18 @@ def peak_intervals(spark, d):
     return g.groupBy("dataset").agg(F.count("gap").alias("n_gaps"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.round(F.stddev_pop("gap") / F.avg("gap"), 6).alias("cv"))
 
 
-@query(f"WITH {_PEAKS}, s AS (SELECT dataset, frame, unnest([frame // 50, frame // 50 - 1, frame // 50 - 2, frame // 50 - 3]) AS slot FROM peaks) SELECT dataset, slot * 50 AS start_frame, count(*) AS n_peaks, round(count(*) / 200.0, 6) AS rate FROM s WHERE slot >= 0 GROUP BY dataset, slot")
+@query(f"""WITH {_PEAKS}, k AS (SELECT max(frame) + 1 AS len, count(DISTINCT cell) AS n FROM peaks), w AS (SELECT DISTINCT dataset, unnest(range(0, (SELECT len FROM k) - 199, 50)) AS start_frame FROM peaks)
+SELECT w.dataset, start_frame, count(p.event_id) AS n_peaks, round(count(p.event_id) / (200.0 * any_value(n)), 9) AS rate FROM k, w LEFT JOIN peaks p ON p.dataset = w.dataset AND p.frame >= start_frame AND p.frame < start_frame + 200 GROUP BY ALL""")
 def sliding_rate(spark, d):
+    p = peaks(spark, d)
+    size = F.broadcast(p.agg((F.max("frame") - 199).alias("last_start"), F.countDistinct("cell").alias("n")))
     slot = F.floor(F.col("frame") / 50)
-    s = peaks(spark, d).select("dataset", F.explode(F.array(*[slot - i for i in range(4)])).alias("slot")).filter("slot >= 0")
-    return s.groupBy("dataset", (F.col("slot") * 50).alias("start_frame")).agg(F.count("*").alias("n_peaks"), F.round(F.count("*") / 200.0, 6).alias("rate"))
+    counts = p.select("dataset", F.explode(F.array(*[slot - i for i in range(4)])).alias("slot")).groupBy("dataset", "slot").agg(F.count("*").alias("c"))
+    # Full windows only, those without a peak included.
+    spine = p.select("dataset").distinct().crossJoin(size).filter("last_start >= 0")
+    spine = spine.select("dataset", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last_start") / 50))).alias("slot"))
+    n = F.coalesce("c", F.lit(0))
+    return spine.join(counts, ["dataset", "slot"], "left").select("dataset", (F.col("slot") * 50).alias("start_frame"), n.alias("n_peaks"), F.round(n / (200.0 * F.col("n")), 9).alias("rate"))
 
 
 @query(f"WITH {_PEAKS}, t AS (SELECT cell, frame, sum(height) AS v FROM peaks GROUP BY ALL), x AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM t WINDOW w AS (PARTITION BY cell ORDER BY frame)) SELECT cell, frame, round(v, 6) AS height FROM x WHERE v > a AND v > b")
@@ -171,9 +186,9 @@ def semi_cohort(spark, d):
     return table(spark, d, "orders").join(rich, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def set_difference(spark, d):
-    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select("o_custkey"))
+    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").filter("o_totalprice > 300000").select("o_custkey"))
 
 
 @query("SELECT CAST(least(floor(l_extendedprice / 5000), 19) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1")
@@ -183,16 +198,15 @@ def histogram_width(spark, d):
 
 @query("SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, round(stddev(o_totalprice), 4) AS sd, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1")
 def group_summary(spark, d):
-    v = "o_totalprice"
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.median(v), 4).alias("median"), F.round(F.stddev(v), 4).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    v, o = "o_totalprice", table(spark, d, "orders").select("o_orderpriority", "o_totalprice")
+    sums = o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev(v), 4).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    return sums.join(stats.quantiles(o, ["o_orderpriority"], v, {"median": 0.5}), "o_orderpriority").withColumn("median", F.round("median", 4))
 
 
 @query("WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders GROUP BY 1) SELECT o_orderkey, o_totalprice < a - 0.5 * (b - a) OR o_totalprice > b + 0.5 * (b - a) AS outlier FROM orders JOIN q USING (o_orderpriority)")
 def iqr_outliers(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    q = o.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.lit(0.25)).alias("a"), F.percentile("o_totalprice", F.lit(0.75)).alias("b"))
-    half = 0.5 * (F.col("b") - F.col("a"))
-    return o.join(q, "o_orderpriority").select("o_orderkey", ((F.col("o_totalprice") < F.col("a") - half) | (F.col("o_totalprice") > F.col("b") + half)).alias("outlier"))
+    return stats.iqr_split(o, "o_totalprice", ["o_orderpriority"], 0.5, 0.5).select("o_orderkey", (~F.col("inlier")).alias("outlier"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM lineitem GROUP BY 1, 2")

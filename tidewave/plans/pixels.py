@@ -104,9 +104,9 @@ def mask_overlap(spark, d):
     return images.motion_metrics(mask(spark), mask(spark, 2)).select("metric", "value")
 
 
-@query(f"WITH {_PX}, r AS (SELECT frame, min(v) AS lo, max(v) AS hi FROM px GROUP BY frame) SELECT frame, y, x, CAST(round(255.0 * (v - lo) / (hi - lo), 0) AS BIGINT) AS grey FROM px JOIN r USING (frame) WHERE frame < 2")
+@query(f"WITH {_PX}, r AS (SELECT frame, min(v) AS lo, max(v) AS hi FROM px GROUP BY frame) SELECT frame, y, x, CAST(round(255.0 * (v - lo) / (hi - lo), 0) AS BIGINT) AS grey FROM px JOIN r USING (frame)")
 def grey_levels(spark, d):
-    return images.grey(frames(spark, 2)).select("frame", "y", "x", "grey")
+    return images.grey(frames(spark)).select("frame", "y", "x", "grey")
 
 
 @query(f"WITH {_PX}, {_MASK}, r AS (SELECT min(v) AS lo, max(v) AS hi FROM px WHERE frame = 0), e AS (SELECT DISTINCT a.y, a.x FROM mask a JOIN mask b ON abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.label <> b.label WHERE a.label > 0 OR b.label > 0), g AS (SELECT px.y, px.x, CAST(round(255.0 * (v - lo) / (hi - lo), 0) AS BIGINT) AS grey, e.y IS NOT NULL AS line FROM px CROSS JOIN r LEFT JOIN e ON e.y = px.y AND e.x = px.x WHERE frame = 0) SELECT y, x, CASE WHEN line THEN 255 ELSE grey END AS red, CASE WHEN line THEN 0 ELSE grey END AS green, CASE WHEN line THEN 0 ELSE grey END AS blue FROM g")
@@ -121,12 +121,12 @@ def metric_overlay(spark, d):
     return images.paint(m, metric, "value").select("y", "x", "value")
 
 
-@query(f"WITH {_PX}, {_MASK}, t AS (SELECT label, frame, avg(v) AS v FROM px JOIN mask USING (y, x) WHERE label > 0 GROUP BY ALL), b AS (SELECT label, frame, CAST(v > avg(v) OVER (PARTITION BY label) AS BIGINT) AS state FROM t) SELECT y, x, coalesce(state, 0) AS state FROM mask LEFT JOIN b ON b.label = mask.label AND b.frame = 3")
+@query(f"WITH {_PX}, {_MASK}, t AS (SELECT label, frame, avg(v) AS v FROM px JOIN mask USING (y, x) WHERE label > 0 GROUP BY ALL), b AS (SELECT label, frame, CAST(v > avg(v) OVER (PARTITION BY label) AS BIGINT) AS state FROM t) SELECT f.frame, y, x, coalesce(state, 0) AS state FROM mask CROSS JOIN (SELECT DISTINCT frame FROM px) f LEFT JOIN b ON b.label = mask.label AND b.frame = f.frame")
 def binary_view(spark, d):
     m = mask(spark)
     t = images.unit_traces(frames(spark), m)
-    high = t.withColumn("state", (F.col("mean") > F.avg("mean").over(Window.partitionBy("label"))).cast("long")).filter("frame = 3").select("label", "state")
-    return images.paint(m, high, "state").select("y", "x", "state")
+    high = t.withColumn("state", (F.col("mean") > F.avg("mean").over(Window.partitionBy("label"))).cast("long")).select("label", "frame", "state")
+    return images.paint(m.crossJoin(t.select("frame").distinct()), high, "state", ["label", "frame"]).select("frame", "y", "x", "state")
 
 
 @query(f"WITH RECURSIVE {_PX}, hit AS (SELECT y, x, y * 48 + x AS id FROM px WHERE frame = 0 AND v BETWEEN 180 AND 250), step AS (SELECT a.id AS a, b.id AS b FROM hit a JOIN hit b ON abs(a.y - b.y) + abs(a.x - b.x) = 1), reach AS (SELECT a AS node, b AS other FROM step UNION SELECT r.node, s.b FROM reach r JOIN step s ON s.a = r.other) SELECT node AS pixel, least(node, min(other)) AS segment FROM reach GROUP BY node")

@@ -9,11 +9,18 @@ from tidewave.functions import binning, stats
 from tidewave.operators import joins
 from tidewave.plans.catalog import _EDGES, _LINKS, _PEAKS, _links, _windows, query
 from tidewave.plans.catalog import _WINDOWS as _ACTIVE
-from tidewave.sources.tables import neighbours, peaks, table
+from tidewave.sources.tables import last_frame, neighbours, peaks, table
 
 _XY = "10.0 * (cell % 15) AS x, 10.0 * (cell // 15) AS y"
 
 
+def _frames_of(rows, start: str, end: str, last=None):
+    """Each row once a frame (``at_frame``) of its interval, up to the last frame of the recording (a row ``last``)."""
+    rows = rows.crossJoin(F.broadcast(last_frame(rows) if last is None else last))
+    stop = F.least(F.col(end), F.col("last"))
+    return rows.filter(F.col(start) <= stop).withColumn("at_frame", F.explode(F.sequence(F.col(start), stop))).drop("last")
+
+
 def _xy(cell: str = "cell"):
     return 10.0 * (F.col(cell) % 15), 10.0 * F.floor(F.col(cell) / 15)
 
@@ -169,12 +176,12 @@ def tumbling_spill(spark, d):
     return p.select("dataset", "event_id", F.explode(F.array_compact(kinds)).alias("s")).select("dataset", "s.slot", "event_id", "s.kind")
 
 
-@query(f"""WITH {_PEAKS}, m AS (SELECT a.event_id, b.cell AS other, b.event_id AS match_id, 0.7 * (1 - abs(a.frame - b.frame) / 6.0) + 0.3 * (1 - abs(a.dur - b.dur) / (1.0 + greatest(a.dur, b.dur))) AS score FROM peaks a JOIN peaks b ON a.dataset = b.dataset AND b.cell <> a.cell AND abs(a.frame - b.frame) <= 5 WHERE a.cell % 15 = 0 AND b.cell % 15 < 2)
+@query(f"""WITH {_PEAKS}, m AS (SELECT a.event_id, b.cell AS other, b.event_id AS match_id, 0.7 * (1 - abs(a.frame - b.frame) / 6.0) + 0.3 * (1 - abs(a.dur - b.dur) / (1.0 + greatest(a.dur, b.dur))) AS score FROM peaks a JOIN peaks b ON a.dataset = b.dataset AND b.cell <> a.cell AND abs(a.frame - b.frame) <= 5)
 SELECT event_id, other, match_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY event_id, other ORDER BY round(score, 9) DESC, match_id) AS r FROM m) WHERE r = 1""")
 def best_match_window(spark, d):
     p = peaks(spark, d).select("event_id", "cell", "dataset", "frame", "dur")
-    a = p.filter("cell % 15 = 0").select("event_id", "cell", "dataset", "dur", "frame", (F.col("frame") - 5).alias("lo"), (F.col("frame") + 5).alias("hi"))
-    b = p.filter("cell % 15 < 2").select(F.col("event_id").alias("match_id"), F.col("cell").alias("other"), "dataset", F.col("frame").alias("at"), F.col("dur").alias("other_dur"))
+    a = p.select("event_id", "cell", "dataset", "dur", "frame", (F.col("frame") - 5).alias("lo"), (F.col("frame") + 5).alias("hi"))
+    b = p.select(F.col("event_id").alias("match_id"), F.col("cell").alias("other"), "dataset", F.col("frame").alias("at"), F.col("dur").alias("other_dur"))
     met = joins.range_join(a, b, ["dataset"], "lo", "hi", "at", 11).filter("cell <> other")
     score = 0.7 * (1 - F.abs(F.col("frame") - F.col("at")) / 6.0) + 0.3 * (1 - F.abs(F.col("dur") - F.col("other_dur")) / (1.0 + F.greatest("dur", "other_dur")))
     best = met.groupBy("event_id", "other").agg(F.min(F.struct((-F.round(score, 9)).alias("k"), "match_id", score.alias("score"))).alias("b"))
@@ -204,13 +211,9 @@ def pivot_merge(spark, d):
     return table(spark, d, "customer").select("c_custkey", "c_mktsegment").join(wide, "c_custkey", "left").dropna(subset=["click"])
 
 
-@query(f"WITH {_PEAKS} SELECT f.frame AS at, p.dataset, p.event_id FROM (SELECT unnest(range(0, 720, 60)) AS frame) f JOIN peaks p ON f.frame BETWEEN p.frame AND p.frame + p.dur")
+@query(f"WITH {_PEAKS} SELECT f.frame AS at_frame, p.dataset, p.event_id FROM (SELECT unnest(range(0, (SELECT max(frame) + 1 FROM peaks))) AS frame) f JOIN peaks p ON f.frame BETWEEN p.frame AND p.frame + p.dur")
 def active_at_frames(spark, d):
-    spine = spark.range(0, 720, 60).withColumnRenamed("id", "at")
-    p = peaks(spark, d).select("dataset", "event_id", "frame", (F.col("frame") + F.col("dur")).alias("end"))
-    lo, hi = F.ceil(F.col("frame") / 60), F.floor(F.col("end") / 60)
-    met = p.filter(lo <= hi).select("dataset", "event_id", F.explode(F.transform(F.sequence(lo, hi), lambda k: k * 60)).alias("at"))
-    return met.join(F.broadcast(spine), "at", "left_semi").select("at", "dataset", "event_id")
+    return _frames_of(peaks(spark, d).select("dataset", "event_id", "frame", (F.col("frame") + F.col("dur")).alias("end")), "frame", "end").select("at_frame", "dataset", "event_id")
 
 
 _ARROWS = f"{_PEAKS}, {_EDGES}, {_LINKS}, arrows AS (SELECT l.event_id, l.cause_id, q.frame AS start_frame, least(p.frame + p.dur, q.frame + q.dur) AS end_frame FROM links l JOIN peaks p ON p.event_id = l.event_id JOIN peaks q ON q.event_id = l.cause_id)"
@@ -224,22 +227,19 @@ def arrow_intervals(spark, d):
     return ends.join(causes, "cause_id").select("event_id", "cause_id", "start_frame", F.least("end", "cause_end").alias("end_frame"))
 
 
-@query(f"WITH {_ARROWS} SELECT f AS at, count(*) AS n_arrows FROM (SELECT unnest(range(0, 720, 24)) AS f) JOIN arrows ON f BETWEEN start_frame AND end_frame GROUP BY 1")
+@query(f"WITH {_ARROWS} SELECT f AS at_frame, count(*) AS n_arrows FROM (SELECT unnest(range(0, (SELECT max(frame) + 1 FROM peaks))) AS f) JOIN arrows ON f BETWEEN start_frame AND end_frame GROUP BY 1")
 def arrows_at_frames(spark, d):
-    lo, hi = F.ceil(F.col("start_frame") / 24), F.least(F.floor(F.col("end_frame") / 24), F.lit(29))
-    return arrow_intervals(spark, d).filter(lo <= hi).select(F.explode(F.transform(F.sequence(lo, hi), lambda k: k * 24)).alias("at")).groupBy("at").agg(F.count("*").alias("n_arrows"))
+    return _frames_of(arrow_intervals(spark, d), "start_frame", "end_frame", last_frame(peaks(spark, d))).groupBy("at_frame").agg(F.count("*").alias("n_arrows"))
 
 
 @query(f"""WITH {_PEAKS}, {_EDGES}, {_LINKS}, k AS (SELECT *, CASE WHEN event_id IN (SELECT event_id FROM links) THEN 'caused' WHEN event_id IN (SELECT cause_id FROM links) THEN 'origin' ELSE 'individual' END AS kind FROM peaks)
-SELECT "at", cell, kind FROM (SELECT f AS "at", cell, kind, row_number() OVER (PARTITION BY f, cell ORDER BY frame, event_id) AS r FROM (SELECT unnest(range(0, 720, 120)) AS f) JOIN k ON f BETWEEN frame AND frame + dur) WHERE r = 1""")
+SELECT at_frame, cell, kind FROM (SELECT f AS at_frame, cell, kind, row_number() OVER (PARTITION BY f, cell ORDER BY frame, event_id) AS r FROM (SELECT unnest(range(0, (SELECT max(frame) + 1 FROM peaks))) AS f) JOIN k ON f BETWEEN frame AND frame + dur) WHERE r = 1""")
 def classified_activity(spark, d):
     from tidewave.plans.events import peak_classification
 
-    p = peaks(spark, d).select("event_id", "cell", "frame", (F.col("frame") + F.col("dur")).alias("end"))
-    lo, hi = F.ceil(F.col("frame") / 120), F.least(F.floor(F.col("end") / 120), F.lit(5))
-    at = p.filter(lo <= hi).select("event_id", "cell", "frame", F.explode(F.transform(F.sequence(lo, hi), lambda k: k * 120)).alias("at"))
-    first = at.join(peak_classification(spark, d), "event_id").groupBy("at", "cell").agg(F.min_by("origin_type", F.struct("frame", "event_id")).alias("kind"))
-    return first.select("at", "cell", "kind")
+    at = _frames_of(peaks(spark, d).select("event_id", "cell", "frame", (F.col("frame") + F.col("dur")).alias("end")), "frame", "end")
+    first = at.join(peak_classification(spark, d), "event_id").groupBy("at_frame", "cell").agg(F.min_by("origin_type", F.struct("frame", "event_id")).alias("kind"))
+    return first.select("at_frame", "cell", "kind")
 
 
 @query(f"WITH {_PEAKS}, c AS (SELECT DISTINCT cell, {_XY} FROM peaks) SELECT round(avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS mean_distance, round(max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS max_distance FROM c a JOIN c b ON a.cell < b.cell")

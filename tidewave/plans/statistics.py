@@ -9,20 +9,20 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import stats
-from tidewave.plans.catalog import query
-from tidewave.plans.traces import rows_only
+from tidewave.plans.catalog import query, rows_only
 from tidewave.sources.tables import table
 
 
 @query("""SELECT o_orderpriority, count(*) AS n, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.75), 4) AS q3,
 round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 4) AS iqr, round(skewness(o_totalprice), 6) AS skew, round(kurtosis(o_totalprice), 6) AS excess_kurtosis FROM orders GROUP BY 1""")
 def summary_moments(spark, d):
-    v, n = "o_totalprice", F.count("*")
-    q1, q3 = F.percentile(v, F.lit(0.25)), F.percentile(v, F.lit(0.75))
+    v, n, o = "o_totalprice", F.count("*"), table(spark, d, "orders").select("o_orderpriority", "o_totalprice")
     # Corrected for bias; too few rows give null.
     skew = F.when(n > 2, F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(v) + 6))
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(n.alias("n"), F.round(q1, 4).alias("q1"), F.round(q3, 4).alias("q3"), F.round(q3 - q1, 4).alias("iqr"), F.round(skew, 6).alias("skew"), F.round(kurt, 6).alias("excess_kurtosis"))
+    sums = o.groupBy("o_orderpriority").agg(n.alias("n"), F.round(skew, 6).alias("skew"), F.round(kurt, 6).alias("excess_kurtosis"))
+    q = stats.quantiles(o, ["o_orderpriority"], v, {"q1": 0.25, "q3": 0.75})
+    return sums.join(q, "o_orderpriority").select("o_orderpriority", "n", F.round("q1", 4).alias("q1"), F.round("q3", 4).alias("q3"), F.round(F.col("q3") - F.col("q1"), 4).alias("iqr"), "skew", "excess_kurtosis")
 
 
 @query("""WITH b AS (SELECT CAST(floor(l_quantity / 10) AS BIGINT) AS x, CAST(floor(l_discount * 100 / 2 + 1e-9) AS BIGINT) AS y, l_extendedprice AS v FROM lineitem)
@@ -35,12 +35,14 @@ def heatmap_2d(spark, d):
 
 
 @query("""WITH e AS (SELECT quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM part)
-SELECT CAST(CASE WHEN p_retailprice <= a THEN 0 WHEN p_retailprice <= b THEN 1 WHEN p_retailprice <= c THEN 2 ELSE 3 END AS INT) AS bin, count(*) AS n, round(avg(p_retailprice), 4) AS mean_x, round(median(p_size), 4) AS median_y FROM part, e GROUP BY 1""")
+SELECT CAST(CASE WHEN p_retailprice <= a THEN 0 WHEN p_retailprice <= b THEN 1 WHEN p_retailprice <= c THEN 2 ELSE 3 END AS INT) AS bin, count(*) AS n, round(avg(p_retailprice), 4) AS mean_x, round(median(p_size), 4) AS median_y, round(any_value((SELECT corr(p_retailprice, p_size) FROM part)), 9) AS correlation FROM part, e GROUP BY 1""")
 def quantile_bins(spark, d):
     p = table(spark, d, "part").select("p_retailprice", "p_size")
-    edges = p.agg(F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
-    binned = p.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("e", lambda x: F.col("p_retailprice") > x)))
-    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 4).alias("mean_x"), F.round(F.median("p_size"), 4).alias("median_y"))
+    edges = stats.quantiles(p, [], "p_retailprice", {"e1": 0.25, "e2": 0.5, "e3": 0.75})
+    binned = p.crossJoin(F.broadcast(edges)).withColumn("bin", sum((F.col("p_retailprice") > F.col(e)).cast("int") for e in ("e1", "e2", "e3")))
+    means = binned.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 4).alias("mean_x"))
+    both = means.join(stats.quantiles(binned, ["bin"], "p_size", {"median_y": 0.5}), "bin").withColumn("median_y", F.round("median_y", 4))
+    return both.crossJoin(F.broadcast(p.agg(F.round(F.corr("p_retailprice", "p_size"), 9).alias("correlation"))))
 
 
 @query("""WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS b FROM part)
@@ -51,14 +53,14 @@ def spearman(spark, d):
     return p.join(a, "p_size").join(b, "p_retailprice").agg(F.round(F.corr("p_size_rank", "p_retailprice_rank"), 9).alias("rho"), F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT p_size AS x, CAST(floor(p_retailprice / 10) AS BIGINT) AS y, count(*) AS n FROM part GROUP BY ALL),
+@query("""WITH c AS (SELECT p_size AS x, p_retailprice AS y, count(*) AS n FROM part GROUP BY ALL),
 s AS (SELECT sum(a.n * b.n) AS s FROM c a JOIN c b ON b.x < a.x AND b.y < a.y), t AS (SELECT sum(a.n * b.n) AS t FROM c a JOIN c b ON b.x < a.x AND b.y > a.y),
 u AS (SELECT sum(k * (k - 1) / 2) AS u FROM (SELECT sum(n) AS k FROM c GROUP BY x)), v AS (SELECT sum(k * (k - 1) / 2) AS v FROM (SELECT sum(n) AS k FROM c GROUP BY y)), w AS (SELECT sum(n) * (sum(n) - 1) / 2 AS w FROM c)
 SELECT round((s - t) / nullif(sqrt((w - u) * (w - v)), 0), 9) AS tau_b FROM s, t, u, v, w""")
 def kendall(spark, d):
-    # Pairs are counted from running sums over the grid of binned values; no pair is formed.
-    c = table(spark, d, "part").groupBy(F.col("p_size").alias("x"), F.floor(F.col("p_retailprice") / 10).alias("y")).agg(F.count("*").alias("n"))
-    grid = c.select("x").distinct().join(F.broadcast(c.agg(F.collect_set("y").alias("ys")))).select("x", F.explode("ys").alias("y"))
+    # Pairs are counted from running sums over the grid of distinct values; no pair is formed. The first variable must have few values.
+    c = table(spark, d, "part").groupBy(F.col("p_size").alias("x"), F.col("p_retailprice").alias("y")).agg(F.count("*").alias("n"))
+    grid = c.select("y").distinct().crossJoin(F.broadcast(c.select("x").distinct()))
     g = grid.join(c, ["x", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     back, ahead = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
     g = g.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("y").orderBy("x").rowsBetween(*back)), F.lit(0)))
@@ -74,15 +76,11 @@ def kendall(spark, d):
     return out.select(F.round(F.col("s") / F.nullif(F.sqrt((F.col("w") - F.col("tied_x")) * (F.col("w") - F.col("tied_y"))), F.lit(0.0)), 9).alias("tau_b"))
 
 
-@query("""WITH m AS (SELECT (year(o_orderdate) - 1990) * 12 + month(o_orderdate) AS x, avg(o_totalprice) AS y FROM orders GROUP BY 1)
-SELECT round(median((b.y - a.y) / (b.x - a.x)), 4) AS slope, count(*) AS n_pairs FROM m a JOIN m b ON a.x < b.x""")
+@query("""WITH s AS (SELECT (b.s_acctbal - a.s_acctbal) / (b.s_suppkey - a.s_suppkey) AS k FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey), n AS (SELECT count(*) AS n FROM supplier), z AS (SELECT 1.959963984540054 * sqrt(n * (n - 1) * (2 * n + 5) / 18.0) AS c, n * (n - 1) / 2 AS t FROM n),
+m AS (SELECT median(k) AS slope, list_sort(list(k)) AS ks FROM s) SELECT round(slope, 6) AS slope, round((SELECT median(s_acctbal) FROM supplier) - slope * (SELECT median(s_suppkey) FROM supplier), 4) AS intercept,
+round(ks[CAST(greatest(round((t - c) / 2), 1) AS BIGINT)], 6) AS lo_slope, round(ks[CAST(least(round((t + c) / 2), t) AS BIGINT)], 6) AS hi_slope FROM m, z""")
 def theil_sen(spark, d):
-    # Pairs are of months, whose number does not grow with the rows of a recording.
-    x = (F.year("o_orderdate") - 1990) * 12 + F.month("o_orderdate")
-    m = table(spark, d, "orders").groupBy(x.alias("x")).agg(F.avg("o_totalprice").alias("y"))
-    pairs = m.toDF("ax", "ay").join(F.broadcast(m.toDF("bx", "by")), F.col("ax") < F.col("bx"))
-    slope = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
-    return pairs.agg(F.round(F.median(slope), 4).alias("slope"), F.count("*").alias("n_pairs"))
+    return stats.theil_sen(table(spark, d, "supplier"), "s_suppkey", "s_acctbal")
 
 
 @query("""WITH x AS (SELECT c_acctbal AS v FROM customer WHERE c_mktsegment = 'BUILDING'), y AS (SELECT c_acctbal AS v FROM customer WHERE c_mktsegment = 'MACHINERY')

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewave.functions import signals
-from tidewave.plans.catalog import _PEAKS, QUERIES, query
+from tidewave.plans.catalog import _PEAKS, query, rows_only
 from tidewave.sources.tables import peaks
 
 LENGTH = 720
@@ -21,11 +21,6 @@ def _long(traces, name):
     return traces.select("cell", F.posexplode("values").alias("frame", name)).select("cell", F.col("frame").cast("long").alias("frame"), F.round(name, 6).alias(name))
 
 
-def rows_only(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
 @query(f"WITH {_TRACE} SELECT cell, CAST(frame AS BIGINT) AS frame, round(v, 6) AS value FROM trace")
 def dense_traces(spark, d):
     return _long(_traces(spark, d), "value")

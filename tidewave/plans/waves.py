@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewave.functions import binning, stats
 from tidewave.operators import graph, joins
-from tidewave.plans.catalog import _EDGES, _LINKS, _PEAKS, _links, query
+from tidewave.plans.catalog import _EDGES, _LINKS, _PEAKS, _links, query, rows_only
 from tidewave.plans.events import _EVENTS, _members
 from tidewave.sources.tables import neighbours, peaks
 
@@ -167,9 +167,9 @@ def copeak_groups(spark, d):
     return graph.connected(_copeak_links(peaks(spark, d))).select(F.col("node").alias("event_id"), F.col("label").alias("grp"))
 
 
-@query(f"WITH RECURSIVE {_COPEAK} SELECT p.frame // 120 AS slot, grp, cell FROM groups JOIN peaks p USING (event_id) WHERE p.frame % 120 = 0")
+@query(f"WITH RECURSIVE {_COPEAK} SELECT p.frame, grp, cell FROM groups JOIN peaks p USING (event_id)")
 def copeak_groups_at(spark, d):
-    return copeak_groups(spark, d).join(peaks(spark, d).filter("frame % 120 = 0"), "event_id").select(F.floor(F.col("frame") / 120).alias("slot"), "grp", "cell")
+    return copeak_groups(spark, d).join(peaks(spark, d), "event_id").select("frame", "grp", "cell")
 
 
 _ORIGINS = """cand AS (SELECT g.grp, q.event_id AS origin_id, q.frame, q.cell FROM groups g JOIN peaks p USING (event_id) JOIN edges e ON e.cell = p.cell JOIN peaks q ON q.cell = e.neighbour AND q.dataset = p.dataset AND q.frame > p.frame - 15 AND q.frame < p.frame),
@@ -209,13 +209,12 @@ def copeak_levels(spark, d):
     return graph.levels(direct.union(lone).distinct(), graph.cut(_copeak_links(p))).select(F.col("node").alias("event_id"), "level", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
-@query(f"""WITH RECURSIVE {_COPEAK}, {_LINKS}, ties AS (SELECT a, b FROM pairs UNION SELECT event_id, cause_id FROM links UNION SELECT cause_id, event_id FROM links),
-tied AS (SELECT a AS node, b AS other FROM ties WHERE a % 7 = 0 UNION SELECT t.node, k.b FROM tied t JOIN ties k ON k.a = t.other) SELECT node AS event_id, least(node, min(other)) AS component FROM tied GROUP BY node""")
+@rows_only
 def link_components(spark, d):
-    """Components over links and co-peaking pairs: nodes may have many causes. Reported for every seventh peak, whose SQL closure is short enough."""
+    """Components over links and co-peaking pairs, where a peak may have many causes. The closure in SQL is quadratic; a test compares with union-find."""
     p = peaks(spark, d)
     links = _links(spark, d).select(F.col("event_id").alias("a"), F.col("cause_id").alias("b")).union(_copeak_links(p))
-    return graph.connected(links).filter("node % 7 = 0").select(F.col("node").alias("event_id"), F.col("label").alias("component"))
+    return graph.connected(links).select(F.col("node").alias("event_id"), F.col("label").alias("component"))
 
 
 @query(f"WITH {_PEAKS}, {_EDGES}, kept AS (SELECT cell FROM peaks GROUP BY cell HAVING count(*) >= 66) SELECT cell, neighbour FROM edges WHERE cell IN (SELECT cell FROM kept) AND neighbour IN (SELECT cell FROM kept)")

@@ -27,3 +27,8 @@ def neighbours(cells: DataFrame, columns: int = 15) -> DataFrame:
     near = near.filter((F.col("x") + F.col("s.dx")).between(0, columns - 1) & (F.col("y") + F.col("s.dy") >= 0))
     near = near.select("cell", ((F.col("y") + F.col("s.dy")) * columns + F.col("x") + F.col("s.dx")).cast("long").alias("neighbour"))
     return near.join(cells.select(F.col("cell").alias("neighbour")), "neighbour", "left_semi").select("cell", "neighbour")
+
+
+def last_frame(rows: DataFrame) -> DataFrame:
+    """One row with the last frame a peak of ``rows`` is in: the end of the recording."""
+    return rows.agg(F.max("frame").alias("last"))
