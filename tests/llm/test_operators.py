@@ -492,3 +492,15 @@ def test_html_odd_rows(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, row string, host int")
     out = sorted(((r.page_id, r.text) for r in html_extraction.extract(frame).collect()), key=repr)
     assert out == sorted([(1, "Tail of page 1"), (1, "Tail of page 1"), (2, ("many words " * 50_000).strip()), (None, "a < b & c"), (3, "")], key=repr)
+
+
+def test_encoder_gives_the_ids_of_the_library():
+    """Random texts of letters, digits, blanks of all kinds, contractions, special strings and rare characters."""
+    rng = np.random.default_rng(11)
+    parts = ["a", "don't", "we'll", "'s", "''", "It's", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "12", "3½", "²", "é", "Straße", "ſ", "ŉ", "ǅ", "ﬁ", "e\u0301", "語", "!?", "_", "-", "<|endoftext|>", "<|endof", "🙂", "\u200b", "\x00", "\x7f", "word", " The", "x" * 70]
+    encoder = packing.Encoder(queries.vocabulary_path())
+    assert encoder.by_word
+    for size in (3, 8, 30):
+        for _ in range(1500):
+            text = "".join(parts[k] for k in rng.integers(0, len(parts) if size < 30 else 18, size))
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer_once().encode(text, add_special_tokens=False).ids, text

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -33,6 +34,11 @@ KEPT_WORDS, LONGEST_WORD = 400_000, 64
 #: Fixed value: the pre-tokenizer of byte-level BPE files with ``use_regex``.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same for texts of ASCII and the letters of two more blocks, where plain classes of characters do.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_PLAIN = re.compile(rf"[\t-\r -~{_LETTERS}]*+\Z").match
+_PLAIN_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\t-\r {_LETTERS}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
+
 
 class Encoder(dict):
     """Ids of whole texts as the library gives them, little-endian unsigned 32-bit. As words never influence each other, the library
@@ -72,7 +78,7 @@ class Encoder(dict):
         if not self.by_word:
             return self._library(text)
         if self.special is None or not any(x in text for x in self.added):
-            return b"".join(map(self.__getitem__, self.words(text)))
+            return b"".join(map(self.__getitem__, _PLAIN_WORDS(text) if _PLAIN(text) else self.words(text)))
         return b"".join(self.added[part] if part in self.added else b"".join(map(self.__getitem__, self.words(part))) for part in self.special.split(text) if part)
 
 
