@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 EPS = 1e-8
 
 
-def dense(points: DataFrame, keys: list[str], frame: str, value: str, length: int) -> DataFrame:
-    """One row a key with ``values``: the summed value of each of ``length`` frames, 0 where there is none. Frames outside go."""
-    sums = points.filter(F.col(frame).between(0, length - 1)).groupBy(*keys, F.col(frame).cast("int").alias("_f")).agg(F.sum(value).alias("_v"))
-    held = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_f", "_v"))).alias("_m"))
-    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))).alias("values"))
+def dense(points: DataFrame, keys: list[str], frame: str, value: str, length=None) -> DataFrame:
+    """One row a key with ``values``: the summed value of each frame from 0, 0 where there is none. Frames outside go.
+
+    ``length`` is a number or, by default, that of the last frame of all points. Sums meet a spine of frames, so no trace is searched.
+    """
+    sums = points.filter(F.col(frame) >= 0).groupBy(*keys, F.col(frame).cast("int").alias("_f")).agg(F.sum(value).alias("_v"))
+    last = points.agg(F.max(frame).cast("int").alias("_last")) if length is None else points.sparkSession.range(1).select(F.lit(length - 1).alias("_last"))
+    spine = sums.select(*keys).distinct().crossJoin(F.broadcast(last)).select(*keys, F.explode(F.sequence(F.lit(0), "_last")).alias("_f"))
+    full = spine.join(sums, [*keys, "_f"], "left").select(*keys, F.struct("_f", F.coalesce("_v", F.lit(0.0)).alias("v")).alias("_s"))
+    return full.groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_all")).select(*keys, F.col("_all.v").alias("values"))
 
 
 def convolve(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
@@ -119,14 +124,38 @@ def bounds(x: np.ndarray, peak: int, depth: float, part: float) -> tuple[float,
     return left, right
 
 
-def find_peaks(x: np.ndarray, least_prominence: float, distance: int = 1) -> list[tuple[int, float]]:
-    """(sample, prominence), in order. Of peaks closer than ``distance`` the taller stays; then the prominence decides."""
+def savitzky_golay_ends(x: np.ndarray, width: int, order: int) -> np.ndarray:
+    """Savitzky-Golay with a polynomial through the first and last ``width`` samples in place of mirrored ends."""
+    out, half = savitzky_golay(x, width, order), width // 2
+    if len(x) >= width:
+        at = np.arange(width)
+        out[:half] = np.polyval(np.polyfit(at, x[:width], order), at[:half])
+        out[len(x) - half :] = np.polyval(np.polyfit(at, x[-width:], order), at[width - half :])
+    return out
+
+
+def find_peaks(x: np.ndarray, least_prominence: float, distance: int = 1, *, height: float | None = None, threshold: float | None = None, width: float | None = None) -> list[tuple[int, float]]:
+    """(sample, prominence), in order. Peaks pass height, steps to both neighbours, then, of peaks closer than ``distance``, the taller stays;
+    then the prominence and the width at half of it decide."""
     found = maxima(x)
+    if height is not None:
+        found = found[x[found] >= height]
+    if threshold is not None and len(found):
+        found = found[np.minimum(x[found] - x[found - 1], x[found] - x[found + 1]) >= threshold]
     free = np.ones(len(found), bool)
     for i in np.argsort(-x[found], kind="stable"):
         if free[i]:
             free[(np.abs(found - found[i]) < distance) & (np.arange(len(found)) != i)] = False
-    return [(int(p), depth) for p in found[free] if (depth := prominence(x, p)) >= least_prominence]
+    out = [(int(p), depth) for p in found[free] if (depth := prominence(x, p)) >= least_prominence]
+    return out if width is None else [(p, depth) for p, depth in out if np.subtract(*bounds(x, p, depth, 0.5)[::-1]) >= width]
+
+
+def valleys(x: np.ndarray, peak: int, search: int = 350, window: int = 15) -> tuple[int, int]:
+    """The nearest samples on both sides, within ``search``, that no sample within ``window`` is below; else the ends of the search."""
+    wide = np.lib.stride_tricks.sliding_window_view(np.pad(x, window, constant_values=np.inf), 2 * window + 1)
+    low = np.flatnonzero(x <= wide.min(axis=1))
+    left, right = low[(low < peak) & (low >= peak - search)], low[(low > peak) & (low <= peak + search)]
+    return int(left.max(initial=max(0, peak - search))), int(right.min(initial=min(len(x) - 1, peak + search)))
 
 
 def grouping(spans: list[tuple[int, int]], heights: list[float], least: int = 2) -> list[int]:
@@ -149,28 +178,37 @@ def transform(traces: DataFrame, keys: list[str], kernel, name: str = "values")
     return traces.select(*keys, "values").mapInPandas(run, f"{head}, {name} array<double>")
 
 
-def detect(traces: DataFrame, keys: list[str], least_prominence: float, distance: int = 1) -> DataFrame:
-    """One row a peak: number in its trace, frame, height, prominence, half-height span, parent, symmetry (null if it has no width)."""
-    columns = ["peak_id", "frame", "height", "prominence", "onset", "offset", "parent_id", "symmetry"]
+def detect(traces: DataFrame, keys: list[str], least_prominence: float, distance: int = 1, *, part: float = 0.5, base_part: float = 0.9, refine: bool = False, parents_only: bool = False, **limits) -> DataFrame:
+    """One row a peak: number in its trace, frame, height, prominence, span at ``part`` of the prominence and at ``base_part``, parent, symmetry
+    (null if it has no width). ``refine`` lets spans shrink to the valleys around; ``parents_only`` drops peaks with a parent and numbers the rest anew."""
+    columns = ["peak_id", "frame", "height", "prominence", "onset", "offset", "base_onset", "base_offset", "parent_id", "symmetry"]
 
     def run(batches):
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
                 x = np.asarray(row[-1], float)
-                found = find_peaks(x, least_prominence, distance)
-                spans = [(int(np.floor(lo)), int(np.ceil(hi))) for lo, hi in (bounds(x, p, depth, 0.5) for p, depth in found)]
+                found = find_peaks(x, least_prominence, distance, **limits)
+                spans, bases = ([(int(np.floor(lo)), int(np.ceil(hi))) for lo, hi in (bounds(x, p, depth, q) for p, depth in found)] for q in (part, base_part))
+                if refine:
+                    near = [valleys(x, p) for p, _ in found]
+                    spans, bases = ([(max(a, c), min(b, d)) for (a, b), (c, d) in zip(old, near)] for old in (spans, bases))
                 parents = grouping(spans, [x[p] for p, _ in found])
-                for i, ((p, depth), (lo, hi)) in enumerate(zip(found, spans)):
+                kept = [i for i, parent in enumerate(parents) if parent == i or not parents_only]
+                number = {i: k for k, i in enumerate(kept)}
+                for i in kept:
+                    (p, depth), (lo, hi) = found[i], spans[i]
                     symmetry = 1 - abs((p - lo) - (hi - p)) / (hi - lo) if hi > lo else None
-                    rows.append((*row[:-1], i, p, float(x[p]), depth, lo, hi, parents[i], symmetry))
+                    rows.append((*row[:-1], number[i], p, float(x[p]), depth, lo, hi, *bases[i], number[parents[i]], symmetry))
             yield pd.DataFrame(rows, columns=[*keys, *columns])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in traces.select(keys).schema)
-    return traces.select(*keys, "values").mapInPandas(run, f"{head}, peak_id int, frame int, height double, prominence double, onset int, offset int, parent_id int, symmetry double")
+    schema = f"{head}, peak_id int, frame int, height double, prominence double, onset int, offset int, base_onset int, base_offset int, parent_id int, symmetry double"
+    return traces.select(*keys, "values").mapInPandas(run, schema)
 
 
-def binary(detected: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """(keys, frame): frames inside the span of any detected peak, clamped to the recording."""
-    span = F.sequence(F.greatest("onset", F.lit(0)), F.least("offset", F.lit(length - 1)))
-    return detected.select(*keys, F.explode(span).alias("frame")).distinct()
+def binary(detected: DataFrame, keys: list[str], recording: DataFrame | int) -> DataFrame:
+    """(keys, frame): frames inside the span of any detected peak, clamped to the frames of ``recording`` (or to that many frames)."""
+    last = detected.sparkSession.range(1).select(F.lit(recording - 1).alias("_last")) if isinstance(recording, int) else recording.agg(F.max("frame").cast("int").alias("_last"))
+    span = F.sequence(F.greatest("onset", F.lit(0)), F.least("offset", F.col("_last")))
+    return detected.crossJoin(F.broadcast(last)).select(*keys, F.explode(span).alias("frame")).distinct()
