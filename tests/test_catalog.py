@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidewave.plans import archive, events, pixels, relations, statistics, traces, waves  # noqa: F401
+from tidewave.plans import archive, events, exports, pixels, relations, statistics, traces, waves  # noqa: F401
 from tidewave.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

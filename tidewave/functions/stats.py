@@ -117,15 +117,91 @@ def dunn(rows: DataFrame, group: str, value: str) -> DataFrame:
     return pairs.select("group_a", "group_b", ((F.col("ma") - F.col("mb")) / F.sqrt(spread)).alias("z"))
 
 
-def adjust(tests: DataFrame, p: str, order: list[str]) -> DataFrame:
-    """``tests`` with p-values adjusted by Bonferroni, Sidak, Holm and Benjamini-Hochberg; one row a test, so one window holds all."""
+def adjust(tests: DataFrame, p: str, order: list[str], alpha: float = 0.05) -> DataFrame:
+    """``tests`` with p-values adjusted by eight methods, named as their columns; one row a test, so one window holds all."""
     n = tests.agg(F.count("*").alias("_m"))
     ranked = tests.crossJoin(F.broadcast(n)).withColumn("_i", F.row_number().over(Window.orderBy(p, *order)))
     at, m = F.col(p), F.col("_m")
     holm = F.max(F.least(F.lit(1.0), (m - F.col("_i") + 1) * at)).over(Window.orderBy("_i"))
     fdr = F.min(F.least(F.lit(1.0), m * at / F.col("_i"))).over(Window.orderBy(F.desc("_i")))
-    out = {"bonferroni": F.least(F.lit(1.0), m * at), "sidak": 1 - F.pow(1 - at, m), "holm": holm, "fdr_bh": fdr}
-    return ranked.withColumns(out).drop("_m", "_i")
+    # The harmonic number of the tests, and steps from the largest p down.
+    upto, down = Window.orderBy("_i"), Window.orderBy(F.desc("_i"))
+    holm_sidak = F.max(1 - F.pow(1 - at, m - F.col("_i") + 1)).over(upto)
+    hochberg = F.min(F.least(F.lit(1.0), (m - F.col("_i") + 1) * at)).over(down)
+    harmonic = F.sum(1.0 / F.col("_i")).over(Window.partitionBy(F.lit(0)))
+    ranked = ranked.withColumn("_h", harmonic)
+    by = F.min(F.least(F.lit(1.0), F.col("_h") * m * at / F.col("_i"))).over(down)
+    out = {"bonferroni": F.least(F.lit(1.0), m * at), "sidak": 1 - F.pow(1 - at, m), "holm": holm, "fdr_bh": fdr, "holm_sidak": holm_sidak, "simes_hochberg": hochberg, "fdr_by": by}
+    steps = ranked.withColumns(out)
+    # Two stages: the tests the first one leaves take the place of all tests in the second.
+    first = lambda level: F.sum((F.col("fdr_bh") <= level).cast("int")).over(Window.partitionBy(F.lit(0)))
+    left = F.greatest(m - first(alpha / (1 + alpha)), F.lit(0))
+    two = steps.withColumn("_left", left).withColumn("fdr_tsbh", F.least(F.lit(1.0), F.col("fdr_bh") * F.col("_left") / m))
+    return two.drop("_m", "_i", "_h", "_left")
+
+
+def rejected(tests: DataFrame, methods: list[str], alpha: float = 0.05) -> DataFrame:
+    """``tests`` with a flag a method: is its adjusted p at most ``alpha``? The method ``none`` rejects nothing."""
+    return tests.withColumns({f"reject_{m}": F.lit(False) if m == "none" else F.col(m) <= alpha for m in methods})
+
+
+def rank_sums(rows: DataFrame, group: str, value: str, a, b) -> DataFrame:
+    """One row for the groups ``a`` and ``b``: sizes n and m, rank sum r of ``a`` in the pool, and the sum of t^3 - t over ties."""
+    pool = rows.filter(F.col(group).isin(a, b))
+    ranks, mine = mid_ranks(pool, group, value), F.col(group) == a
+    size = lambda flag: F.sum(F.when(flag, F.col("n")).otherwise(0))
+    ties = ranks.select(value, "ties").distinct().agg(F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("t"))
+    return ranks.agg(size(mine).alias("n"), size(~mine).alias("m"), F.sum(F.when(mine, F.col("n") * F.col("mid"))).alias("r")).crossJoin(F.broadcast(ties))
+
+
+def mann_whitney(rows: DataFrame, group: str, value: str, a, b) -> DataFrame:
+    """(group_a, group_b, n, m, u, z): the statistic and its normal score with ties and continuity corrected."""
+    n, m, t = F.col("n"), F.col("m"), F.col("t")
+    u, total = F.col("r") - n * (n + 1) / 2, n + m
+    spread = F.sqrt(n * m / 12 * ((total + 1) - t / (total * (total - 1))))
+    off = F.greatest(u, n * m - u) - n * m / 2 - 0.5
+    return rank_sums(rows, group, value, a, b).select(F.lit(a).alias("group_a"), F.lit(b).alias("group_b"), "n", "m", u.alias("u"), (off / spread).alias("z"), (t == 0).alias("untied"))
+
+
+def brunner_munzel(rows: DataFrame, group: str, value: str, a, b) -> DataFrame:
+    """(group_a, group_b, statistic, df): ranks in the pool less ranks within the group are placements; their spread scales the difference."""
+    pool = rows.filter(F.col(group).isin(a, b))
+    ranked = mid_ranks(pool, group, value).select(F.col(group).alias("g"), F.col(value).alias("v"), "n", "mid")
+    inner = []
+    for g in (a, b):
+        own = mid_ranks(pool.filter(F.col(group) == g), group, value)
+        inner.append(own.select(F.col(group).alias("g"), F.col(value).alias("v"), F.col("mid").alias("own")))
+    both = ranked.join(inner[0].union(inner[1]), ["g", "v"])
+    w = F.sum(F.col("n") * F.col("mid")) / F.sum("n")
+    means = both.groupBy("g").agg(F.sum("n").alias("size"), w.alias("mean"))
+    off = F.col("mid") - F.col("own") - F.col("mean") + (F.col("size") + 1) / 2
+    per = both.join(F.broadcast(means), "g").groupBy("g", "size", "mean").agg((F.sum(F.col("n") * off * off) / (F.col("size") - 1)).alias("s"))
+    one = lambda g, c: F.max(F.when(F.col("g") == g, F.col(c)))
+    k = per.agg(*[one(g, c).alias(f"{c}{i}") for i, g in enumerate((a, b)) for c in ("size", "mean", "s")])
+    n, m, x, y = F.col("size0"), F.col("size1"), F.col("size0") * F.col("s0"), F.col("size1") * F.col("s1")
+    stat = n * m * (F.col("mean1") - F.col("mean0")) / ((n + m) * F.sqrt(x + y))
+    df = (x + y) ** 2 / (x * x / (n - 1) + y * y / (m - 1))
+    return k.select(F.lit(a).alias("group_a"), F.lit(b).alias("group_b"), stat.alias("statistic"), df.alias("df"))
+
+
+def bootstrap(rows: DataFrame, groups: list[str], columns: list[str], statistic, times: int = 200, alpha: float = 0.05, seed: int = 7) -> DataFrame:
+    """(groups, estimate, low, high): percentile interval of ``statistic`` of a group's columns (arrays) over resamples with replacement.
+
+    A group's sample is drawn in one task, as each resample needs all of it; groups are samples of units, not of a corpus.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(groups).schema)
+
+    def run(key, pdf):
+        data = [pdf[c].to_numpy(float) for c in columns]
+        rng, n = np.random.default_rng(seed), len(pdf)
+        drawn = [statistic(*(x[at] for x in data)) for at in (rng.integers(0, n, n) for _ in range(times))]
+        low, high = np.nanquantile(drawn, [alpha / 2, 1 - alpha / 2])
+        return pd.DataFrame([(*key, float(statistic(*data)), float(low), float(high))], columns=[*groups, "estimate", "low", "high"])
+
+    return rows.select(*groups, *columns).dropna(subset=columns).groupBy(*groups).applyInPandas(run, f"{kinds}, estimate double, low double, high double")
 
 
 def theil_sen(rows: DataFrame, x: str, y: str, z: float = 1.959963984540054) -> DataFrame:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewave.functions import stats
+from tidewave.functions import special, stats
 from tidewave.plans.catalog import query, rows_only
 from tidewave.sources.tables import table
 
@@ -110,18 +107,120 @@ def dunn_pairs(spark, d):
 @rows_only
 def dunn_adjusted(spark, d):
     """Two-sided p-values of the pairs of groups, adjusted. The normal tail has no SQL form."""
+    tests = _dunn(spark, d).withColumn("p", special.column(special.normal_two_sided)("z"))
+    return stats.rejected(stats.adjust(tests, "p", ["group_a", "group_b"]), ["none", "holm", "fdr_bh"])
+
+
+_SEGMENTS = "(x.c_mktsegment, y.c_mktsegment) IN (('BUILDING', 'MACHINERY'), ('AUTOMOBILE', 'FURNITURE'))"
+_TESTED = (("BUILDING", "MACHINERY"), ("AUTOMOBILE", "FURNITURE"))
+
 
-    @F.pandas_udf("double")
-    def tail(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)))
+def _each(f, spark, d):
+    c = table(spark, d, "customer").select("c_mktsegment", "c_acctbal")
+    out = None
+    for a, b in _TESTED:
+        part = f(c, "c_mktsegment", "c_acctbal", a, b)
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    return stats.adjust(_dunn(spark, d).withColumn("p", tail("z")), "p", ["group_a", "group_b"])
+
+@query(f"""WITH u AS (SELECT x.c_mktsegment AS group_a, y.c_mktsegment AS group_b, sum(CASE WHEN x.c_acctbal > y.c_acctbal THEN 1.0 WHEN x.c_acctbal = y.c_acctbal THEN 0.5 ELSE 0 END) AS u FROM customer x, customer y WHERE {_SEGMENTS} GROUP BY ALL),
+k AS (SELECT u.*, (SELECT count(*) FROM customer WHERE c_mktsegment = group_a)::DOUBLE AS n, (SELECT count(*) FROM customer WHERE c_mktsegment = group_b)::DOUBLE AS m,
+ (SELECT sum(c * c * c - c) FROM (SELECT count(*)::DOUBLE AS c FROM customer WHERE c_mktsegment IN (group_a, group_b) GROUP BY c_acctbal)) AS t FROM u)
+SELECT group_a, group_b, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, round(u, 1) AS u, round((greatest(u, n * m - u) - n * m / 2 - 0.5) / sqrt(n * m / 12 * ((n + m + 1) - t / ((n + m) * (n + m - 1)))), 6) AS z FROM k""")
+def mann_whitney(spark, d):
+    return _each(stats.mann_whitney, spark, d).select("group_a", "group_b", "n", "m", F.round("u", 1).alias("u"), F.round("z", 6).alias("z"))
+
+
+@rows_only
+def mann_whitney_p(spark, d):
+    """Two-sided p: exact where both groups have few members and no ties, else from the normal score."""
+    found = _each(stats.mann_whitney, spark, d)
+
+    def p(u, z, n, m, untied):
+        return special.exact_u_tail(int(u), int(n), int(m)) if untied and min(n, m) <= 20 and n * m <= 40_000 else min(1.0, special.normal_two_sided(max(z, 0.0)))
+
+    out = found.withColumn("p", special.column(p)("u", "z", "n", "m", "untied")).drop("untied")
+    return stats.adjust(out, "p", ["group_a", "group_b"])
+
+
+@query(f"""WITH c AS (SELECT c_custkey, c_mktsegment AS g, c_acctbal AS v FROM customer), p AS (SELECT * FROM (VALUES ('BUILDING', 'MACHINERY'), ('AUTOMOBILE', 'FURNITURE')) AS t(group_a, group_b)),
+r AS (SELECT group_a, group_b, g, rank() OVER w + (count(*) OVER (PARTITION BY group_a, v) - 1) / 2.0 AS pooled, rank() OVER i + (count(*) OVER (PARTITION BY group_a, g, v) - 1) / 2.0 AS own FROM p JOIN c ON g IN (group_a, group_b) WINDOW w AS (PARTITION BY group_a ORDER BY v), i AS (PARTITION BY group_a, g ORDER BY v)),
+m AS (SELECT group_a, group_b, g, count(*)::DOUBLE AS n, avg(pooled) AS mean FROM r GROUP BY ALL), s AS (SELECT m.*, (SELECT sum((r.pooled - r.own - m.mean + (m.n + 1) / 2) ** 2) FROM r WHERE r.group_a = m.group_a AND r.g = m.g) / (n - 1) AS s FROM m),
+k AS (SELECT a.group_a, a.group_b, a.n AS n, b.n AS m, a.mean AS ma, b.mean AS mb, a.s AS sa, b.s AS sb FROM s a JOIN s b ON a.group_a = b.group_a AND a.g = a.group_a AND b.g = b.group_b)
+SELECT group_a, group_b, round(n * m * (mb - ma) / ((n + m) * sqrt(n * sa + m * sb)), 6) AS statistic, round((n * sa + m * sb) ** 2 / ((n * sa) ** 2 / (n - 1) + (m * sb) ** 2 / (m - 1)), 4) AS df FROM k""")
+def brunner_munzel(spark, d):
+    return _each(stats.brunner_munzel, spark, d).select("group_a", "group_b", F.round("statistic", 6).alias("statistic"), F.round("df", 4).alias("df"))
+
+
+@rows_only
+def brunner_munzel_p(spark, d):
+    """Two-sided p from Student's distribution, adjusted over the pairs."""
+    out = _each(stats.brunner_munzel, spark, d).withColumn("p", special.column(special.student_two_sided)("statistic", "df"))
+    return stats.rejected(stats.adjust(out, "p", ["group_a", "group_b"]), ["none", "holm", "fdr_bh"])
+
+
+@query(f"SELECT group_a, group_b, round((SELECT median(c_acctbal) FROM customer WHERE c_mktsegment = group_a) - (SELECT median(c_acctbal) FROM customer WHERE c_mktsegment = group_b), 4) AS estimate FROM (VALUES ('BUILDING', 'MACHINERY'), ('AUTOMOBILE', 'FURNITURE')) AS t(group_a, group_b)")
+def median_difference(spark, d):
+    c = table(spark, d, "customer").select("c_mktsegment", "c_acctbal")
+    m = stats.quantiles(c, ["c_mktsegment"], "c_acctbal", {"m": 0.5})
+    pairs = spark.createDataFrame(list(_TESTED), "group_a string, group_b string")
+    a, b = m.toDF("group_a", "ma"), m.toDF("group_b", "mb")
+    return F.broadcast(pairs).join(a, "group_a").join(b, "group_b").select("group_a", "group_b", F.round(F.col("ma") - F.col("mb"), 4).alias("estimate"))
+
+
+@rows_only
+def median_intervals(spark, d):
+    """Median of each segment with its bootstrap interval."""
+    import numpy as np
+
+    return stats.bootstrap(table(spark, d, "customer"), ["c_mktsegment"], ["c_acctbal"], np.median)
+
+
+@rows_only
+def correlation_interval(spark, d):
+    """Spearman's rho of each brand's sizes and prices with its bootstrap interval, pairs drawn together."""
+    import numpy as np
+    import pandas as pd
+
+    def rho(x, y):
+        a, b = pd.Series(x).rank().to_numpy(), pd.Series(y).rank().to_numpy()
+        return float(np.corrcoef(a, b)[0, 1]) if a.std() and b.std() else float("nan")
+
+    return stats.bootstrap(table(spark, d, "part"), ["p_brand"], ["p_size", "p_retailprice"], rho)
+
+
+@rows_only
+def kruskal_p(spark, d):
+    """H with its tail of the chi-square distribution."""
+    h = stats.kruskal(table(spark, d, "orders"), "o_orderpriority", "o_totalprice")
+    return h.withColumn("p", special.column(lambda h, k: special.gamma_rest((k - 1) / 2, h / 2))("h", "k"))
+
+
+@query("""WITH p AS (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part), m AS (SELECT count(*) AS n, sum(x) AS s1, sum(x ** 2) AS s2, sum(x ** 3) AS s3, sum(x ** 4) AS s4, sum(y) AS t0, sum(x * y) AS t1, sum(x * x * y) AS t2 FROM p),
+d AS (SELECT *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM m)
+SELECT round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det, 4) AS c0, round((n * (t1 * s4 - t2 * s3) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - s2 * t1)) / det, 5) AS c1, round((n * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - s2 * t1) + t0 * (s1 * s3 - s2 * s2)) / det, 6) AS c2 FROM d""")
+def polynomial_fit(spark, d):
+    """A parabola by sums of powers, which add up over all tasks."""
+    p = table(spark, d, "part").select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    s = [F.sum(F.col("x") ** k) for k in range(5)]
+    t = [F.sum(F.col("x") ** k * F.col("y")) for k in range(3)]
+    m = p.agg(*[c.alias(f"s{k}") for k, c in enumerate(s)], *[c.alias(f"t{k}") for k, c in enumerate(t)])
+    minor = lambda r: r[0] * (r[4] * r[8] - r[5] * r[7]) - r[1] * (r[3] * r[8] - r[5] * r[6]) + r[2] * (r[3] * r[7] - r[4] * r[6])
+    rows = [[F.col(f"s{i + j}") for j in range(3)] for i in range(3)]
+    det = minor([c for r in rows for c in r])
+    out = []
+    for k in range(3):
+        swapped = [[F.col(f"t{i}") if j == k else rows[i][j] for j in range(3)] for i in range(3)]
+        out.append(F.round(minor([c for r in swapped for c in r]) / det, 4 + k).alias(f"c{k}"))
+    return m.select(*out)
 
 
 @query("""WITH p AS (SELECT c_nationkey AS k, count(*) FILTER (c_acctbal < 0) / CAST(count(*) AS DOUBLE) / 5 AS p FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS i, count(*) OVER () AS m FROM p)
 SELECT k, round(p, 9) AS p, round(least(1, m * p), 9) AS bonferroni, round(1 - pow(1 - p, m), 9) AS sidak, round(max(least(1, (m - i + 1) * p)) OVER (ORDER BY i), 9) AS holm,
-round(min(least(1, m * p / i)) OVER (ORDER BY i DESC), 9) AS fdr_bh FROM r""")
+round(min(least(1, m * p / i)) OVER (ORDER BY i DESC), 9) AS fdr_bh, round(max(1 - pow(1 - p, m - i + 1)) OVER (ORDER BY i), 9) AS holm_sidak, round(min(least(1, (m - i + 1) * p)) OVER (ORDER BY i DESC), 9) AS simes_hochberg,
+round(min(least(1, (SELECT sum(1.0 / i) FROM r) * m * p / i)) OVER (ORDER BY i DESC), 9) AS fdr_by, min(least(1, m * p / i)) OVER (ORDER BY i DESC) <= 0.05 AS reject FROM r""")
 def adjusted_p_values(spark, d):
     c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg((F.count_if(F.col("c_acctbal") < 0) / F.count("*") / 5).alias("p"))
     out = stats.adjust(c, "p", ["k"])
-    return out.select("k", *[F.round(x, 9).alias(x) for x in ("p", "bonferroni", "sidak", "holm", "fdr_bh")])
+    return out.select("k", *[F.round(x, 9).alias(x) for x in ("p", "bonferroni", "sidak", "holm", "fdr_bh", "holm_sidak", "simes_hochberg", "fdr_by")], (F.col("fdr_bh") <= 0.05).alias("reject"))
