@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -36,53 +36,79 @@ NOISE = re.compile(r"^(ad|ads|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|b
 NO_CLASSES = SKIP | {"header", "html", "body", "article", "main"}
 
 
-class _Page(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+#: Elements whose content is text to their end tag, whatever it looks like.
+RAW = set("script style textarea title iframe xmp noembed noframes".split())
+ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
+_TAG = r"""<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>"""
+_TOKEN = re.compile(rf"(?P<text>[^<]+)|{_TAG}|<!--.*?(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<stray><)", re.S)
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: End tags that may be left out: a new block ends an open paragraph, an item its neighbour.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+
+
+@lru_cache(maxsize=100_000)
+def _element(tag: str, attrs: str) -> tuple[str, bool, bool, int]:
+    """Of a start tag: its label, whether it is dropped wherever it is, whether it marks an article, and how strongly a name hints at none (0 to 2)."""
+    held: dict[str, str] = {}
+    for name, *values in _ATTR.findall(attrs):
+        held.setdefault(name.lower(), unescape(next(filter(None, values), "")))
+    role = held.get("role")
+    label = ".".join([tag, *sorted(held.get("class", "").split())])
+    names = f"{held.get('class', '')} {held.get('id', '')}".lower().split()
+    whole = any(map(NOISE.match, names))
+    strength = 0 if tag in NO_CLASSES else 2 if whole else int(any(NOISE.match(w) for name in names for w in re.split(r"[-_]+", name)))
+    return label, tag in SKIP or "hidden" in held or role in ROLES, tag in ("article", "main") or role == "main", strength
+
+
+class _Page:
+    """Blocks of one page, read from its tags in order."""
+
+    def __init__(self, html: str):
         self.stack: list[tuple[str, str, bool, bool, tuple]] = []  # tag, label, dropped, in the article, hinted elements
         self.blocks: list[list] = []  # path, text, dropped, in the article, hinted elements
-        self.hinted = 0
-        self.fresh = True
-
-    def _noise(self, tag: str, attrs: dict, inside: bool) -> bool:
-        if tag in SKIP or (tag == "header" and not inside) or "hidden" in attrs:
-            return True
-        if attrs.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert"):
-            return True
-        return False
-
-    def _hint(self, tag: str, attrs: dict) -> int:
-        """2 if a whole name states no article text, 1 if a part of one does."""
-        if tag in NO_CLASSES:
-            return 0
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
-        return 2 if any(map(NOISE.match, names)) else int(any(NOISE.match(w) for name in names for w in re.split(r"[-_]+", name)))
-
-    def handle_starttag(self, tag, attrs):
+        self.hinted, self.fresh, at = 0, True, 0
+        while m := _TOKEN.match(html, at):
+            at = m.end()
+            kind = m.lastgroup
+            if kind == "text" or kind == "stray":
+                text = m[0]
+                self._add(unescape(text) if "&" in text else text)
+            elif kind == "attrs":
+                tag, attrs = m["tag"].lower(), m["attrs"]
+                if m["end"]:
+                    self._end(tag)
+                    continue
+                self._start(tag, attrs)
+                if attrs.endswith("/"):
+                    self._end(tag)
+                elif tag in RAW:
+                    stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                    at = stop.start() if stop else len(html)
+
+    def _start(self, tag: str, attrs: str) -> None:
         if tag == "br":
             self._add(" ")
+        stack = self.stack
         if tag in BLOCKS:
             self.fresh = True
-            # End tags that may be left out: a new block ends an open paragraph, an item its neighbour.
-            closes = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}.get(tag, set())
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] in closes | {"p"}:
-                    del self.stack[k:]
+            closes = CLOSES.get(tag, ())
+            for k in range(len(stack) - 1, -1, -1):
+                name = stack[k][0]
+                if name == "p" or name in closes:
+                    del stack[k:]
                     break
-                if self.stack[k][0] in BLOCKS:
+                if name in BLOCKS:
                     break
         if tag in VOID:
             return
-        attrs = dict(attrs)
-        dropped, inside, hints = self.stack[-1][2:] if self.stack else (False, False, ())
-        if strength := self._hint(tag, attrs):
+        label, noise, article, strength = _element(tag, attrs)
+        dropped, inside, hints = stack[-1][2:] if stack else (False, False, ())
+        if strength:
             self.hinted += 1
             hints = (*hints, (self.hinted, strength))
-        here = inside or tag in ("article", "main") or attrs.get("role") == "main"
-        label = ".".join([tag, *sorted((attrs.get("class") or "").split())])
-        self.stack.append((tag, label, dropped or self._noise(tag, attrs, inside), here, hints))
+        stack.append((tag, label, dropped or noise or (tag == "header" and not inside), inside or article, hints))
 
-    def handle_endtag(self, tag):
+    def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self.fresh = True
         for k in range(len(self.stack) - 1, -1, -1):
@@ -90,17 +116,14 @@ class _Page(HTMLParser):
                 del self.stack[k:]
                 return
 
-    def handle_data(self, data):
-        self._add(data)
-
-    def _add(self, data):
+    def _add(self, data: str) -> None:
         dropped, inside, hints = self.stack[-1][2:] if self.stack else (False, False, ())
         # A run of text that is dropped, hinted or in the article otherwise than the block so far is a block of its own; dropped inline text only leaves the block.
         other = self.blocks and not self.fresh and (self.blocks[-1][2:] != [dropped, inside, hints]) and not dropped
         if self.fresh or not self.blocks or other:
             if not data.strip():
                 return
-            path = "/".join(label for tag, label, *_ in self.stack if tag in BLOCKS)
+            path = "/".join([label for tag, label, *_ in self.stack if tag in BLOCKS])
             self.blocks.append([path, "", dropped, inside, hints])
             self.fresh = False
         if not dropped or self.blocks[-1][2]:
@@ -113,9 +136,7 @@ def blocks_of(html: str | None) -> list[tuple[str, str, str, bool]]:
     ``hint``: a class or id of an element around it states no article text. A part of a name
     counts only if the element holds less than half of the page's text.
     """
-    page = _Page()
-    page.feed(html or "")
-    page.close()
+    page = _Page(html or "")
     blocks = [(path, text, *rest) for path, raw, *rest in page.blocks if (text := " ".join(raw.split()))]
     live = [b for b in blocks if not b[2]]
     marked, held = any(b[3] for b in live), {}
@@ -186,28 +207,30 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     rows = cut(pages.select("row", parse("html", "host").alias("blocks")))
     page = F.xxhash64(F.transform("blocks", lambda b: b["text"]), F.transform("blocks", lambda b: F.get(b["nodes"], 0)))
-    blocks = rows.select("row", page.alias("page"), F.explode("blocks").alias("b")).select("row", "page", "b.*")
+    blocks = cut(rows.select("row", page.alias("page"), F.explode("blocks").alias("b")).select("row", "page", "b.*"))
     known = cut(importances(blocks))
     if known.count() * 16 <= BROADCAST_BYTES:
         table = known.toPandas().sort_values("node")
         sent = pages.sparkSession.sparkContext.broadcast((table["node"].to_numpy(np.int64), table["importance"].to_numpy(np.float64)))
 
-        def stays(host: str, block: tuple) -> bool:
-            path, _, state, hint = block
+        @lru_cache(maxsize=200_000)
+        def importance_of(host: str, path: str) -> float:
             names, values = sent.value
-            importance = PLAIN
             for node in _nodes(host, path):
                 k = int(np.searchsorted(names, node))
                 if k < len(names) and names[k] == node:
-                    importance = values[k]
-                    break
-            return importance * (HINT if hint else 1) * (OUTSIDE if state == "out" else 1) + (INSIDE if state == "in" else 0) >= threshold
+                    return float(values[k])
+            return PLAIN
+
+        def stays(host: str, block: tuple) -> bool:
+            path, _, state, hint = block
+            return importance_of(host, path) * (HINT if hint else 1) * (OUTSIDE if state == "out" else 1) + (INSIDE if state == "in" else 0) >= threshold
 
         @F.pandas_udf("string")
         def text(html: pd.Series, host: pd.Series) -> pd.Series:
             return pd.Series([_kept(h, lambda i, b, name=name: stays(name, b)) for h, name in zip(html, host)], dtype=object)
 
-        release(rows, known)
+        release(rows, blocks, known)
         return pages.select("page_id", "url", text("html", "host").alias("text"))
 
     # Too many nodes to send: blocks look theirs up by a join, and pages are joined with the numbers of the blocks that go.
