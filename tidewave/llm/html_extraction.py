@@ -213,14 +213,18 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         table = known.toPandas().sort_values("node")
         sent = pages.sparkSession.sparkContext.broadcast((table["node"].to_numpy(np.int64), table["importance"].to_numpy(np.float64)))
 
-        @lru_cache(maxsize=200_000)
+        met: dict[tuple[str, str], float] = {}
+
         def importance_of(host: str, path: str) -> float:
-            names, values = sent.value
-            for node in _nodes(host, path):
-                k = int(np.searchsorted(names, node))
-                if k < len(names) and names[k] == node:
-                    return float(values[k])
-            return PLAIN
+            found = met.get((host, path))
+            if found is None:
+                names, values = sent.value
+                at = ((node, int(np.searchsorted(names, node))) for node in _nodes(host, path))
+                found = next((float(values[k]) for node, k in at if k < len(names) and names[k] == node), PLAIN)
+                if len(met) > 200_000:
+                    met.clear()
+                met[host, path] = found
+            return found
 
         def stays(host: str, block: tuple) -> bool:
             path, _, state, hint = block
