@@ -452,3 +452,53 @@ def event_distributions(spark, d):
     per = m.groupBy("root").agg(F.countDistinct("cell").cast("double").alias("cells"), (F.max("frame") - F.min("frame")).cast("double").alias("duration")).unpivot([], ["cells", "duration"], "metric", "value")
     lags = _links(spark, d).select(F.lit("lag").alias("metric"), F.col("lag").cast("double").alias("value"))
     return binning.distribution(per.unionByName(lags), ["metric"], "value")
+
+
+_BINS = f"""{_GLOBAL}, spans AS (SELECT event, min(frame) AS a, max(frame) AS b FROM globals GROUP BY event), bins AS (SELECT event, i, a + i * (b - a + 1) // 6 AS lo, CASE WHEN i = 5 THEN b ELSE a + (i + 1) * (b - a + 1) // 6 - 1 END AS hi FROM spans, (SELECT unnest(range(0, 6)) AS i)),
+held AS (SELECT DISTINCT k.event, k.i, g.cell, 10.0 * (g.cell % 15) AS x, 10.0 * (g.cell // 15) AS y FROM bins k JOIN globals g ON g.event = k.event AND g.frame BETWEEN k.lo AND k.hi),
+mid AS (SELECT event, i, median(x) AS mx, median(y) AS my FROM held GROUP BY ALL), off AS (SELECT h.*, sqrt((x - mx) ** 2 + (y - my) ** 2) AS r FROM held h JOIN mid USING (event, i)), md AS (SELECT event, i, median(r) AS m FROM off GROUP BY ALL),
+bar AS (SELECT o.event, o.i, any_value(m) + 3 * median(abs(r - m)) AS bar FROM off o JOIN md USING (event, i) GROUP BY ALL), com AS (SELECT o.event, o.i, avg(x) AS x, avg(y) AS y FROM off o JOIN bar USING (event, i) WHERE r <= bar + 1e-9 GROUP BY ALL),
+points AS (SELECT k.event, k.i, (k.lo + k.hi) / 2.0 AS t, k.hi >= k.lo AS has, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM bins k LEFT JOIN com USING (event, i)), inner_points AS (SELECT * FROM points WHERE i BETWEEN 1 AND 4),
+way AS (SELECT event, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, max(x) FILTER (i = 4) - max(x) FILTER (i = 1) AS dx, max(y) FILTER (i = 4) - max(y) FILTER (i = 1) AS dy, max(t) FILTER (i = 4 AND has) - max(t) FILTER (i = 1 AND has) AS dt FROM inner_points GROUP BY event),
+wide AS (SELECT a.event, max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS extent FROM held a JOIN held b ON a.event = b.event GROUP BY a.event)"""
+
+
+def wave_bins(g: DataFrame, bins: int = 6, spread: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """Cells of each time bin of each event (event, i, x, y), and each bin's middle (event, i, t, some, x, y).
+
+    A middle is the mean of the cells no further from the median place than the median distance plus ``spread`` median deviations; (0, 0) for an empty bin.
+    """
+    span = g.groupBy("event").agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
+    edge = lambda i: F.col("a") + F.floor(i * (F.col("b") - F.col("a") + 1) / bins)
+    grid = span.withColumn("i", F.explode(F.array(*map(F.lit, range(bins))))).withColumns({"lo": edge(F.col("i")), "hi": F.when(F.col("i") == bins - 1, F.col("b")).otherwise(edge(F.col("i") + 1) - 1)})
+    grid = graph.cut(grid.select("event", "i", "lo", "hi"))
+    held = g.join(F.broadcast(grid), "event").filter(F.col("frame").between(F.col("lo"), F.col("hi"))).select("event", "i", "cell").distinct()
+    held = graph.cut(held.select("event", "i", (10.0 * (F.col("cell") % 15)).alias("x"), (10.0 * F.floor(F.col("cell") / 15)).alias("y")))
+    # Bins of one event hold at most the cells of a recording.
+    middle = held.groupBy("event", "i").agg(F.median("x").alias("mx"), F.median("y").alias("my"))
+    off = held.join(middle, ["event", "i"]).withColumn("r", F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2))
+    near = off.groupBy("event", "i").agg(F.median("r").alias("m"))
+    away = off.join(near, ["event", "i"]).groupBy("event", "i").agg((F.first("m") + spread * F.median(F.abs(F.col("r") - F.col("m")))).alias("bar"))
+    com = off.join(away, ["event", "i"]).filter(F.col("r") <= F.col("bar") + 1e-9).groupBy("event", "i").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    points = grid.join(com, ["event", "i"], "left")
+    return held, points.select("event", "i", ((F.col("lo") + F.col("hi")) / 2).alias("t"), (F.col("hi") >= F.col("lo")).alias("some"), F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
+
+
+@query(f"""WITH {_BINS} SELECT event, round(sqrt(dx * dx + dy * dy), 6) AS net, round(extent, 6) AS extent, extent > 0 AND sqrt(dx * dx + dy * dy) >= 0.25 * extent AS is_directional,
+round(CASE WHEN extent > 0 AND sqrt(dx * dx + dy * dy) >= 0.25 * extent THEN abs(cos(0.5 * atan2(2 * xy, xx - yy))) ELSE 0 END, 4) AS along_x,
+round(CASE WHEN extent > 0 AND sqrt(dx * dx + dy * dy) >= 0.25 * extent AND dt > 0 THEN sqrt(dx * dx + dy * dy) / dt ELSE 0 END, 6) AS speed FROM way JOIN wide USING (event)""")
+def global_direction(spark, d):
+    """Main axis of the middles of the inner time bins, if the wave moved by a quarter of its extent, and its speed from the first of them to the last."""
+    held, points = wave_bins(_globals(spark, d))
+    at = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    timed = lambda i: F.max(F.when((F.col("i") == i) & F.col("some"), F.col("t")))
+    way = points.filter("i BETWEEN 1 AND 4").groupBy("event").agg(
+        F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"), (at("x", 4) - at("x", 1)).alias("dx"), (at("y", 4) - at("y", 1)).alias("dy"), (timed(4) - timed(1)).alias("dt")
+    )
+    a, b = held.select("event", "x", "y").distinct(), held.select("event", F.col("x").alias("bx"), F.col("y").alias("by")).distinct()
+    wide = a.join(b, "event").groupBy("event").agg(F.max(F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)).alias("extent"))
+    net = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)
+    moved = (F.col("extent") > 0) & (net >= 0.25 * F.col("extent"))
+    axis = F.abs(F.cos(0.5 * F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy"))))
+    speed = F.when(moved & (F.col("dt") > 0), net / F.col("dt")).otherwise(0.0)
+    return way.join(wide, "event").select("event", F.round(net, 6).alias("net"), F.round("extent", 6).alias("extent"), moved.alias("is_directional"), F.round(F.when(moved, axis).otherwise(0.0), 4).alias("along_x"), F.round(speed, 6).alias("speed"))
