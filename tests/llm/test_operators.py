@@ -504,3 +504,31 @@ def test_encoder_gives_the_ids_of_the_library():
         for _ in range(1500):
             text = "".join(parts[k] for k in rng.integers(0, len(parts) if size < 30 else 18, size))
             assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer_once().encode(text, add_special_tokens=False).ids, text
+
+
+def test_neighbours_of_repeated_ids_and_mixed_lengths(spark):
+    rows = [(0, [1.0, 0.0], "a", 1), (0, [0.0, 1.0], "b", 2), (1, [0.0, 2.0], "c", 3), (2, [1.0, 1.0, 1.0], "d", 4), (3, [1.0, 1.0], "e", 5), (4, [1.0, 1.0], "f", 6), (4, [1.0, 1.0], "f", 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string, score int")
+    out = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(frame).collect()]
+    assert sorted(out) == [(0, 1, 1), (0, 2, 3), (0, 3, 4)]
+
+
+def test_columns_of_any_name_and_stages_on_odd_rows(spark, odd):
+    """Every stage, and the operators that number rows, on null, empty, long and repeated texts, with columns named like their own."""
+    import corpus_pipeline
+
+    clash = odd.selectExpr("doc_id", "text", "lang", "'s' AS source", "cast(length(text) AS long) AS n_chars", "1 AS _row", "'x' AS _lid", "2 AS _text", "3 AS score", "'y' AS lang_pred", "'z' AS removed", "4 AS row", "5 AS doc", "6 AS label")
+    docs = clash.drop("n_chars").withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert len(rows) == 11 and rows[5].text == ""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        kept = out.collect()
+        assert out.columns == docs.columns and out.count() == len(kept) and {(r._row, r.score, r.lang_pred) for r in kept} <= {(1, 3, "y")}
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name == "language_id":
+            assert {r.doc_id for r in kept} == {4, 5, 6, 7, 8, 9, None} and all(r.lang for r in kept)
+        if name == "line_dedup":
+            assert sum("three" in r.text for r in kept) == 1 and all(r.n_chars == len(r.text) for r in kept)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert pieces.filter("piece = 0").count() == docs.count()
