@@ -1,8 +1,9 @@
 """Benchmark decontamination: a BM25 index of test items, searched by every training passage with block-max WAND.
 
 Items are the indexed documents, passages the queries. Impacts are divided by the item's own best score, so one threshold
-serves all items. Items lie in blocks with the largest impact per word; a passage skips blocks whose sum of largest
-impacts stays below the threshold, the others are scored exactly: the retrieved set is that of a full evaluation. Hits
+serves all items. Items lie in small blocks with the largest impact per word; the sums of the largest impacts of a passage's words
+bound all blocks at once, and only blocks whose bound reaches the threshold are scored, exactly: the retrieved set is that of a full
+evaluation. Hits
 are verified by word shingles of the item's question and answer (its last sentence).
 """
 
@@ -19,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-BLOCK = 64
+#: Items of a block: the fewer, the closer its bound, and the more blocks to bound.
+BLOCK = 8
 #: Items of one index; more items are searched in more passes, each with an index of this size.
-SLICE = 4096
-#: Words weighed together; bounds the memory a long text takes.
-SPAN = 1 << 15
+SLICE = 2048
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 _WORD = re.compile(r"\w+")
 
@@ -74,13 +74,6 @@ def statistics(bags: list[Counter]) -> Statistics:
     return Statistics(len(bags), Counter(w for b in bags for w in b), sum(sizes) / max(1, len(bags)), max(sizes, default=0))
 
 
-class _Places(dict):
-    """Places of words; words no item has are in the place behind the last."""
-
-    def __missing__(self, word: str) -> int:
-        return len(self)
-
-
 class Index:
     """Blocks of items. A block keeps the impacts of its own words and the largest impact of each. ``stats`` are of all items, these by default."""
 
@@ -103,50 +96,37 @@ class Index:
                     impact[place[self.vocabulary[w]], j] = log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm)
             impact /= impact.sum(axis=0)
             self.blocks.append((local, impact, impact.max(axis=1)))
-        # The largest impact of each word in each block; the last row is of words no item has.
-        self.places = _Places(self.vocabulary)
-        self.largest = np.zeros((len(self.vocabulary) + 1, len(self.blocks)), np.float32)
+        # The largest impact of each word in each block: one look-up tells the blocks worth a look.
+        self.largest = np.zeros((len(self.vocabulary), len(self.blocks)), np.float32)
         for k, (local, _, largest) in enumerate(self.blocks):
             self.largest[local, k] = largest
 
     def search(self, ids: np.ndarray, threshold: float) -> dict[int, float]:
         """Every item (by place) that scores at least ``threshold`` for the distinct word ids of a passage."""
         found = {}
-        for k, (local, impact, largest) in enumerate(self.blocks):
+        for k in np.flatnonzero(self.largest[ids].sum(axis=0) >= threshold - 1e-4).tolist():
+            local, impact, _ = self.blocks[k]
             at = np.searchsorted(local, ids)
             at[at == len(local)] = 0
-            at = at[local[at] == ids]
-            if not len(at) or largest[at].sum() < threshold - 1e-4:
-                continue
-            # Pivot: words whose largest impacts together stay below the threshold cannot bring an item in by themselves.
-            order = at[np.argsort(-largest[at])]
-            rest = np.cumsum(largest[order][::-1])[::-1]
-            lead = order[: int((rest >= threshold - 1e-4).sum())]
-            alive = np.flatnonzero(impact[lead].any(axis=0))
-            score = impact[np.ix_(order, alive)].sum(axis=0)
-            for j in np.flatnonzero(score >= threshold - 1e-4):
-                found[k * BLOCK + int(alive[j])] = float(score[j])
+            score = impact[at[local[at] == ids]].sum(axis=0)
+            for j in np.flatnonzero(score >= threshold - 1e-4).tolist():
+                found[k * BLOCK + j] = float(score[j])
         return found
 
     def matches(self, text: str | None, threshold: float, least: float):
         tokens = words(text)
-        known = np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))
-        if not len(known):
+        get = self.vocabulary.get
+        distinct = np.array(sorted(map(get, self.vocabulary.keys() & set(tokens))), np.int64)
+        # A whole text scores at least as much as any passage in it, so texts without hits need no passages.
+        if not len(distinct) or not self.search(distinct, threshold):
             return
+        known = np.array([get(w, -1) for w in tokens], np.int64)
         best: dict[int, tuple] = {}
         step = max(SHINGLE, self.longest)
-        # A passage's words, repeats included, weigh at least as much as its distinct ones: no passage below the threshold is looked at.
-        at = np.arange(0, max(1, len(tokens) - step), step)
-        weights = []
-        for some in np.array_split(at, -(-len(tokens) // SPAN)):
-            if len(some):
-                reach = np.cumsum(self.largest[known[some[0] : some[-1] + 2 * step]], axis=0, dtype=np.float64)
-                ends, before = np.minimum(some - some[0] + 2 * step, len(reach)) - 1, some - some[0] - 1
-                weights.append((reach[ends] - np.where(before[:, None] >= 0, reach[before], 0)).max(axis=1, initial=0))
-        for lo in at[np.concatenate(weights) >= threshold - 1e-3].tolist():
-            passage = slice(lo, lo + 2 * step)
+        for at in range(0, max(1, len(tokens) - step), step):
+            passage = slice(at, at + 2 * step)
             ids = np.unique(known[passage])
-            for k, score in self.search(ids[ids < len(self.vocabulary)], threshold).items():
+            for k, score in self.search(ids[ids >= 0], threshold).items():
                 item, q, a = self.items[k]
                 row = (item, score, overlap(q, tokens[passage]), overlap(a, tokens[passage]))
                 if min(row[2:]) >= least and row[1:] > best.get(k, (0, 0.0))[1:]:

@@ -8,8 +8,8 @@ comes from counts in a fixed number of hashed slots, and the index names words b
 words only adds candidates, never loses a pair.
 
 A line goes if one earlier line is near it, so not all near pairs are wanted. Sets that agree in a min-wise signature first
-meet the first set of that signature; where that one is near, the set is resolved. The sets that resolved others then meet the
-rest by the prefix join, and last the sets still not resolved meet all. So a group of near copies costs its size, not its square.
+meet the first set of that signature; where that one is near, the set is resolved. By the prefix join the sets still not resolved
+then meet all. So most of a group of near copies costs its size, not its square.
 
 Texts travel once, keyed by row; the index holds numbers only.
 """
@@ -205,14 +205,6 @@ def _by_prefix(sets: DataFrame, done: DataFrame, jaccard: float) -> DataFrame:
     return cut(own.union(_meet(rest, todo, F.col("x_node") != F.col("y_node"), jaccard)).distinct())
 
 
-def _by_centre(sets: DataFrame, pairs: DataFrame, done: DataFrame, jaccard: float) -> DataFrame:
-    """As ``_by_prefix``, but only pairs of a set that is not ``done`` and one that resolved others."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(done, "node", "left_anti")
-    some = sets.filter(F.size("prefix") > 0)
-    centres = sized(_entries(some.join(nodes, "node", "left_semi")), F.lit(64))
-    return cut(_meet(_entries(some.join(done, "node", "left_anti")), centres, F.col("x_node") != F.col("y_node"), jaccard).distinct())
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, row: str, jaccard: float) -> DataFrame:
     """The pairs (a, b) whose lines reach the similarity. Only lines of candidates are taken from their documents."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -267,14 +259,11 @@ def removed_lines(docs: DataFrame, row: str, *, jaccard: float = JACCARD, least_
     sets = cut(sets.withColumn("node", F.monotonically_increasing_id()))
     if not sets.limit(1).count():
         return lines.select(F.col("row").alias(row), F.array("line").alias("removed"))
-    near = None
-    for find in (_by_signature, _by_centre, _by_prefix):
-        done = near and sized(near.select("node").distinct(), F.lit(16))
-        met = find(sets, jaccard) if near is None else find(sets, *[links] * (find is _by_centre), done, jaccard)
-        links = _verified(met, sets, docs, row, jaccard)
-        more = _earliest(sets, links)
-        near = more if near is None else near.union(more)
-        release(met)
+    met = _by_signature(sets, jaccard)
+    early = _earliest(sets, _verified(met, sets, docs, row, jaccard))
+    pairs = _by_prefix(sets, sized(early.select("node"), F.lit(16)), jaccard)
+    near = early.union(_earliest(sets, _verified(pairs, sets, docs, row, jaccard)))
+    release(met, pairs)
     near = near.groupBy("node").agg(F.min("near").alias("near"))
     # A line that others equal or come near to is looked up; one key may own many lines, so the table has one row a key.
     table = sets.select("k", "n", "p1", "p2", "copies", "node", _place().alias("place")).join(near, "node", "left").filter("copies > 1 OR near IS NOT NULL")
