@@ -81,11 +81,24 @@ def lagged_pearson(spark, d):
 @query(f"""WITH {_DAILY}, r AS (SELECT cell_a, cell_b, lag, rank() OVER (PARTITION BY cell_a, cell_b, lag ORDER BY a) + (count(*) OVER (PARTITION BY cell_a, cell_b, lag, a) - 1) / 2.0 AS a, rank() OVER (PARTITION BY cell_a, cell_b, lag ORDER BY b) + (count(*) OVER (PARTITION BY cell_a, cell_b, lag, b) - 1) / 2.0 AS b FROM lagged),
 s AS (SELECT cell_a, cell_b, lag, CASE WHEN stddev_pop(a) > 1e-6 AND stddev_pop(b) > 1e-6 THEN corr(a, b) END AS s FROM r GROUP BY ALL) SELECT cell_a, cell_b, round(coalesce(max(s), 0), 6) AS similarity FROM s GROUP BY ALL""")
 def lagged_spearman(spark, d):
-    def ranks(v):
-        # Mid-ranks of a short array: how many are less, and half of those equal.
-        return F.transform(v, lambda x: F.size(F.filter(v, lambda y: y < x)) + (F.size(F.filter(v, lambda y: y == x)) + 1) / F.lit(2.0))
-
-    return _pairs(spark, d).select("cell_a", "cell_b", F.round(F.coalesce(F.greatest(*[_corr(*map(ranks, _shifted(k))) for k in range(-LAG, LAG + 1)]), F.lit(0.0)), 6).alias("similarity"))
+    def mid_ranks(v: np.ndarray) -> np.ndarray:
+        _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2)[at]
+
+    def best(a: np.ndarray, b: np.ndarray) -> float:
+        found = []
+        for k in range(-LAG, LAG + 1):
+            x, y = mid_ranks(a[max(k, 0) : len(a) + min(k, 0)]), mid_ranks(b[max(-k, 0) : len(b) + min(-k, 0)])
+            if x.std() > 1e-6 and y.std() > 1e-6:
+                found.append(((x - x.mean()) * (y - y.mean())).mean() / (x.std() * y.std()))
+        return max(found, default=0.0)
+
+    @F.pandas_udf("double")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([best(np.asarray(x), np.asarray(y)) for x, y in zip(a, b)])
+
+    # Ranks within array functions take quadratic time, hence a kernel.
+    return _pairs(spark, d).select("cell_a", "cell_b", F.round(similar("a", "b"), 6).alias("similarity"))
 
 
 @query(f"""WITH {_DAILY}, w AS (SELECT unnest(range(0, (SELECT count(*) - 9 FROM days), 5)) AS start_day)
