@@ -120,6 +120,29 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label.rank").alias("label"))
 
 
+#: Rows of one batch sent to a Python worker: texts may be long, and a worker holds a batch several times over.
+BATCH = 1024
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends batches of ``BATCH`` rows unless it was told a size of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH))
+    return df
+
+
+def tidy() -> None:
+    """Give freed memory back to the system at the end of a task: workers live on, and idle ones count as much as busy ones."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library that has it
+        pass
+
+
 def slot_counts(docs: DataFrame, batch_counts, slots: int):
     """Broadcast of counts by slot (int32, ``slots`` of them, a power of two), summed over all rows of ``docs``.
 
@@ -133,6 +156,8 @@ def slot_counts(docs: DataFrame, batch_counts, slots: int):
         blocks = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32).reshape(-1, size)
         at = np.flatnonzero(blocks.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([blocks[i].tobytes() for i in at], pa.binary())], names=["block", "counts"])
+        del total, blocks
+        tidy()
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -143,7 +168,7 @@ def slot_counts(docs: DataFrame, batch_counts, slots: int):
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(held, pa.binary())], names=["block", "counts"])
 
     schema, parts = "block int, counts binary", min(slots // size, shuffle_partitions(docs.sparkSession))
-    got = docs.mapInArrow(count, schema).repartition(parts, "block").mapInArrow(add, schema).collect()
+    got = small_batches(docs).mapInArrow(count, schema).repartition(parts, "block").mapInArrow(add, schema).collect()
     table = np.zeros((slots // size, size), np.int32)
     for r in got:
         table[r["block"]] = np.frombuffer(r["counts"], np.int32)

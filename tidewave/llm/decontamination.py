@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidy
+
 K1, B = 1.2, 0.75
 #: Items of a block: the fewer, the closer its bound, and the more blocks to bound.
 BLOCK = 8
@@ -183,7 +185,8 @@ def contaminated(
                 hits = [(d, *m) for d, t in zip(pdf["doc_id"], pdf["text"]) for m in held.value.matches(t, threshold, least)]
                 if hits:
                     yield pd.DataFrame(hits, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+            tidy()
 
-        part = rows.mapInPandas(run, schema)
+        part = small_batches(rows).mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
     return out

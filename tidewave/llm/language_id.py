@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, small_batches, tidy
 
 HASHES = 3
 #: An n-gram belongs to a language if at least this share of its learning documents holds it. So a language has at most
@@ -23,6 +23,8 @@ HASHES = 3
 SHARE = 0.004
 
 
+#: Which of eight bits each byte has.
+_BITS = np.arange(256)[:, None] >> np.arange(8) & 1
 #: Code points hashed together; bounds the memory a long text takes.
 BLOCK = 1 << 18
 _POINT = np.uint64(21)
@@ -84,6 +86,10 @@ class Filter:
     wrong: np.ndarray  # false-positive rate per language
     default: int
 
+    def __post_init__(self):
+        # Up to eight languages fit a byte, and the table the caches of a processor.
+        self.small = self.slots[:, 0].astype(np.uint8) if len(self.languages) <= 8 else None
+
     @classmethod
     def build(cls, languages: list[str], gram: np.ndarray, lang: np.ndarray, default: int) -> Filter:
         m = 1 << max(10, int(16 * max(1, len(gram))).bit_length())
@@ -105,11 +111,13 @@ class Filter:
         g = grams(text)
         if not len(g) or not self.languages:
             return "und", 0.0
-        masks = None
-        for s in self._places(g, len(self.slots)):
-            masks = self.slots[s] if masks is None else masks & self.slots[s]
-        masks = masks[masks.any(axis=1)]
-        hits = np.array([np.count_nonzero(masks[:, k // 64] & np.uint64(1 << k % 64)) for k in range(len(self.languages))])
+        masks, table = None, self.slots if self.small is None else self.small
+        for s in self._places(g, len(table)):
+            masks = table[s] if masks is None else masks & table[s]
+        if self.small is None:
+            hits = np.array([np.count_nonzero(masks[:, k // 64] & np.uint64(1 << k % 64)) for k in range(len(self.languages))])
+        else:
+            hits = (np.bincount(masks, minlength=256) @ _BITS)[: len(self.languages)]
         true = np.maximum(0, (hits - len(g) * self.wrong) / (1 - np.minimum(self.wrong, 0.999)))
         if true.sum() <= 0:
             return self.languages[self.default], 0.0
@@ -121,21 +129,29 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sh
     """The filter from all labelled rows. What the driver reads is bounded by ``share``, not by the number of rows."""
 
     def count(batches):
+        held: dict[str, list] = {}
+
+        def merged(parts):
+            value, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+            return value, np.bincount(at, np.concatenate([n for _, n in parts]), len(value)).astype(np.int64)
+
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
                 # Lists of some documents are merged before the next ones are read, which bounds the memory.
-                values, numbers, some, size = [], [], [], 0
+                parts, some, size = held.setdefault(lang, []), [], 0
                 for i, t in enumerate(texts):
                     some.append(grams(t))
                     size += len(some[-1])
                     if size > 1 << 20 or i == len(texts) - 1:
-                        value, n = np.unique(np.concatenate(some), return_counts=True)
-                        values.append(value)
-                        numbers.append(n)
+                        parts.append(np.unique(np.concatenate(some), return_counts=True))
                         some, size = [], 0
-                value, at = np.unique(np.concatenate(values), return_inverse=True)
-                n = np.bincount(at, np.concatenate(numbers), len(value)).astype(np.int64)
-                yield pd.DataFrame({"lang": lang, "gram": value.view(np.int64), "n": n})
+                if sum(len(v) for v, _ in parts) > 1 << 21:
+                    parts[:] = [merged(parts)]
+        for lang, parts in held.items():
+            value, n = merged(parts)
+            yield pd.DataFrame({"lang": lang, "gram": value.view(np.int64), "n": n})
+        held.clear()
+        tidy()
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
@@ -143,7 +159,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sh
     if not languages:
         return Filter.build([], np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
     limit = F.create_map(*[F.lit(v) for x, n in sizes for v in (x, max(1.0, share * n))])
-    counts = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = small_batches(rows).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     kept = counts.filter(F.col("n") >= F.element_at(limit, F.col("lang"))).select("lang", "gram").toPandas()
     number = {x: i for i, x in enumerate(languages)}
     default = max(range(len(sizes)), key=lambda i: (sizes[i][1], -i))
@@ -157,7 +173,9 @@ def predicted(model: Filter):
     def run(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([held.value.predict(t) for t in text], columns=["lang_pred", "score"])
 
-    held = SparkSession.active().sparkContext.broadcast(model)
+    spark = SparkSession.active()
+    small_batches(spark.range(0))
+    held = spark.sparkContext.broadcast(model)
     return run
 
 

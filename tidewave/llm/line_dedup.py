@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, numbered, release, sized, slot_counts
+from .common import cut, free_name, numbered, release, sized, slot_counts, tidy
 
 JACCARD = 0.8
 #: Lines of fewer distinct words never go; 1 lets every line take part that is not blank.
@@ -91,7 +91,7 @@ def _order(docs: DataFrame):
                 text = text.as_py()
                 if text:
                     some.update(text.lower().encode().split())
-                    if len(some) > 300_000:
+                    if len(some) > 150_000:
                         flush()
         flush()
 
@@ -144,6 +144,7 @@ def _lines(docs: DataFrame, row: str, held, jaccard: float, least: int) -> DataF
             rows = pa.array(at[kept])
             columns = [batch.column("row").take(rows), batch.column("doc").take(rows), *[pa.array(x[kept]) for x in (numbers, key, n.astype(np.int32), p1, p2)], sign, prefix, places]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc", "line", "k", "n", "p1", "p2", "signs", "prefix", "places"])
+        tidy()
 
     kind = docs.schema["doc"].dataType.simpleString()
     schema = f"row long, doc {kind}, line int, k long, n int, p1 long, p2 long, signs array<long>, prefix array<int>, places array<smallint>"

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, release, sized, slot_counts
+from .common import components, cut, release, sized, slot_counts, tidy
 from .simhash import near_pairs
 
 JACCARD, WIDTH = 0.8, 5
@@ -39,7 +39,7 @@ class _Hashes(dict):
     """Hashes of words met by a worker; bounded, as words beyond are hashed anew."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word, 5)
         return found
@@ -111,6 +111,7 @@ def _sets(docs: DataFrame, row: str, held, width: int, jaccard: float) -> DataFr
             k1, k2, n, bits = (pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64())))
             columns = [batch.column("row"), k1, k2, n, bits, pa.array(signs, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "k1", "k2", "n", "bits", "signs", "prefix"])
+        tidy()
 
     schema = "row long, k1 long, k2 long, n int, bits long, signs array<long>, prefix array<long>"
     return docs.select(F.col(row).alias("row"), "text").mapInArrow(parse, schema)
@@ -158,6 +159,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, row: str, width: int, jaccard:
                 shared = int((merged[1:] == merged[:-1]).sum())
                 fine.append(shared >= jaccard * (len(x) + len(y) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+        held.cache_clear()
+        tidy()
 
     out = cut(pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(check, "a long, b long"))
     release(nodes, texts)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches, tidy
 
 CAPACITY = 2048
 #: Pieces in one partition of the packing; bounds the memory of a task.
@@ -30,7 +30,7 @@ PART = 40_000
 
 
 #: Words whose ids a worker keeps, and the longest of them; others are encoded anew.
-KEPT_WORDS, LONGEST_WORD = 400_000, 64
+KEPT_WORDS, LONGEST_WORD = 150_000, 64
 #: Fixed value: the pre-tokenizer of byte-level BPE files with ``use_regex``.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -104,9 +104,10 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, *, id_
             columns = zip(*out) if out else ((),) * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        tidy()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return small_batches(rows).mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: dict[int, int], capacity: int) -> int:

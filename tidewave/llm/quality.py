@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 BUCKETS = 1 << 16
 SMOOTH = 1.0
@@ -27,7 +27,7 @@ class _Hashes(dict):
     """Hashes of words met by a worker; bounded, as words beyond are hashed anew."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -61,7 +61,7 @@ def _counts(rows: DataFrame, targets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         which, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[which, bucket])], names=["which", "bucket", "n"])
 
-    got = rows.select("doc_id", "text").mapInArrow(count, "which int, bucket int, n long").groupBy("which", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = small_batches(rows.select("doc_id", "text")).mapInArrow(count, "which int, bucket int, n long").groupBy("which", "bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((2, BUCKETS))
     out[got["which"].to_numpy(np.int64), got["bucket"].to_numpy(np.int64)] = got["n"]
     return out[0], out[1]
