@@ -228,7 +228,10 @@ def peak_starting_at(spark, d):
 
 
 def _detected(spark, d):
-    smooth = signals.transform(_traces(spark, d), ["cell"], lambda x: detrend.run(x, "local_minima", signals.noise_score, 2.0)["smoothed"])
+    # Counts of events hold runs of zeros, which have no strict minima, so these traces are smoothed before they are detrended.
+    figures = detrend.Minima(order=5)
+    flat = signals.transform(_traces(spark, d), ["cell"], lambda x: detrend.through_minima(signals.gaussian(x, 2.0), figures))
+    smooth = signals.transform(flat, ["cell"], lambda x: signals.gaussian(signals.noise_score(x), 2.0))
     return signals.detect(smooth, ["cell"], 0.5, 3, parents_only=True)
 
 
@@ -247,7 +250,7 @@ def activity_trace_peaks(spark, d):
     """Peaks of the activity of all cells, with spans that shrink to the valleys around."""
     active = signals.binary(_detected(spark, d), ["cell"], peaks(spark, d)).groupBy("frame").agg(F.count("*").cast("double").alias("n"))
     one = signals.dense(active.withColumn("population", F.lit(0)), ["population"], "frame", "n")
-    return signals.detect(one, ["population"], 5.0, 10, base_part=0.95, refine=True)
+    return signals.detect(one, ["population"], 1.0, 10, base_part=0.95, refine=True)
 
 
 def _detrender(method: str):
