@@ -27,6 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing will read again, or frames over nothing but such tables."""
+    for df in tables:
+        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ancestry(links: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, root, depth) of every node in ``links`` that is a child; each round doubles the reach, so rounds grow with log depth."""
     jumps = cut(links.select(F.col(node).alias("node"), F.col(parent).alias("root"), F.lit(1).cast("long").alias("depth")))
@@ -34,6 +42,7 @@ def ancestry(links: DataFrame, node: str, parent: str) -> DataFrame:
         up = jumps.select(F.col("node").alias("root"), F.col("root").alias("_far"), F.col("depth").alias("_more"))
         new = jumps.join(up, "root", "left").select("node", F.coalesce("_far", "root").alias("root"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_far").isNotNull().alias("moved"))
         new = cut(new)
+        release(jumps)
         jumps = new.drop("moved")
         if not new.filter("moved").limit(1).count():
             return jumps
@@ -55,8 +64,10 @@ def connected(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("step"), F.col("label").alias("far"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("step")).join(jump, "step")
         step = cut(step.select("node", F.least("step", "far").alias("label"), (F.least("step", "far") != F.col("label")).alias("moved")))
+        release(labels)
         labels = step.drop("moved")
         if not step.filter("moved").limit(1).count():
+            release(both)
             return labels
 
 
@@ -74,3 +85,34 @@ def levels(roots: DataFrame, edges: DataFrame) -> DataFrame:
         if not front.limit(1).count():
             return found
         found = found.union(front)
+
+
+def parents(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level, parent): breadth-first levels from ``roots(node)`` over ``edges(a, b, rank)``; a parent has the least (rank, a) of its level."""
+    found = cut(roots.distinct().select("node", F.lit(0).cast("long").alias("level"), F.lit(None).cast("long").alias("parent")))
+    front, level = found, 0
+    while True:
+        level += 1
+        reached = edges.join(front.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("rank", "a")).alias("m"))
+        front = cut(reached.join(found.select("node"), "node", "left_anti").select("node", F.lit(level).cast("long").alias("level"), F.col("m.a").alias("parent")))
+        if not front.limit(1).count():
+            release(front)
+            return found
+        found = found.union(front)
+
+
+def distances(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(event, root, node, steps): fewest steps over ``edges(event, a, b)`` from every root of ``roots(event, root)`` to each node it reaches.
+
+    A round extends the frontier of all roots of all events at once; nodes seen before are not extended again, so cycles end.
+    """
+    found = cut(roots.distinct().select("event", "root", F.col("root").alias("node"), F.lit(0).cast("long").alias("steps")))
+    front, steps = found, 0
+    while True:
+        steps += 1
+        reached = front.select("event", "root", F.col("node").alias("a")).join(edges, ["event", "a"]).select("event", "root", F.col("b").alias("node")).distinct()
+        front = cut(reached.join(found.select("event", "root", "node"), ["event", "root", "node"], "left_anti").withColumn("steps", F.lit(steps).cast("long")))
+        if not front.limit(1).count():
+            release(front)
+            return found
+        found = found.union(front)
