@@ -158,9 +158,10 @@ def test_archives_read_back(spark, tmp_path, least):
     assert all(any(x.startswith(f"urn:page:{r.refers_to}:{r.payload_digest}") for x in responses) for r in out if r.record_type == "revisit" and r.refers_to is not None)
 
 
-def test_files_are_archives_on_their_own(spark, tmp_path):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_files_are_archives_on_their_own(spark, tmp_path, compression):
     """Each file parses from its first byte to its last, and a record lies where the index says."""
-    out = web_archive.archive(pages(spark, ODD_PAGES), path=f"{tmp_path}/b", file_bytes=1000).collect()
+    out = web_archive.archive(pages(spark, ODD_PAGES), path=f"{tmp_path}/b", file_bytes=1000, compression=compression).collect()
     found = {}
     for file in (tmp_path / "b").glob("part-*"):
         for offset, head, block in web_archive.records(file.read_bytes()):

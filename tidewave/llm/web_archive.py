@@ -11,6 +11,7 @@ of all runs with a loser tree. Ranges are cut by URL key, time and record, so ca
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from bisect import bisect_right
@@ -58,8 +59,8 @@ def header(value: Column) -> Column:
     return F.regexp_replace(value, "[\\r\\n]", "")
 
 
-def write(pages: DataFrame, path: str, *, least_bytes: int = 0, file_bytes: int = FILE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None) -> None:
-    """Writes a record of every row of ``pages`` to files under ``path``.
+def write(pages: DataFrame, path: str, *, least_bytes: int = 0, file_bytes: int = FILE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, compression: str = "gzip") -> None:
+    """Writes a record of every row of ``pages`` to files under ``path``, each a gzip stream (``compression`` "none": plain bytes).
 
     Of rows with equal payloads of ``least_bytes`` or more, those with the largest id become responses, others revisit it. Rows equal in
     payload and in the largest id are responses all; null ids are below any other and are not revisited unless the payload has no other id.
@@ -97,12 +98,13 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = 0, file_bytes: int
         F.lit(f"{LINE}WARC-URL-Key: "), header(url_key(F.col("url"))),
         F.lit(f"{LINE}Content-Type: application/http; msgtype=response{LINE}Content-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
-    held.select(F.concat(head, block).alias("value")).write.option("lineSep", END).text(path)
+    held.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
     release(slim)
 
 
 def records(data: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
-    """(offset, head, block) of every record in the bytes of a file; a length that does not fit the file raises an error."""
+    """(offset, head, block) of every record in the bytes of a file, unpacked first if need be; a length that does not fit raises an error."""
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     view, at = memoryview(data), 0
     while at < len(data):
         stop = data.index(END.encode(), at)
