@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.operators import communications, graph, joins, spatial
-from tidewave.plans.catalog import _PEAKS, query
+from tidewave.operators import communications, graph, joins, matching, spatial, tracking
+from tidewave.plans.catalog import _PEAKS, query, rows_only
 from tidewave.sources.tables import peaks, table
 
 #: Fixed parameters of the queries: radius of neighbours, reach of a cause in frames, radius and lag of global events, share of cells an activity peak needs, least cells of a global event and least peaks of a component.
@@ -175,3 +175,17 @@ SELECT event, count(*) AS n_nodes, CAST(sum(o) AS BIGINT) AS n_edges, count(*) F
 FROM knots LEFT JOIN widths USING (event) LEFT JOIN ends USING (event) GROUP BY event""")
 def component_dag_metrics(spark, d):
     return communications.dag_metrics(_events(spark, d).select("event", F.col("cause_cell").alias("a"), F.col("cell").alias("b")))
+
+
+@rows_only
+def peak_clusters(spark, d):
+    """Greedy clusters of peaks within five frames; a test compares with the loop over peaks, whose order SQL does not express."""
+    return matching.peak_clusters(peaks(spark, d), 5)
+
+
+@rows_only
+def tracked_clusters_xy(spark, d):
+    """(frame, cell, track_frame, track_label, from_label) of the active cells in density clusters of their hour; a test compares with a loop over frames."""
+    active = placed(spark, d).select(F.explode(F.sequence("frame", F.col("frame") + F.col("dur"))).alias("frame"), "cell", "x", "y").distinct()
+    clusters = tracking.frame_clusters(active, NEAR, LEAST)
+    return clusters.select("frame", "cell", "label").join(tracking.track(clusters, NEAR), ["frame", "label"])
