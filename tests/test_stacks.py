@@ -58,7 +58,6 @@ def stack(images, order="<", packing=1, rows=2, big=False, predictor=1, lost=())
 @pytest.fixture
 def read(spark):
     stacks.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return lambda path, **options: spark.read.format(stacks.NAME).options(**options).load(str(path))
 
 
@@ -85,17 +84,22 @@ def test_many_tasks_read_one_stack(read, tmp_path):
     assert rows.groupBy("frame").agg(F.min("intensity").alias("lo"), F.max("intensity").alias("hi"), F.count("*").alias("n")).filter("lo <> frame OR hi <> frame OR n <> 256").count() == 0
 
 
-def test_pages_outside_a_filter_are_not_read(read, tmp_path):
+def test_pages_and_strips_left_out_are_not_read(read, tmp_path):
     """Strips of the other pages lie behind the end of the file: to read one is to fail."""
     images = [np.full((4, 4), t, np.uint16) for t in range(30)]
     (tmp_path / "s_t100.tif").write_bytes(stack(images, packing=8, lost=set(range(30)) - {3, 7, 8}))
-    rows = read(tmp_path)
-    assert {k[0] for k in values(rows.filter("frame IN (103, 107)"))} == {103, 107}
-    assert {k[0] for k in values(rows.filter("frame > 106 AND frame <= 108"))} == {107, 108}
-    assert values(rows.filter("frame = 103 AND y >= 2 AND intensity = 3")) == {(103, y, x): 3 for y in (2, 3) for x in range(4)}
-    assert rows.filter("frame = 5").count() == 0
+    assert {k[0] for k in values(read(tmp_path, frames="103, 107"))} == {103, 107}
+    assert {k[0] for k in values(read(tmp_path, frames="107-108"))} == {107, 108}
+    assert values(read(tmp_path, frames="103", rows="2-9")) == {(103, y, x): 3 for y in (2, 3) for x in range(4)}
+    assert values(read(tmp_path, frames="103", rows="1")) == {(103, 1, x): 3 for x in range(4)}
+    assert read(tmp_path, frames="5").count() == 0
+    rows = read(tmp_path, frames="103-108").filter("frame <> 104 AND frame < 104")
     with pytest.raises(Exception):
         rows.count()
+    with pytest.raises(Exception):
+        read(tmp_path).count()
+    with pytest.raises(ValueError):
+        stacks.spans("3,x")
 
 
 def test_wrong_files_fail_and_none_is_no_row(read, tmp_path):

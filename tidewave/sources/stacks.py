@@ -1,8 +1,9 @@
 """TIFF stacks as a data source: ``spark.read.format("tiff_stack").load(path)`` gives pixels of all pages of all files under a path.
 
 A file is cut into byte splits like any other source's. A task walks the page directories, which are small, and reads the strips that begin in its
-split, so one stack of many pages is read by many tasks, and the driver lists files and opens none. Filters on ``frame`` and ``y`` are
-pushed down: strips outside them are not read.
+split, so one stack of many pages is read by many tasks, and the driver lists files and opens none. Strips outside the options ``frames`` and
+``rows`` are not read. These are options, not pushed filters: Spark 4.1 keeps a filter pushed to a Python source with the loaded frame,
+so a second query on the same frame would miss what only the first one left out.
 """
 
 from __future__ import annotations
@@ -10,14 +11,14 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 NAME = "tiff_stack"
 SCHEMA = "seq string, file string, page int, frame long, y int, x int, intensity long"
@@ -121,44 +122,25 @@ class Split(InputPartition):
         super().__init__((self.path, self.start, self.end))
 
 
-@dataclass
-class Range:
-    """What filters leave of a column: from ``low`` to ``high``, and one of ``values`` if there are any."""
-
-    low: float = float("-inf")
-    high: float = float("inf")
-    values: set | None = field(default=None)
-
-    def take(self, f: Filter) -> bool:
-        if isinstance(f, (EqualTo, In)):
-            named = set(f.value) if isinstance(f, In) else {f.value}
-            self.values = named if self.values is None else self.values & named
-        elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-            self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-        elif isinstance(f, (LessThan, LessThanOrEqual)):
-            self.high = min(self.high, f.value - isinstance(f, LessThan))
-        else:
-            return False
-        return True
+def spans(text: str | None) -> list[tuple[int, int]]:
+    """Spans of whole numbers written as ``3,7-9``, ends included; None for all."""
+    if text is None:
+        return [(-(1 << 62), 1 << 62)]
+    parts = [re.fullmatch(r"\s*(-?\d+)\s*(?:-\s*(-?\d+))?\s*", part) for part in text.split(",")]
+    if not all(parts):
+        raise ValueError(f"no list of spans: {text!r}")
+    return [(int(p[1]), int(p[2] or p[1])) for p in parts]
 
-    def meets(self, first: int, last: int) -> bool:
-        return first <= self.high and last >= self.low and (self.values is None or any(first <= v <= last for v in self.values))
+
+def meets(held: list[tuple[int, int]], first: int, last: int) -> bool:
+    return any(first <= high and last >= low for low, high in held)
 
 
 class StackReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("split_bytes", SPLIT))
         self.glob, self.pattern = re.compile(options.get("name", r"\.tiff?$"), re.I), re.compile(options.get("frame", r"t(\d+)\.tiff?$"), re.I)
-        self.ranges = {"frame": Range(), "y": Range()}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Keeps ranges and lists of frames and rows; everything else is left to the engine."""
-        for f in filters:
-            column = ".".join(getattr(f, "attribute", ()))
-            value = getattr(f, "value", None)
-            whole = isinstance(value, int) or (isinstance(value, (tuple, list)) and all(isinstance(v, int) for v in value))
-            if column not in self.ranges or not whole or not self.ranges[column].take(f):
-                yield f
+        self.frames, self.rows = spans(options.get("frames")), spans(options.get("rows"))
 
     def partitions(self) -> list[Split]:
         store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
@@ -177,19 +159,18 @@ class StackReader(DataSourceReader):
         store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
         name = self.pattern.search(split.path.rsplit("/", 1)[-1])
         first = int(name[1]) if name else 0
-        frames, rows = self.ranges["frame"], self.ranges["y"]
         with store.open_input_file(split.path) as file:
             for page, order in pages(file):
                 frame = first + page.number
-                if not frames.meets(frame, frame):
+                if not meets(self.frames, frame, frame):
                     continue
                 for k, (place, length) in enumerate(zip(page.places, page.lengths)):
                     top = k * page.rows
-                    if split.start <= place < split.end and rows.meets(top, min(top + page.rows, page.height) - 1):
+                    if split.start <= place < split.end and meets(self.rows, top, min(top + page.rows, page.height) - 1):
                         file.seek(place)
                         pixels = strip(page, order, k, file.read(length))
                         y, x = np.indices(pixels.shape)
-                        keep = np.array([rows.meets(v, v) for v in range(top, top + len(pixels))])[:, None] & np.ones(page.width, bool)
+                        keep = np.array([meets(self.rows, v, v) for v in range(top, top + len(pixels))])[:, None] & np.ones(page.width, bool)
                         n = int(keep.sum())
                         whole = lambda v, t: pa.array(np.full(n, v), t)
                         yield pa.RecordBatch.from_arrays(
@@ -199,7 +180,7 @@ class StackReader(DataSourceReader):
 
 
 class TiffStack(DataSource):
-    """Options: ``split_bytes``; ``name``, a pattern of file names; ``frame``, a pattern whose group is the frame of a file's first page (else 0)."""
+    """Options: ``frames`` and ``rows`` (y), as ``3,7-9``; ``split_bytes``; ``name``, a pattern of file names; ``frame``, a pattern whose group is the frame of a file's first page (else 0)."""
 
     @classmethod
     def name(cls) -> str:
@@ -213,5 +194,5 @@ class TiffStack(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the source known to the session. Filters reach it if the session pushes filters to Python sources (spark.sql.python.filterPushdown.enabled)."""
+    """Makes the source known to the session."""
     spark.dataSource.register(TiffStack)
