@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +27,10 @@ def _samples(spark, d) -> DataFrame:
     return _traces(spark, d).select("cell", F.posexplode("values").alias("frame", "v")).withColumn("frame", F.col("frame").cast("long"))
 
 
-def _mirrored(values, half: int):
-    """The array with ``half`` samples mirrored at both ends, the end samples repeated."""
-    return F.concat(F.reverse(F.slice(values, 1, half)), values, F.reverse(F.slice(values, -half, half)))
-
-
 def weighted(traces: DataFrame, weights: list[float], name: str) -> DataFrame:
-    """A weighted mean around each sample by array functions; beyond the ends the trace is mirrored."""
-    half, kernel = len(weights) // 2, F.array(*[F.lit(float(w)) for w in weights])
-    wide = traces.select("cell", _mirrored(F.col("values"), half).alias("wide"), F.size("values").alias("n"))
-    mean = lambda i: F.aggregate(F.zip_with(F.slice("wide", i, len(weights)), kernel, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return wide.select("cell", F.transform(F.sequence(F.lit(1), F.col("n")), mean).alias("values")).withColumnRenamed("values", name)
+    """A weighted mean around each sample by one kernel a trace; beyond the ends the trace is mirrored."""
+    kernel = np.array(weights, float)
+    return signals.transform(traces, ["cell"], lambda x: signals.convolve(x, kernel), name)
 
 
 @query(f"WITH {_TRACE} SELECT cell, CAST(frame AS BIGINT) AS frame, round(v, 6) AS value FROM trace")
@@ -175,7 +169,6 @@ SELECT t.cell, CAST(t.frame AS BIGINT) AS frame, CAST(coalesce(max(l.frame) FILT
 FROM tops t LEFT JOIN low l ON l.cell = t.cell AND l.frame BETWEEN t.frame - 350 AND t.frame + 350 GROUP BY t.cell, t.frame""")
 def valley_bounds(spark, d):
     def ends(batches):
-        import numpy as np
         import pandas as pd
 
         for pdf in batches:
