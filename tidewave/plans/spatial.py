@@ -53,10 +53,10 @@ def _followers(p: DataFrame, keys=("dataset",)) -> DataFrame:
     return spatial.within(a, b, RADIUS, keys=keys, times=("frame", "frame2"), lag=(1, LAG))
 
 
-_WAVES = f"""trace AS (SELECT dataset, f AS frame, count(DISTINCT cell) AS n FROM (SELECT dataset, cell, unnest(range(frame, frame + dur + 1)) AS f FROM placed) GROUP BY ALL),
-dense AS (SELECT s.dataset, s.frame, coalesce(n, 0) AS n FROM (SELECT dataset, unnest(range(0, max(frame) + 1)) AS frame FROM trace GROUP BY dataset) s LEFT JOIN trace USING (dataset, frame)),
-runs AS (SELECT dataset, any_value(n) AS n, min(frame) AS a, max(frame) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY dataset ORDER BY frame) AS run FROM (SELECT *, CASE WHEN n = lag(n) OVER (PARTITION BY dataset ORDER BY frame) THEN 0 ELSE 1 END AS new FROM dense)) GROUP BY dataset, run),
-turns AS (SELECT * FROM (SELECT *, coalesce(n > lag(n) OVER w, false) AS up, coalesce(n > lead(n) OVER w, false) AS down, lag(n) OVER w IS NULL OR lead(n) OVER w IS NULL AS edge FROM runs WINDOW w AS (PARTITION BY dataset ORDER BY a)) WHERE up = down OR edge),
+_WAVES = f"""busy AS (SELECT dataset, f AS frame, count(DISTINCT cell) AS n FROM (SELECT dataset, cell, unnest(range(frame, frame + dur + 1)) AS f FROM placed) GROUP BY ALL),
+dense AS (SELECT s.dataset, s.frame, coalesce(n, 0) AS n FROM (SELECT dataset, unnest(range(0, max(frame) + 1)) AS frame FROM busy GROUP BY dataset) s LEFT JOIN busy USING (dataset, frame)),
+flats AS (SELECT dataset, any_value(n) AS n, min(frame) AS a, max(frame) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY dataset ORDER BY frame) AS run FROM (SELECT *, CASE WHEN n = lag(n) OVER (PARTITION BY dataset ORDER BY frame) THEN 0 ELSE 1 END AS new FROM dense)) GROUP BY dataset, run),
+turns AS (SELECT * FROM (SELECT *, coalesce(n > lag(n) OVER w, false) AS up, coalesce(n > lead(n) OVER w, false) AS down, lag(n) OVER w IS NULL OR lead(n) OVER w IS NULL AS edge FROM flats WINDOW w AS (PARTITION BY dataset ORDER BY a)) WHERE up = down OR edge),
 bumps AS (SELECT *, lag((a + b) // 2) OVER (PARTITION BY dataset ORDER BY a) AS start_frame, lead((a + b) // 2) OVER (PARTITION BY dataset ORDER BY a) AS end_frame FROM turns),
 wins AS (SELECT dataset, (a + b) // 2 AS event, n AS height, start_frame, end_frame FROM bumps WHERE up AND down AND n >= {RATIO} * (SELECT count(*) FROM spots)),
 inside AS (SELECT p.*, w.event FROM wins w JOIN placed p ON p.dataset = w.dataset AND p.frame >= w.start_frame AND p.frame < w.end_frame),
@@ -65,12 +65,12 @@ flagged AS (SELECT dataset, event, event_id, cell, frame, event_id IN (SELECT b_
 waves AS (SELECT * FROM flagged WHERE (dataset, event) IN (SELECT (dataset, event) FROM flagged GROUP BY dataset, event HAVING count(DISTINCT cell) >= {CELLS}))"""
 
 
-def _windows(p: DataFrame, cells: DataFrame) -> DataFrame:
-    """(dataset, event, height, start_frame, end_frame): spans between the valleys around activity peaks of ``RATIO`` of the cells.
+def windows_of(p: DataFrame, cells: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """(dataset, event, height, start_frame, end_frame): spans between the valleys around activity peaks of ``ratio`` of the cells.
 
     Each recording is a group of its own, and only its frames, not its peaks, go through a window.
     """
-    active = p.select("dataset", "cell", F.explode(F.sequence("frame", F.col("frame") + F.col("dur"))).alias("frame"))
+    active = p.select("dataset", "cell", F.explode(F.sequence("start", "stop")).alias("frame"))
     trace = graph.cut(active.groupBy("dataset", "frame").agg(F.countDistinct("cell").alias("n")))
     spine = trace.groupBy("dataset").agg(F.max("frame").alias("m")).select("dataset", F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("frame"))
     dense = spine.join(trace, ["dataset", "frame"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -80,14 +80,17 @@ def _windows(p: DataFrame, cells: DataFrame) -> DataFrame:
     before, after = F.lag("n").over(v), F.lead("n").over(v)
     turns = runs.withColumns({"up": F.coalesce(F.col("n") > before, F.lit(False)), "down": F.coalesce(F.col("n") > after, F.lit(False)), "edge": before.isNull() | after.isNull()}).filter("up = down OR edge")
     bumps = turns.withColumns({"start_frame": F.lag(mid).over(v), "end_frame": F.lead(mid).over(v)})
-    high = bumps.filter("up AND down").crossJoin(F.broadcast(cells.agg(F.count("*").alias("cells")))).filter(F.col("n") >= RATIO * F.col("cells"))
+    high = bumps.filter("up AND down").crossJoin(F.broadcast(cells.agg(F.count("*").alias("cells")))).filter(F.col("n") >= ratio * F.col("cells"))
     return high.select("dataset", mid.alias("event"), F.col("n").alias("height"), "start_frame", "end_frame")
 
 
-def _waves(spark, d) -> DataFrame:
-    """(dataset, event, event_id, cell, frame, caused) of the peaks of global events: those with a follower or a predecessor in their window."""
-    p = graph.cut(placed(spark, d))
-    w = _windows(p, spots(spark, d)).withColumn("last", F.col("end_frame") - 1)
+def waves_of(p: DataFrame, cells: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """(dataset, event, event_id, cell, frame, caused) of the peaks of global events: those with a follower or a predecessor in their window.
+
+    ``p`` has event_id, dataset, cell, frame, start and stop (of its activity), x and y.
+    """
+    p = graph.cut(p)
+    w = windows_of(p, cells, ratio).withColumn("last", F.col("end_frame") - 1)
     inside = graph.cut(joins.range_join(w, p, ["dataset"], "start_frame", "last", "frame", 24).select("dataset", "event", "event_id", "cell", "frame", "x", "y"))
     hops = _followers(inside, ("dataset", "event")).select(F.explode(F.array(F.struct(F.col("a_id").alias("event_id"), F.lit(False).alias("caused")), F.struct(F.col("b_id").alias("event_id"), F.lit(True).alias("caused")))).alias("s"))
     flags = graph.cut(inside.join(hops.select("s.*").groupBy("event_id").agg(F.bool_or("caused").alias("caused")), "event_id"))
@@ -95,6 +98,10 @@ def _waves(spark, d) -> DataFrame:
     return flags.join(large, ["dataset", "event"], "left_semi").select("dataset", "event", "event_id", "cell", "frame", "caused")
 
 
+def _waves(spark, d) -> DataFrame:
+    return waves_of(placed(spark, d).withColumns({"start": F.col("frame"), "stop": F.col("frame") + F.col("dur")}), spots(spark, d))
+
+
 @query(f"WITH {_SPOTS}, {_WAVES} SELECT dataset, event, event_id, cell, CASE WHEN caused THEN 'caused' ELSE 'origin' END AS origin_type FROM waves")
 def global_members_xy(spark, d):
     return _waves(spark, d).select("dataset", "event", "event_id", "cell", F.when(F.col("caused"), "caused").otherwise("origin").alias("origin_type"))
@@ -167,12 +174,15 @@ def component_events(spark, d):
     return communications.origins(links).join(sizes, "event")
 
 
-@query(f"""{_EVENTS}, arcs AS MATERIALIZED (SELECT DISTINCT event, cause_cell AS a, cell AS b FROM ev), knots AS (SELECT event, node, sum(o) AS o, sum(i) AS i FROM (SELECT event, a AS node, 1 AS o, 0 AS i FROM arcs UNION ALL SELECT event, b, 0, 1 FROM arcs) GROUP BY event, node),
+ORACLE_DAG = """arcs AS MATERIALIZED (SELECT DISTINCT event, cause_cell AS a, cell AS b FROM ev), knots AS (SELECT event, node, sum(o) AS o, sum(i) AS i FROM (SELECT event, a AS node, 1 AS o, 0 AS i FROM arcs UNION ALL SELECT event, b, 0, 1 FROM arcs) GROUP BY event, node),
 sizes AS (SELECT event, count(*) AS n FROM knots GROUP BY event), steps AS (SELECT event, node AS root, node, 0 AS s FROM knots WHERE i = 0 UNION SELECT s.event, s.root, a.b, s.s + 1 FROM steps s JOIN arcs a ON a.event = s.event AND a.a = s.node JOIN sizes z ON z.event = s.event WHERE s.s < z.n),
 far AS (SELECT event, root, node, min(s) AS s FROM steps GROUP BY ALL), widths AS (SELECT event, max(n) AS width FROM (SELECT event, s, count(*) AS n FROM far GROUP BY ALL) GROUP BY event),
-ends AS (SELECT event, max(s) AS depth, round(avg(s), 3) AS mean_path FROM far JOIN knots USING (event, node) WHERE o = 0 GROUP BY event)
-SELECT event, count(*) AS n_nodes, CAST(sum(o) AS BIGINT) AS n_edges, count(*) FILTER (i = 0) AS n_roots, CAST(coalesce(any_value(depth), 0) AS BIGINT) AS depth, CAST(coalesce(any_value(width), 1) AS BIGINT) AS width, round(sum(o) / count(*) FILTER (o > 0), 3) AS mean_out_degree, coalesce(any_value(mean_path), 0.0) AS mean_path
-FROM knots LEFT JOIN widths USING (event) LEFT JOIN ends USING (event) GROUP BY event""")
+ends AS (SELECT event, max(s) AS depth, round(avg(s), 3) AS mean_path FROM far JOIN knots USING (event, node) WHERE o = 0 GROUP BY event),
+dag AS (SELECT event, count(*) AS n_nodes, CAST(sum(o) AS BIGINT) AS n_edges, count(*) FILTER (i = 0) AS n_roots, CAST(coalesce(any_value(depth), 0) AS BIGINT) AS depth, CAST(coalesce(any_value(width), 1) AS BIGINT) AS width, round(sum(o) / count(*) FILTER (o > 0), 3) AS mean_out_degree, coalesce(any_value(mean_path), 0.0) AS mean_path
+FROM knots LEFT JOIN widths USING (event) LEFT JOIN ends USING (event) GROUP BY event)"""
+
+
+@query(f"{_EVENTS}, {ORACLE_DAG} SELECT * FROM dag")
 def component_dag_metrics(spark, d):
     return communications.dag_metrics(_events(spark, d).select("event", F.col("cause_cell").alias("a"), F.col("cell").alias("b")))
 
