@@ -510,7 +510,32 @@ def test_neighbours_of_repeated_ids_and_mixed_lengths(spark):
     rows = [(0, [1.0, 0.0], "a", 1), (0, [0.0, 1.0], "b", 2), (1, [0.0, 2.0], "c", 3), (2, [1.0, 1.0, 1.0], "d", 4), (3, [1.0, 1.0], "e", 5), (4, [1.0, 1.0], "f", 6), (4, [1.0, 1.0], "f", 6)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string, score int")
     out = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(frame).collect()]
-    assert sorted(out) == [(0, 1, 1), (0, 2, 3), (0, 3, 4)]
+    # Both rows of id 0 are queries, and candidates for each other; the vector of another length takes no part.
+    first, second = [3, 4, 4, 0, 1], [1, 3, 4, 4, 0]
+    assert sorted(out) == sorted((0, r + 1, v) for near in (first, second) for r, v in enumerate(near))
+
+
+def test_neighbours_among_equal_and_very_large_vectors(spark):
+    rng = np.random.default_rng(12)
+    plain = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    same = [(1000 + i, [1.0] * 8) for i in range(400)]
+    large = [(2000 + i, (rng.normal(size=8) * 1e200).tolist()) for i in range(6)] + [(2050, [3e-320, -3e-320] * 4), (2100, [1.7e308, -1.7e308] * 4)]
+    rows = plain + same + large + [(100, plain[100][1]), (150, plain[150][1]), (77, plain[150][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(frame).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    found = {q: [v for _, v, _ in sorted(near)] for q, near in got.items()}
+    assert all(np.isfinite(s) and abs(s) <= 1 + 1e-12 for near in got.values() for _, _, s in near)
+    assert found[1000] == [1001, 1002, 1003, 1004, 1005] and found[1050] == found[1200] == [1000, 1001, 1002, 1003, 1004]
+    assert found[100].count(100) == 2 and found[150].count(77) == 2 and found[150].count(150) == 2  # two query rows of each id
+    wide = np.array([np.array(v) / np.max(np.abs(v)) for _, v in rows])
+    unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    at = {i: k for k, (i, _) in enumerate(rows)}
+    for q, near in got.items():
+        if len(near) == 5:
+            true = np.sort(np.delete(unit @ unit[at[q]], at[q]))[::-1][:5]
+            assert np.allclose(sorted((s for _, _, s in near), reverse=True), true, atol=1e-9), q
 
 
 def test_columns_of_any_name_and_stages_on_odd_rows(spark, odd):
