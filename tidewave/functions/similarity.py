@@ -7,18 +7,15 @@ import numpy as np
 from tidewave.functions.special import f_tail
 
 
-def linkage_labels(dist: np.ndarray, threshold: float, kind: str = "complete") -> tuple[np.ndarray, np.ndarray]:
-    """(labels, merge heights) of agglomerative clusters cut at ``threshold``. Distances to a merged cluster follow from those to its parts."""
+def merges(dist: np.ndarray, kind: str = "complete") -> list[tuple[int, int, float]]:
+    """(i, j, height) of agglomerative merges, in order; the cluster of ``j`` joins that of ``i``. Distances to a merged cluster follow from those to its parts."""
     n = len(dist)
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, owner, heights = np.ones(n), np.arange(n), []
-    labels, cut = np.arange(n), None
+    size, out = np.ones(n), []
     for _ in range(n - 1):
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        if d[i, j] > threshold and cut is None:
-            cut = owner.copy()
-        heights.append(d[i, j])
+        i, j = sorted(map(int, np.unravel_index(np.argmin(d), d.shape)))
+        out.append((i, j, float(d[i, j])))
         if kind == "complete":
             row = np.maximum(d[i], d[j])
         elif kind == "single":
@@ -29,9 +26,22 @@ def linkage_labels(dist: np.ndarray, threshold: float, kind: str = "complete") -
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        owner[owner == j] = i
-    _, labels = np.unique(owner if cut is None else cut, return_inverse=True)
-    return labels, np.array(heights)
+    return out
+
+
+def labels_at(n: int, tree: list[tuple[int, int, float]], threshold: float) -> np.ndarray:
+    """Labels of ``n`` units after the merges up to ``threshold``."""
+    owner = np.arange(n)
+    for i, j, height in tree:
+        if height <= threshold:
+            owner[owner == owner[j]] = owner[i]
+    return np.unique(owner, return_inverse=True)[1]
+
+
+def linkage_labels(dist: np.ndarray, threshold: float, kind: str = "complete") -> tuple[np.ndarray, np.ndarray]:
+    """(labels, merge heights) of agglomerative clusters cut at ``threshold``."""
+    tree = merges(dist, kind)
+    return labels_at(len(dist), tree, threshold), np.array([h for _, _, h in tree])
 
 
 def silhouette(dist: np.ndarray, labels: np.ndarray) -> float:
@@ -50,15 +60,19 @@ def silhouette(dist: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(counts[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0).mean())
 
 
-def automatic_threshold(dist: np.ndarray, kind: str = "average", window: int = 30, spread: float = 0.2, step: float = 0.02) -> float:
-    """The height behind the largest jump among the last merges, moved to the best silhouette near it."""
-    heights = linkage_labels(dist, np.inf, kind)[1][-window:]
-    if len(heights) < 2:
-        return float(heights[-1]) if len(heights) else 0.0
-    jump = heights[np.argmax(np.diff(heights)) + 1]
-    tries = np.arange(max(0.01, jump * (1 - spread)), min(1.0, jump * (1 + spread)) + step, step)
-    scores = [silhouette(dist, linkage_labels(dist, t, kind)[0]) for t in tries]
-    return float(tries[int(np.argmax(scores))]) if len(scores) and max(scores) > -1 else float(jump)
+def automatic_threshold(dist: np.ndarray, kind: str = "average", window: int = 30, spread: float = 0.2) -> float:
+    """The merge height to cut at: near the one behind the largest jump among the last ``window``, that with the best silhouette (ties: the lowest).
+
+    One linkage serves all tries, as labels change at merge heights only.
+    """
+    tree = merges(dist, kind)
+    last = sorted(h for _, _, h in tree)[-window:]
+    if len(last) < 2:
+        return last[0] if last else 0.0
+    behind = int(np.diff(last).argmax()) + 1
+    near = {h for h in last if abs(h - last[behind]) <= spread * last[behind]}
+    best, height = max((silhouette(dist, labels_at(len(dist), tree, h)), -h) for h in near)
+    return -height if best > -1 else last[behind]
 
 
 def density_hierarchy(dist: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import signals, similarity
-from tidewave.operators import graph, joins
+from tidewave.operators import clusters, graph, joins
 from tidewave.plans.catalog import _EDGES, _PEAKS, _WINDOWS, _windows, query, rows_only
 from tidewave.plans.events import _members
 from tidewave.plans.waves import _LINKED, _cells_of, _growth, _placed
@@ -242,9 +242,30 @@ def _sure(sim: np.ndarray) -> np.ndarray:
 
 
 hdbscan_labels = _labels("hdbscan_labels", _sure)
-agglomerative_labels = _labels("agglomerative_labels", lambda sim: similarity.linkage_labels(1 - sim, similarity.automatic_threshold(1 - sim), "complete")[0])
 affinity_labels = _labels("affinity_labels", similarity.affinity)
-modularity_labels = _labels("modularity_labels", lambda sim: similarity.communities(sim, 0.5))
+
+
+def _alike(spark, d) -> DataFrame:
+    """(a, b, similarity): cosine of the traces of each pair of different cells of the recording."""
+    size = lambda v: F.greatest(F.sqrt(_dot(v, v)), F.lit(1e-12))
+    cosine = _dot("a", "b") / (size("a") * size("b"))
+    return _pairs(spark, d).filter("cell_a < cell_b").select("cell_a", "cell_b", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)).alias("similarity")).toDF("a", "b", "similarity")
+
+
+@rows_only
+def agglomerative_labels(spark, d):
+    """Complete linkage of all cells, cut at the height that average linkage and silhouettes propose; tests compare heights and labels with the kernel."""
+    pairs = graph.cut(_alike(spark, d).select("a", "b", (1 - F.col("similarity")).alias("distance")))
+    nodes = _daily(spark, d).select(F.col("cell").alias("node"))
+    height = clusters.automatic_height(nodes, pairs, clusters.linkage(pairs, "average"))
+    return clusters.labels_at(nodes, clusters.linkage(pairs, "complete"), height).withColumnRenamed("node", "cell")
+
+
+@rows_only
+def modularity_labels(spark, d):
+    """Communities over all pairs of cells of similarity 0.5 or more, -1 for a cell without one; a test compares the modularity with the kernel's."""
+    edges = _alike(spark, d).filter("similarity >= 0.5").withColumnRenamed("similarity", "w")
+    return _daily(spark, d).select("cell").join(clusters.communities(edges).withColumnRenamed("node", "cell"), "cell", "left").select("cell", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 @rows_only
