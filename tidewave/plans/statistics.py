@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewave.functions import special, stats
+from tidewave.functions import inversions, special, stats
 from tidewave.plans.catalog import query, rows_only
 from tidewave.sources.tables import table
 
@@ -55,22 +55,7 @@ s AS (SELECT sum(a.n * b.n) AS s FROM c a JOIN c b ON b.x < a.x AND b.y < a.y),
 u AS (SELECT sum(k * (k - 1) / 2) AS u FROM (SELECT sum(n) AS k FROM c GROUP BY x)), v AS (SELECT sum(k * (k - 1) / 2) AS v FROM (SELECT sum(n) AS k FROM c GROUP BY y)), w AS (SELECT sum(n) * (sum(n) - 1) / 2 AS w FROM c)
 SELECT round((s - t) / nullif(sqrt((w - u) * (w - v)), 0), 9) AS tau_b FROM s, t, u, v, w""")
 def kendall(spark, d):
-    # Pairs are counted from running sums over the grid of distinct values; no pair is formed. The first variable must have few values.
-    c = table(spark, d, "part").groupBy(F.col("p_size").alias("x"), F.col("p_retailprice").alias("y")).agg(F.count("*").alias("n"))
-    grid = c.select("y").distinct().crossJoin(F.broadcast(c.select("x").distinct()))
-    g = grid.join(c, ["x", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    back, ahead = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
-    g = g.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("y").orderBy("x").rowsBetween(*back)), F.lit(0)))
-    row = Window.partitionBy("x").orderBy("y")
-    g = g.withColumns({"less": F.sum("before").over(row.rowsBetween(*back)), "more": F.sum("before").over(row.rowsBetween(*ahead))})
-
-    def tied(key):
-        k = g.groupBy(key).agg(F.sum("n").alias("k"))
-        return k.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(f"tied_{key}"))
-
-    total = g.agg(F.sum(F.col("n") * (F.coalesce("less", F.lit(0)) - F.coalesce("more", F.lit(0)))).alias("s"), F.sum("n").alias("n"))
-    out = total.join(F.broadcast(tied("x"))).join(F.broadcast(tied("y"))).withColumn("w", F.col("n") * (F.col("n") - 1) / 2)
-    return out.select(F.round(F.col("s") / F.nullif(F.sqrt((F.col("w") - F.col("tied_x")) * (F.col("w") - F.col("tied_y"))), F.lit(0.0)), 9).alias("tau_b"))
+    return inversions.kendall(table(spark, d, "part"), "p_size", "p_retailprice").select(F.round("tau_b", 9).alias("tau_b"))
 
 
 @query("""WITH s AS (SELECT (b.s_acctbal - a.s_acctbal) / (b.s_suppkey - a.s_suppkey) AS k FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey), n AS (SELECT count(*) AS n FROM supplier), z AS (SELECT 1.959963984540054 * sqrt(n * (n - 1) * (2 * n + 5) / 18.0) AS c, n * (n - 1) / 2 AS t FROM n),
