@@ -557,3 +557,10 @@ def test_columns_of_any_name_and_stages_on_odd_rows(spark, odd):
             assert sum("three" in r.text for r in kept) == 1 and all(r.n_chars == len(r.text) for r in kept)
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert pieces.filter("piece = 0").count() == docs.count()
+
+
+def test_the_largest_id_names_a_component(spark):
+    top = 2**63 - 1
+    frame = spark.createDataFrame([(top, "one two three four"), (None, "one two three four"), (5, "another text of words here"), (None, "lone words stand here alone")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.simhash_groups(frame).collect()), key=repr)
+    assert got == sorted([(top, top), (None, top), (5, 5), (None, None)], key=repr)

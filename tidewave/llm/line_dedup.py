@@ -139,7 +139,7 @@ def _lines(docs: DataFrame, row: str, held, jaccard: float, least: int) -> DataF
             shared = often[first] > 1
             owner = np.repeat(np.arange(len(lead)), lead)[shared]
             bounds = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(lead))))).astype(np.int32))
-            prefix, places = (pa.ListArray.from_arrays(bounds, pa.array(x[shared])) for x in (short[first].astype(np.uint32).view(np.int32), place.astype(np.int16)))
+            prefix, places = (pa.ListArray.from_arrays(bounds, pa.array(x[shared])) for x in (short[first].astype(np.uint32).view(np.int32), place.astype(np.int32)))
             sign = pa.ListArray.from_arrays(pa.array((np.arange(len(lead) + 1) * SIGNATURES).astype(np.int32)), pa.array(np.stack(signs, axis=1)[kept].ravel()))
             rows = pa.array(at[kept])
             columns = [batch.column("row").take(rows), batch.column("doc").take(rows), *[pa.array(x[kept]) for x in (numbers, key, n.astype(np.int32), p1, p2)], sign, prefix, places]
@@ -147,7 +147,7 @@ def _lines(docs: DataFrame, row: str, held, jaccard: float, least: int) -> DataF
         tidy()
 
     kind = docs.schema["doc"].dataType.simpleString()
-    schema = f"row long, doc {kind}, line int, k long, n int, p1 long, p2 long, signs array<long>, prefix array<int>, places array<smallint>"
+    schema = f"row long, doc {kind}, line int, k long, n int, p1 long, p2 long, signs array<long>, prefix array<int>, places array<int>"
     return docs.select(F.col(row).alias("row"), "doc", "text").mapInArrow(parse, schema)
 
 

@@ -69,10 +69,11 @@ def simhash_groups(docs: DataFrame, *, width: int = 3, distance: int = 2, id_col
     null. Repeated rows stay. Ties cannot arise: the least id is unique. An empty table gives an empty result; other columns are not read.
     """
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(width)(F.col(text_col)).alias("node")))
-    none = (1 << 63) - 1
-    salted = rows.groupBy("node", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("s")).agg(F.min("doc_id").alias("rank"))
-    nodes = cut(salted.groupBy("node").agg(F.coalesce(F.min("rank"), F.lit(none)).alias("rank")))
+    # Null ids come last, whatever the largest id is.
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    salted = rows.groupBy("node", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("s")).agg(F.min(ranked).alias("rank"))
+    nodes = cut(salted.groupBy("node").agg(F.min("rank").alias("rank")))
     found = components(nodes, near_pairs(nodes, distance))
-    table = nodes.join(found, "node", "left").select("node", F.nullif(F.coalesce("label", "rank"), F.lit(none)).alias("component_id"))
+    table = nodes.join(found, "node", "left").select("node", F.coalesce("label", "rank")["id"].alias("component_id"))
     out = spread_join(rows, table, "node", "doc_id")
     return out.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
