@@ -1,4 +1,4 @@
-"""Queries on frames and label masks as pixel tables, with their SQL. Frames are made of whole numbers, alike in both engines."""
+"""Queries on frames and label masks as pixel tables, with their SQL. Frames come from the vectors of ``embeddings``, in whole numbers; masks are a fixed pattern."""
 
 from __future__ import annotations
 
@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 from tidewave.operators import images
 from tidewave.plans.catalog import query
+from tidewave.sources.tables import table
 
-#: Height and width of a frame, frames, the side of the block a cell lies in, and the intensity above which a pixel is hot.
-SIDE, FRAMES, BLOCK, HOT = 48, 6, 8, 1000
-_PX = """px AS (SELECT f AS frame, y, x, CASE WHEN (y * 48 + x + f) % 211 = 5 THEN 4000 ELSE (y * 31 + x * 17 + f * 7 + (y * x) % 13) % 251 END AS v
-  FROM (SELECT unnest(range(0, 6)) AS f) a CROSS JOIN (SELECT unnest(range(0, 48)) AS y) b CROSS JOIN (SELECT unnest(range(0, 48)) AS x) c)"""
+#: Height and width of a frame, the side of the block a cell lies in, and the intensity above which a pixel is hot.
+SIDE, BLOCK, HOT = 48, 8, 1000
+_PX = """px AS (SELECT vec_id // 48 AS frame, vec_id % 48 AS y, x, CASE WHEN e > 0.3 THEN 4000 ELSE greatest(CAST(floor((e + 0.5) * 250) AS BIGINT), 0) END AS v
+  FROM (SELECT vec_id, i AS x, CAST(embedding[i + 1] AS DOUBLE) AS e FROM embeddings, (SELECT unnest(range(0, 48)) AS i)) WHERE vec_id // 48 < (SELECT count(*) // 48 FROM embeddings))"""
 _MASK = """place AS (SELECT y, x, (y // 8) * 6 + x // 8 + 1 AS cell, y % 8 AS r, x % 8 AS c FROM (SELECT unnest(range(0, 48)) AS y) b CROSS JOIN (SELECT unnest(range(0, 48)) AS x) d),
 mask AS (SELECT y, x, CASE WHEN cell % 5 <> 0 AND r BETWEEN (CASE WHEN cell % 7 = 0 THEN 0 ELSE 1 END) AND 4 + cell % 3 AND c BETWEEN 1 AND 4 + cell % 4 THEN cell ELSE 0 END AS label FROM place)"""
 
 
-def frames(spark: SparkSession, count: int = FRAMES) -> DataFrame:
-    """(seq, frame, y, x, intensity) of a made recording with some hot pixels."""
-    size = SIDE * SIDE
-    p = spark.range(count * size).select(F.lit("s").alias("seq"), F.floor(F.col("id") / size).alias("frame"), F.floor(F.col("id") % size / SIDE).alias("y"), (F.col("id") % SIDE).alias("x"))
-    y, x, f = F.col("y"), F.col("x"), F.col("frame")
-    return p.withColumn("intensity", F.when((y * 48 + x + f) % 211 == 5, 4000).otherwise((y * 31 + x * 17 + f * 7 + (y * x) % 13) % 251))
+def frames(spark: SparkSession, d: str, only: int | None = None) -> DataFrame:
+    """(seq, frame, y, x, intensity) of a recording whose rows of pixels are the vectors of ``embeddings``, 48 to a frame; large components are hot pixels."""
+    e = table(spark, d, "embeddings")
+    if only is not None:
+        e = e.filter(F.col("vec_id").between(SIDE * only, SIDE * only + SIDE - 1))
+    whole = table(spark, d, "embeddings").agg(F.floor(F.count("*") / SIDE).alias("whole"))
+    p = e.select("vec_id", F.posexplode(F.slice("embedding", 1, SIDE)).alias("x", "e")).crossJoin(F.broadcast(whole)).withColumn("frame", F.floor(F.col("vec_id") / SIDE)).filter("frame < whole")
+    v = F.col("e").cast("double")
+    return p.select(F.lit("s").alias("seq"), "frame", (F.col("vec_id") % SIDE).alias("y"), F.col("x").cast("long").alias("x"), F.when(v > 0.3, 4000).otherwise(F.greatest(F.floor((v + 0.5) * 250), F.lit(0))).alias("intensity"))
 
 
 def mask(spark: SparkSession, shift: int = 0) -> DataFrame:
@@ -35,33 +39,33 @@ def mask(spark: SparkSession, shift: int = 0) -> DataFrame:
 
 @query(f"WITH {_PX} SELECT frame, y - 9 AS y, x - 9 AS x, v FROM px WHERE y BETWEEN 9 AND 37 AND x BETWEEN 9 AND 37")
 def crop(spark, d):
-    return images.crop(frames(spark), SIDE, SIDE, 0.61).select("frame", "y", "x", F.col("intensity").alias("v"))
+    return images.crop(frames(spark, d), SIDE, SIDE, 0.61).select("frame", "y", "x", F.col("intensity").alias("v"))
 
 
 @query(f"WITH {_PX}, b AS (SELECT frame, quantile_cont(v, 0.9) FILTER (y % 4 = 0 AND x % 4 = 0) AS base FROM px GROUP BY frame) SELECT frame, round(any_value(base) + 3.0 * median(abs(v - base)), 6) AS threshold FROM px JOIN b USING (frame) GROUP BY frame")
 def auto_threshold(spark, d):
-    return images.auto_threshold(frames(spark), 0.9, 3.0).select("frame", F.round("threshold", 6).alias("threshold"))
+    return images.auto_threshold(frames(spark, d), 0.9, 3.0).select("frame", F.round("threshold", 6).alias("threshold"))
 
 
 @query(f"WITH {_PX}, h AS (SELECT a.frame, a.y, a.x, avg(b.v) AS m FROM px a JOIN px b ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.v > 1000 GROUP BY ALL) SELECT px.frame, px.y, px.x, round(coalesce(m, v), 6) AS v FROM px LEFT JOIN h ON h.frame = px.frame AND h.y = px.y AND h.x = px.x")
 def hot_pixel(spark, d):
-    return images.repair_hot_pixels(frames(spark), HOT).select("frame", "y", "x", F.round("intensity", 6).alias("v"))
+    return images.repair_hot_pixels(frames(spark, d), HOT).select("frame", "y", "x", F.round("intensity", 6).alias("v"))
 
 
 @query(f"WITH {_PX}, h AS (SELECT a.frame, a.y, a.x, any_value(a.v) AS v, median(b.v) AS m FROM px a JOIN px b ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.frame, a.y, a.x) SELECT frame, y, x, CASE WHEN abs(v - m) > 300 THEN m ELSE v END AS v FROM h")
 def median_pixel(spark, d):
-    return images.repair_by_median(frames(spark), 300).select("frame", "y", "x", F.col("intensity").alias("v"))
+    return images.repair_by_median(frames(spark, d), 300).select("frame", "y", "x", F.col("intensity").alias("v"))
 
 
 @query(f"WITH {_PX} SELECT frame, y, x, least(greatest(v, 0), 200) AS v FROM px")
 def clip(spark, d):
-    return images.clip(frames(spark), 200).select("frame", "y", "x", F.col("intensity").cast("long").alias("v"))
+    return images.clip(frames(spark, d), 200).select("frame", "y", "x", F.col("intensity").cast("long").alias("v"))
 
 
 @query(f"WITH {_PX} SELECT frame, y - 9 AS y, x - 9 AS x, least(v, 1000) AS v FROM px WHERE y BETWEEN 9 AND 37 AND x BETWEEN 9 AND 37")
 def processed_frames(spark, d):
     """Crop, then cap hot pixels: the steps of one image, each by its switch."""
-    return images.process(frames(spark), SIDE, SIDE, roi=0.61, cap=HOT).select("frame", "y", "x", F.col("intensity").cast("long").alias("v"))
+    return images.process(frames(spark, d), SIDE, SIDE, roi=0.61, cap=HOT).select("frame", "y", "x", F.col("intensity").cast("long").alias("v"))
 
 
 _CELLS = f"""{_MASK}, cells AS (SELECT label, count(*) AS size, CAST(floor(avg(y)) AS BIGINT) AS cy, CAST(floor(avg(x)) AS BIGINT) AS cx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1,
@@ -86,7 +90,7 @@ def roi_filter(spark, d):
 
 @query(f"WITH {_PX}, {_MASK} SELECT label, frame, round(avg(v), 6) AS mean_value FROM px JOIN mask USING (y, x) WHERE label > 0 GROUP BY ALL")
 def mean_intensity(spark, d):
-    return images.unit_traces(frames(spark), mask(spark)).select("label", "frame", F.round("mean", 6).alias("mean_value"))
+    return images.unit_traces(frames(spark, d), mask(spark)).select("label", "frame", F.round("mean", 6).alias("mean_value"))
 
 
 @query(f"WITH {_MASK} SELECT DISTINCT a.y, a.x FROM mask a JOIN mask b ON abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.label <> b.label WHERE a.label > 0 OR b.label > 0")
@@ -106,12 +110,12 @@ def mask_overlap(spark, d):
 
 @query(f"WITH {_PX}, r AS (SELECT frame, min(v) AS lo, max(v) AS hi FROM px GROUP BY frame) SELECT frame, y, x, CAST(round(255.0 * (v - lo) / (hi - lo), 0) AS BIGINT) AS grey FROM px JOIN r USING (frame)")
 def grey_levels(spark, d):
-    return images.grey(frames(spark)).select("frame", "y", "x", "grey")
+    return images.grey(frames(spark, d)).select("frame", "y", "x", "grey")
 
 
 @query(f"WITH {_PX}, {_MASK}, r AS (SELECT min(v) AS lo, max(v) AS hi FROM px WHERE frame = 0), e AS (SELECT DISTINCT a.y, a.x FROM mask a JOIN mask b ON abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.label <> b.label WHERE a.label > 0 OR b.label > 0), g AS (SELECT px.y, px.x, CAST(round(255.0 * (v - lo) / (hi - lo), 0) AS BIGINT) AS grey, e.y IS NOT NULL AS line FROM px CROSS JOIN r LEFT JOIN e ON e.y = px.y AND e.x = px.x WHERE frame = 0) SELECT y, x, CASE WHEN line THEN 255 ELSE grey END AS red, CASE WHEN line THEN 0 ELSE grey END AS green, CASE WHEN line THEN 0 ELSE grey END AS blue FROM g")
 def outline_overlay(spark, d):
-    return images.overlay(frames(spark, 1), images.outline(mask(spark))).select("y", "x", "red", "green", "blue")
+    return images.overlay(frames(spark, d, 0), images.outline(mask(spark))).select("y", "x", "red", "green", "blue")
 
 
 @query(f"WITH {_MASK} SELECT y, x, CASE WHEN label > 0 AND label % 3 = 0 THEN label * 2 ELSE 0 END AS value FROM mask")
@@ -124,7 +128,7 @@ def metric_overlay(spark, d):
 @query(f"WITH {_PX}, {_MASK}, t AS (SELECT label, frame, avg(v) AS v FROM px JOIN mask USING (y, x) WHERE label > 0 GROUP BY ALL), b AS (SELECT label, frame, CAST(v > avg(v) OVER (PARTITION BY label) AS BIGINT) AS state FROM t) SELECT f.frame, y, x, coalesce(state, 0) AS state FROM mask CROSS JOIN (SELECT DISTINCT frame FROM px) f LEFT JOIN b ON b.label = mask.label AND b.frame = f.frame")
 def binary_view(spark, d):
     m = mask(spark)
-    t = images.unit_traces(frames(spark), m)
+    t = images.unit_traces(frames(spark, d), m)
     high = t.withColumn("state", (F.col("mean") > F.avg("mean").over(Window.partitionBy("label"))).cast("long")).select("label", "frame", "state")
     return images.paint(m.crossJoin(t.select("frame").distinct()), high, "state", ["label", "frame"]).select("frame", "y", "x", "state")
 
@@ -132,4 +136,4 @@ def binary_view(spark, d):
 @query(f"WITH RECURSIVE {_PX}, hit AS (SELECT y, x, y * 48 + x AS id FROM px WHERE frame = 0 AND v BETWEEN 180 AND 250), step AS (SELECT a.id AS a, b.id AS b FROM hit a JOIN hit b ON abs(a.y - b.y) + abs(a.x - b.x) = 1), reach AS (SELECT a AS node, b AS other FROM step UNION SELECT r.node, s.b FROM reach r JOIN step s ON s.a = r.other) SELECT node AS pixel, least(node, min(other)) AS segment FROM reach GROUP BY node")
 def threshold_segments(spark, d):
     """The mask where no learned segmentation is given: pixels of a range of intensities, joined to their neighbours."""
-    return images.segments(frames(spark, 1).filter("intensity BETWEEN 180 AND 250"), SIDE)
+    return images.segments(frames(spark, d, 0).filter("intensity BETWEEN 180 AND 250"), SIDE)
