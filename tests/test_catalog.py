@@ -7,7 +7,7 @@ from tidewave.plans import archive, events, exports, pixels, relations, statisti
 from tidewave.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
 def rows(frame):

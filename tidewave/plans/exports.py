@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.functions import signals
+from tidewave.functions import binning, signals
 from tidewave.operators import communications, graph, metrics
 from tidewave.plans import spatial
 from tidewave.plans.catalog import _PEAKS, query
@@ -175,6 +175,40 @@ def communications_export(spark, d):
     return exports.communications_table(m.withColumns(named).withColumnsRenamed({"cell": "target"}).withColumnsRenamed({"cause_cell": "origin_cell"}).withColumnsRenamed({"target": "cause_cell"}))
 
 
+@query(f"""{_RECORDED}, {_DAG}, {_CASCADES}, per AS (SELECT cell, count(*) AS n FROM found GROUP BY cell), gaps AS (SELECT cell, count(gap) AS n, stddev_pop(gap) AS s, avg(gap) AS m FROM (SELECT cell, frame - lag(frame) OVER (PARTITION BY cell ORDER BY frame) AS gap FROM found) GROUP BY cell),
+said AS (SELECT c.event, c.frame - c.cause_frame AS t, sqrt(e.squared) / greatest(c.frame - c.cause_frame, 1) AS v FROM ev c JOIN edges e ON e.cell = c.cause_cell AND e.neighbour = c.cell),
+u AS (SELECT 'peak_duration' AS metric, CAST(stop - start AS DOUBLE) AS value FROM found UNION ALL SELECT 'peak_prominence', depth FROM found UNION ALL SELECT 'periodicity_score', 1 / (1 + s / nullif(m, 0)) FROM gaps WHERE n > 1
+  UNION ALL SELECT 'num_peaks', coalesce(n, 0) FROM spots LEFT JOIN per USING (cell) UNION ALL SELECT 'active_vs_inactive', CASE WHEN n > 0 THEN 1 ELSE 0 END FROM spots LEFT JOIN per USING (cell)
+  UNION ALL SELECT 'peak_in_event', CASE WHEN event_id IN (SELECT event_id FROM waves) THEN 1 WHEN event_id IN (SELECT id FROM crew) THEN 2 ELSE 3 END FROM found
+  UNION ALL SELECT 'communication_time', t FROM said UNION ALL SELECT 'communication_speed', v FROM said UNION ALL SELECT 'avg_comm_time_per_event', avg(t) FROM said GROUP BY event UNION ALL SELECT 'avg_comm_speed_per_event', avg(v) FROM said GROUP BY event
+  UNION ALL SELECT 'elongation_score', elongation FROM shapes UNION ALL SELECT 'radiality_score', radiality FROM shapes UNION ALL SELECT 'dag_max_depth', depth FROM dag UNION ALL SELECT 'sequential_n_cells', count(DISTINCT cell) FROM crew GROUP BY event UNION ALL SELECT 'global_n_cells', count(DISTINCT cell) FROM waves GROUP BY event)
+SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) + 0.0 AS lo, round(max(value), 6) AS hi, count(value) AS n FROM u WHERE value IS NOT NULL GROUP BY metric""")
+def population_distributions(spark, d):
+    """The fifteen distributions of a population: of peaks and cells, of cascades and of waves; labels are encoded as numbers (1 global, 2 sequential, 3 none)."""
+    r = recorded(spark, d)
+    w = Window.partitionBy("cell").orderBy("frame")
+    tag = r.waves.select(F.col("id").alias("event_id"), F.lit(1).alias("tag")).union(r.members.select("id", F.lit(2)))
+    gaps = r.found.withColumn("gap", F.col("frame") - F.lag("frame").over(w)).groupBy("cell").agg(F.count("*").alias("peaks"), F.when(F.count("gap") > 1, 1 / (1 + F.stddev_pop("gap") / F.nullif(F.avg("gap"), F.lit(0.0)))).alias("steady"))
+    cells = r.cells.select("cell").join(gaps, "cell", "left")
+    spread = r.cells.join(r.cells.toDF("other", "x2", "y2"), F.col("cell") < F.col("other")).agg(F.avg(F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)).alias("pop"))
+    shapes, pace = metrics.shape(r.members, r.source, spread), metrics.pace(r.links)
+    lag = F.col("frame") - F.col("cause_frame")
+    depth = communications.dag_metrics(r.links.select("event", F.col("cause_cell").alias("a"), F.col("cell").alias("b")))
+    wide = lambda rows, **named: rows.select(*[c.cast("double").alias(n) for n, c in named.items()]).unpivot([], list(named), "metric", "value")
+    n_cells = F.countDistinct("cell").alias("n")
+    parts = [
+        wide(r.found, peak_duration=F.col("stop") - F.col("start"), peak_prominence=F.col("depth")), wide(r.found.join(tag, "event_id", "left"), peak_in_event=F.coalesce("tag", F.lit(3))),
+        wide(cells, periodicity_score=F.col("steady"), num_peaks=F.coalesce("peaks", F.lit(0)), active_vs_inactive=(F.coalesce("peaks", F.lit(0)) > 0).cast("int")),
+        wide(r.links, communication_time=lag, communication_speed=F.col("distance") / F.greatest(lag, F.lit(1))), wide(pace, avg_comm_time_per_event=F.col("com_time"), avg_comm_speed_per_event=F.col("com_speed")),
+        wide(shapes, elongation_score=F.col("elongation"), radiality_score=F.col("radiality")), wide(depth, dag_max_depth=F.col("depth")), wide(r.members.groupBy("event").agg(n_cells), sequential_n_cells=F.col("n")), wide(r.waves.groupBy("event").agg(n_cells), global_n_cells=F.col("n")),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    out = binning.distribution(every.filter("value IS NOT NULL"), ["metric"], "value")
+    return out.select("metric", "mean", "std", (F.round("lo", 6) + 0.0).alias("lo"), F.round("hi", 6).alias("hi"), "n")
+
+
 @query("""SELECT n_name AS path, CAST(n_nationkey AS VARCHAR) AS date, 'IS' || n_regionkey AS image_sequence, r_name AS experiment_type, n_nationkey || '_IS' || n_regionkey || '_' || r_name AS dataset FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def experiments_export(spark, d):
     r = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("experiment_type"))
