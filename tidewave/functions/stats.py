@@ -118,7 +118,7 @@ def dunn(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def adjust(tests: DataFrame, p: str, order: list[str], alpha: float = 0.05) -> DataFrame:
-    """``tests`` with p-values adjusted by eight methods, named as their columns; one row a test, so one window holds all."""
+    """``tests`` with p-values adjusted by ten methods, named as their columns; one row a test, so one window holds all, and Hommel's takes a row a pair of tests."""
     n = tests.agg(F.count("*").alias("_m"))
     ranked = tests.crossJoin(F.broadcast(n)).withColumn("_i", F.row_number().over(Window.orderBy(p, *order)))
     at, m = F.col(p), F.col("_m")
@@ -133,11 +133,21 @@ def adjust(tests: DataFrame, p: str, order: list[str], alpha: float = 0.05) -> D
     by = F.min(F.least(F.lit(1.0), F.col("_h") * m * at / F.col("_i"))).over(down)
     out = {"bonferroni": F.least(F.lit(1.0), m * at), "sidak": 1 - F.pow(1 - at, m), "holm": holm, "fdr_bh": fdr, "holm_sidak": holm_sidak, "simes_hochberg": hochberg, "fdr_by": by}
     steps = ranked.withColumns(out)
-    # Two stages: the tests the first one leaves take the place of all tests in the second.
-    first = lambda level: F.sum((F.col("fdr_bh") <= level).cast("int")).over(Window.partitionBy(F.lit(0)))
-    left = F.greatest(m - first(alpha / (1 + alpha)), F.lit(0))
-    two = steps.withColumn("_left", left).withColumn("fdr_tsbh", F.least(F.lit(1.0), F.col("fdr_bh") * F.col("_left") / m))
-    return two.drop("_m", "_i", "_h", "_left")
+    # Two stages: the tests the first one leaves take the place of all tests in the second, unless it leaves all or none.
+    every = Window.partitionBy(F.lit(0))
+
+    def staged(level: float, factor: float):
+        gone = F.sum((F.col("fdr_bh") <= level).cast("int")).over(every)
+        return F.least(F.lit(1.0), F.col("fdr_bh") * factor * F.when((gone > 0) & (gone < m), m - gone).otherwise(m) / m)
+
+    two = steps.withColumns({"fdr_tsbh": staged(alpha, 1.0), "fdr_tsbky": staged(alpha / (1 + alpha), 1 + alpha)})
+    # Hommel: of every number of largest p-values, the least Simes bound holds for those, and for smaller ones where it is below their own.
+    sizes = ranked.filter("_i = 1").select(F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))).alias("_size"))
+    met = ranked.select("_i", "_m", at.alias("_p")).crossJoin(F.broadcast(sizes))
+    rank = F.col("_i") - (F.col("_m") - F.col("_size"))
+    bound = met.filter(rank > 0).groupBy("_size").agg(F.min(F.col("_size") * F.col("_p") / rank).alias("_bound"))
+    hommel = met.join(bound, "_size").groupBy("_i").agg(F.greatest(F.max("_p"), F.max(F.when(rank > 0, F.col("_bound")).otherwise(F.least(F.col("_size") * F.col("_p"), F.col("_bound"))))).alias("hommel"))
+    return two.join(hommel, "_i").orderBy("_i").drop("_m", "_i", "_h")
 
 
 def rejected(tests: DataFrame, methods: list[str], alpha: float = 0.05) -> DataFrame:

@@ -201,11 +201,15 @@ def polynomial_fit(spark, d):
     return m.select(*out)
 
 
-@query("""WITH p AS (SELECT c_nationkey AS k, count(*) FILTER (c_acctbal < 0) / CAST(count(*) AS DOUBLE) / 5 AS p FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS i, count(*) OVER () AS m FROM p)
+@query("""WITH p AS (SELECT c_nationkey AS k, count(*) FILTER (c_acctbal < 0) / CAST(count(*) AS DOUBLE) / 5 AS p FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS i, count(*) OVER () AS m FROM p),
+q AS (SELECT *, min(least(1, m * p / i)) OVER (ORDER BY i DESC) AS bh FROM r), simes AS (SELECT s, min(s * p / (i - m + s)) AS c FROM r, (SELECT unnest(range(1, (SELECT count(*) FROM r) + 1)) AS s) WHERE i > m - s GROUP BY s),
+hom AS (SELECT i, greatest(max(p), max(CASE WHEN i > m - s THEN c ELSE least(s * p, c) END)) AS hommel FROM r, simes GROUP BY i)
 SELECT k, round(p, 9) AS p, round(least(1, m * p), 9) AS bonferroni, round(1 - pow(1 - p, m), 9) AS sidak, round(max(least(1, (m - i + 1) * p)) OVER (ORDER BY i), 9) AS holm,
 round(min(least(1, m * p / i)) OVER (ORDER BY i DESC), 9) AS fdr_bh, round(max(1 - pow(1 - p, m - i + 1)) OVER (ORDER BY i), 9) AS holm_sidak, round(min(least(1, (m - i + 1) * p)) OVER (ORDER BY i DESC), 9) AS simes_hochberg,
-round(min(least(1, (SELECT sum(1.0 / i) FROM r) * m * p / i)) OVER (ORDER BY i DESC), 9) AS fdr_by, min(least(1, m * p / i)) OVER (ORDER BY i DESC) <= 0.05 AS reject FROM r""")
+round(min(least(1, (SELECT sum(1.0 / i) FROM r) * m * p / i)) OVER (ORDER BY i DESC), 9) AS fdr_by, round(hommel, 9) AS hommel,
+round(least(1, bh * CASE WHEN first_bh BETWEEN 1 AND m - 1 THEN m - first_bh ELSE m END / m), 9) AS fdr_tsbh, round(least(1, 1.05 * bh * CASE WHEN first_bky BETWEEN 1 AND m - 1 THEN m - first_bky ELSE m END / m), 9) AS fdr_tsbky, bh <= 0.05 AS reject
+FROM (SELECT q.*, (SELECT count(*) FROM q x WHERE x.bh <= 0.05) AS first_bh, (SELECT count(*) FROM q x WHERE x.bh <= 0.05 / 1.05) AS first_bky, hommel FROM q JOIN hom USING (i)) ORDER BY p, k""")
 def adjusted_p_values(spark, d):
     c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg((F.count_if(F.col("c_acctbal") < 0) / F.count("*") / 5).alias("p"))
     out = stats.adjust(c, "p", ["k"])
-    return out.select("k", *[F.round(x, 9).alias(x) for x in ("p", "bonferroni", "sidak", "holm", "fdr_bh", "holm_sidak", "simes_hochberg", "fdr_by")], (F.col("fdr_bh") <= 0.05).alias("reject"))
+    return out.select("k", *[F.round(x, 9).alias(x) for x in ("p", "bonferroni", "sidak", "holm", "fdr_bh", "holm_sidak", "simes_hochberg", "fdr_by", "hommel", "fdr_tsbh", "fdr_tsbky")], (F.col("fdr_bh") <= 0.05).alias("reject"))
