@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import signals, similarity
-from tidewave.operators import clusters, graph, joins
+from tidewave.operators import clusters, graph, joins, voronoi
 from tidewave.plans.catalog import _EDGES, _PEAKS, _WINDOWS, _windows, query, rows_only
 from tidewave.plans.events import _members
 from tidewave.plans.waves import _LINKED, _cells_of, _growth, _placed
@@ -316,28 +316,14 @@ def _jittered(spark, d) -> DataFrame:
 
 @rows_only
 def delaunay_neighbours(spark, d):
-    """Pairs of cells whose Voronoi cells share a side, one group a recording."""
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell", ignore_index=True)
-        pairs = sorted(similarity.delaunay_edges(pdf[["x", "y"]].to_numpy(float)))
-        return pd.DataFrame([(pdf["cell"][i], pdf["cell"][j]) for i, j in pairs], columns=["cell_a", "cell_b"])
-
-    return _jittered(spark, d).groupBy("recording").applyInPandas(group, "cell_a long, cell_b long")
+    """Pairs of cells whose Voronoi cells share a side; tests compare with the kernel on all points at once."""
+    return voronoi.voronoi(_jittered(spark, d))[1]
 
 
 @rows_only
 def voronoi_ridges(spark, d):
     """The sides of the Voronoi cells, cut at the box around all cells."""
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell", ignore_index=True)
-        points = pdf[["x", "y"]].to_numpy(float)
-        box = (*(points.min(axis=0) - 10), *(points.max(axis=0) + 10))
-        rows = [(pdf["cell"][i], pdf["cell"][j], *ends) for i, j, *ends in similarity.ridges(points, box)]
-        return pd.DataFrame(rows, columns=["cell_a", "cell_b", "x0", "y0", "x1", "y1"])
-
-    return _jittered(spark, d).groupBy("recording").applyInPandas(group, "cell_a long, cell_b long, x0 double, y0 double, x1 double, y1 double")
+    return voronoi.voronoi(_jittered(spark, d))[0]
 
 
 @rows_only
