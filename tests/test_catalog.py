@@ -1,6 +1,7 @@
 """Each query against its SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidewave.plans import archive, events, exports, pixels, relations, statistics, traces, waves  # noqa: F401
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events embeddings
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(map(repr, (tuple(None if v != v else float(v) if isinstance(v, (int, float)) or hasattr(v, "item") and not isinstance(v, str) else v for v in r) for r in frame.itertuples(index=False, name=None))))
+    return sorted(map(repr, (tuple(None if v is pd.NA or v != v else float(v) if isinstance(v, (int, float)) or hasattr(v, "item") and not isinstance(v, str) else v for v in r) for r in frame.itertuples(index=False, name=None))))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -67,7 +67,7 @@ def recorded(spark, d) -> Recorded:
 
 
 @query(f"""{_RECORDED}, k AS (SELECT n.*, w.event AS wave, w.caused, m.event AS cascade FROM numbered n LEFT JOIN waves w USING (event_id) LEFT JOIN crew m ON m.id = n.event_id)
-SELECT peak_id AS "Peak ID", cell AS "Cell ID", coalesce(wave, cascade + {CASCADE}) AS "Event ID", base_on + 100.0 AS "Baseline onset time (s)", base_off + 100.0 AS "Baseline offset time (s)", CAST(base_off - base_on AS DOUBLE) AS "Baseline duration (s)",
+SELECT peak_id AS "Peak ID", cell AS "Cell ID", CAST(coalesce(wave, cascade + {CASCADE}) AS VARCHAR) AS "Event ID", base_on + 100.0 AS "Baseline onset time (s)", base_off + 100.0 AS "Baseline offset time (s)", CAST(base_off - base_on AS DOUBLE) AS "Baseline duration (s)",
 start + 100.0 AS "FHW onset time (s)", stop + 100.0 AS "FHW offset time (s)", CAST(stop - start AS DOUBLE) AS "FHW duration (s)", CAST(frame AS DOUBLE) AS "Peak time (s)", CAST(start AS DOUBLE) AS "Onset time (s)", CAST(stop AS DOUBLE) AS "Offset time (s)", CAST(stop - start AS DOUBLE) AS "Duration (s)", CAST(frame AS DOUBLE) AS "Event reference time (s)",
 round(height, 1) AS "Height (noise std units)", round(depth, 1) AS "Prominence (noise std units)", round(height - depth / 2, 1) AS "FHW height (noise std units)", CAST(frame - base_on AS DOUBLE) AS "Baseline rise time (s)", CAST(base_off - frame AS DOUBLE) AS "Baseline decay time (s)",
 CAST(frame - start AS DOUBLE) AS "FHW rise time (s)", CAST(stop - frame AS DOUBLE) AS "FHW decay time (s)", CASE WHEN stop > start THEN round(1 - abs((frame - start) - (stop - frame)) / CAST(stop - start AS DOUBLE), 3) END AS "FHW symmetry score",
@@ -77,7 +77,7 @@ def peaks_export(spark, d):
     roles = r.comms.select(F.explode(F.array(F.struct("event_id", F.lit(2).alias("role")), F.struct(F.col("cause_id").alias("event_id"), F.lit(1).alias("role")))).alias("s")).select("s.*").groupBy("event_id").agg(F.max("role").alias("role"))
     k = r.found.join(r.waves.select(F.col("id").alias("event_id"), F.col("event").alias("wave"), "caused"), "event_id", "left").join(r.members.select(F.col("id").alias("event_id"), F.col("event").alias("cascade")), "event_id", "left").join(roles, "event_id", "left")
     kind = F.when(F.col("wave").isNotNull(), F.when(F.col("caused"), "caused").otherwise("origin")).when(F.col("role") == 2, "caused").when(F.col("role") == 1, "origin").otherwise("individual")
-    named = {"event": F.coalesce("wave", F.col("cascade") + CASCADE), "in_event": F.when(F.col("wave").isNotNull(), "global").when(F.col("cascade").isNotNull(), "sequential"), "origin_type": kind}
+    named = {"event": F.coalesce("wave", F.col("cascade") + CASCADE).cast("string"), "in_event": F.when(F.col("wave").isNotNull(), "global").when(F.col("cascade").isNotNull(), "sequential"), "origin_type": kind}
     return exports.peaks_table(k.withColumns(named).withColumnsRenamed({"start": "on", "stop": "off", "depth": "prominence"}))
 
 
@@ -143,7 +143,7 @@ t AS (SELECT s.event + {CASCADE} AS id, 'SequentialEvent' AS kind, a, b, n, CAST
   FROM s JOIN dir d USING (event) JOIN dag USING (event) JOIN pace USING (event) JOIN shapes USING (event)
   UNION ALL SELECT g.event, 'GlobalEvent', a, b, n, g.event, {_VECTOR.format('axis.')}, speed, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM g JOIN axis USING (event))
 SELECT id AS "Event ID", kind AS "Event type", a + 100.0 AS "Event onset time (s)", b + 100.0 AS "Event offset time (s)", CAST(b - a AS DOUBLE) AS "Event duration (s)", peak + 100.0 AS "Event peak time (s)", n AS "Number of cells involved", way AS "Propagation direction vector", round(speed * 0.325, 2) AS "Propagation speed (um/s)",
-round(gm, 2) AS "Growth curve mean", round(gs, 2) AS "Growth curve std", CASE WHEN kind = 'GlobalEvent' THEN CAST(half AS DOUBLE) END AS "Time to 50% (s)", CASE WHEN kind = 'GlobalEvent' THEN round(rate, 1) END AS "Normalized peak rate at 50% (% of peaks/s)", n_nodes AS "DAG number of nodes", n_edges AS "DAG number of edges", n_roots AS "DAG number of roots", depth AS "DAG depth", width AS "DAG width",
+round(gm, 2) AS "Growth curve mean", round(gs, 2) AS "Growth curve std", CASE WHEN kind = 'GlobalEvent' THEN CAST(half AS DOUBLE) END AS "Time to 50% (s)", CASE WHEN kind = 'GlobalEvent' THEN round(rate, 1) END AS "Normalized peak rate at 50% (% of peaks/s)", CAST(n_nodes AS DOUBLE) AS "DAG number of nodes", CAST(n_edges AS DOUBLE) AS "DAG number of edges", CAST(n_roots AS DOUBLE) AS "DAG number of roots", CAST(depth AS DOUBLE) AS "DAG depth", CAST(width AS DOUBLE) AS "DAG width",
 round(mean_out_degree, 2) AS "DAG average out degree", round(mean_path, 2) AS "DAG average path length", round(cs * 0.325, 2) AS "Average communication speed (um/s)", round(css * 0.325, 2) AS "Standard deviation communication speed (um/s)", round(ct, 2) AS "Average communication time (s)", round(cts, 2) AS "Standard deviation communication time (s)",
 round(elongation, 2) AS "Elongation score", round(radiality, 2) + 0.0 AS "Radiality score", round(compactness, 2) AS "Compactness score" FROM t JOIN growth ON growth.event = t.id""")
 def events_export(spark, d):
@@ -153,6 +153,7 @@ def events_export(spark, d):
     span = lambda m: m.groupBy("event").agg(F.min("frame").alias("onset"), F.max("frame").alias("last"), F.countDistinct("cell").alias("n_cells"))
     s = span(r.members).withColumn("kind", F.lit("SequentialEvent")).join(metrics.direction(r.members, r.links, r.source).select("event", vector.alias("direction")), "event")
     dag = communications.dag_metrics(r.links.select("event", F.col("cause_cell").alias("a"), F.col("cell").alias("b"))).toDF("event", "nodes", "edges", "roots", "depth", "width", "out_degree", "path")
+    dag = dag.withColumns({c: F.col(c).cast("double") for c in ("nodes", "edges", "roots", "depth", "width")})
     other = r.cells.toDF("other", "x2", "y2")
     spread = r.cells.join(other, F.col("cell") < F.col("other")).agg(F.avg(F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)).alias("pop"))
     slow = metrics.growth(r.members).select("event", "growth_mean", "growth_std")
