@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions import binning, stats
@@ -93,11 +93,21 @@ def string_ops(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat_ws("_", "p_brand", "p_type").alias("label"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("noun"), F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("long").alias("brand_number"))
 
 
-@query(f"WITH {_PEAKS} SELECT cell, CAST(bool_or(dataset = 'click' AND height > 150) AS BIGINT) AS click, CAST(bool_or(dataset = 'error' AND height > 150) AS BIGINT) AS error, CAST(bool_or(dataset = 'view' AND height > 150) AS BIGINT) AS view FROM peaks GROUP BY cell HAVING bool_or(height > 150 AND dataset IN ('click', 'error', 'view'))")
+def _categories(rows: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The values of a column that becomes columns, in order; more than ``most`` are refused."""
+    found = sorted(r[0] for r in rows.select(column).distinct().filter(F.col(column).isNotNull()).limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return found
+
+
+@query(f"""WITH {_PEAKS} SELECT cell, CAST(bool_or(dataset = 'click' AND height > 150) AS BIGINT) AS "click", CAST(bool_or(dataset = 'error' AND height > 150) AS BIGINT) AS "error", CAST(bool_or(dataset = 'purchase' AND height > 150) AS BIGINT) AS "purchase", CAST(bool_or(dataset = 'signup' AND height > 150) AS BIGINT) AS "signup", CAST(bool_or(dataset = 'view' AND height > 150) AS BIGINT) AS "view" FROM peaks GROUP BY cell HAVING bool_or(height > 150)""")
 def membership_matrix(spark, d):
-    high = peaks(spark, d).filter("height > 150 AND dataset IN ('click', 'error', 'view')")
-    wide = high.groupBy("cell").pivot("dataset", ["click", "error", "view"]).agg(F.lit(1).cast("long"))
-    return wide.select("cell", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("click", "error", "view")])
+    """A column a category that the data hold, 1 where the cell has a high peak of it."""
+    p = peaks(spark, d)
+    names = _categories(p, "dataset")
+    wide = p.filter("height > 150").groupBy("cell").pivot("dataset", names).agg(F.lit(1).cast("long"))
+    return wide.select("cell", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
 @query("SELECT max(p_retailprice) AS price_max, min(p_retailprice) AS price_min, CAST(count(*) AS DOUBLE) AS n_parts FROM part")
@@ -204,11 +214,12 @@ def pre_event_peakers(spark, d):
     return joins.range_join(before, p, ["dataset"], "lo", "hi", "frame", 24).select("dataset", "first_frame", "cell").distinct()
 
 
-@query(f"""WITH {_PEAKS}, n AS (SELECT cell, dataset, count(*) AS n FROM peaks GROUP BY ALL), w AS (SELECT cell, coalesce(max(n) FILTER (dataset = 'click'), 0) AS click, coalesce(max(n) FILTER (dataset = 'view'), 0) AS view FROM n GROUP BY cell)
-SELECT c_custkey, c_mktsegment, click, view FROM customer JOIN w ON c_custkey = cell""")
+@query(f"""WITH {_PEAKS}, n AS (SELECT cell, dataset, count(*) AS n FROM peaks GROUP BY ALL), w AS (SELECT cell, coalesce(max(n) FILTER (dataset = 'click'), 0) AS "click", coalesce(max(n) FILTER (dataset = 'error'), 0) AS "error", coalesce(max(n) FILTER (dataset = 'purchase'), 0) AS "purchase", coalesce(max(n) FILTER (dataset = 'signup'), 0) AS "signup", coalesce(max(n) FILTER (dataset = 'view'), 0) AS "view" FROM n GROUP BY cell)
+SELECT c_custkey, c_mktsegment, "click", "error", "purchase", "signup", "view" FROM customer JOIN w ON c_custkey = cell""")
 def pivot_merge(spark, d):
-    wide = peaks(spark, d).groupBy(F.col("cell").alias("c_custkey")).pivot("dataset", ["click", "view"]).count().na.fill(0)
-    return table(spark, d, "customer").select("c_custkey", "c_mktsegment").join(wide, "c_custkey", "left").dropna(subset=["click"])
+    p = peaks(spark, d)
+    wide = p.groupBy(F.col("cell").alias("c_custkey")).pivot("dataset", _categories(p, "dataset")).count().na.fill(0)
+    return table(spark, d, "customer").select("c_custkey", "c_mktsegment").join(wide, "c_custkey")
 
 
 @query(f"WITH {_PEAKS} SELECT f.frame AS at_frame, p.dataset, p.event_id FROM (SELECT unnest(range(0, (SELECT max(frame) + 1 FROM peaks))) AS frame) f JOIN peaks p ON f.frame BETWEEN p.frame AND p.frame + p.dur")
