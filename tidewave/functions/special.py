@@ -68,7 +68,8 @@ def f_tail(f: float, d1: float, d2: float) -> float:
 
 
 def exact_u_tail(u: int, n: int, m: int) -> float:
-    """Two-sided exact p of the rank sum statistic without ties, from the number of orders that give each value."""
+    """Two-sided exact p of the rank sum statistic without ties, from the number of orders that give each value; the smaller group gives the number of rounds."""
+    n, m = sorted((n, m))
     ways = np.zeros(n * m + 1)
     ways[0] = 1.0
     for i in range(1, n + 1):
@@ -76,8 +77,8 @@ def exact_u_tail(u: int, n: int, m: int) -> float:
         new = ways.copy()
         if m + i <= n * m:
             new[m + i :] -= ways[: n * m + 1 - m - i]
-        for k in range(i, n * m + 1):
-            new[k] += new[k - i]
+        for first in range(i):
+            new[first::i] = np.cumsum(new[first::i])
         ways = new
     share = ways / ways.sum()
     return min(1.0, 2 * share[max(u, n * m - u) :].sum())

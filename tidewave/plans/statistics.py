@@ -119,11 +119,11 @@ def mann_whitney(spark, d):
 
 @rows_only
 def mann_whitney_p(spark, d):
-    """Two-sided p: exact where both groups have few members and no ties, else from the normal score."""
+    """Two-sided p: exact where one of the groups has 20 members or fewer and there are no ties, else from the normal score."""
     found = _each(stats.mann_whitney, spark, d)
 
     def p(u, z, n, m, untied):
-        return special.exact_u_tail(int(u), int(n), int(m)) if untied and min(n, m) <= 20 and n * m <= 40_000 else min(1.0, special.normal_two_sided(max(z, 0.0)))
+        return special.exact_u_tail(int(u), int(n), int(m)) if untied and min(n, m) <= 20 else min(1.0, special.normal_two_sided(max(z, 0.0)))
 
     out = found.withColumn("p", special.column(p)("u", "z", "n", "m", "untied")).drop("untied")
     return stats.adjust(out, "p", ["group_a", "group_b"])
