@@ -61,16 +61,17 @@ def silhouette(dist: np.ndarray, labels: np.ndarray) -> float:
 
 
 def automatic_threshold(dist: np.ndarray, kind: str = "average", window: int = 30, spread: float = 0.2) -> float:
-    """The merge height to cut at: near the one behind the largest jump among the last ``window``, that with the best silhouette (ties: the lowest).
+    """The height to cut at: within ``spread`` of the merge behind the largest jump among the last ``window``, with the best silhouette (ties: the lowest).
 
-    One linkage serves all tries, as labels change at merge heights only.
+    One linkage serves all tries, as labels change at merge heights only: the lower end of the range and the heights inside it are enough.
     """
     tree = merges(dist, kind)
     last = sorted(h for _, _, h in tree)[-window:]
     if len(last) < 2:
         return last[0] if last else 0.0
     behind = int(np.diff(last).argmax()) + 1
-    near = {h for h in last if abs(h - last[behind]) <= spread * last[behind]}
+    low = last[behind] * (1 - spread)
+    near = {low} | {h for h in last if low < h <= last[behind] * (1 + spread)}
     best, height = max((silhouette(dist, labels_at(len(dist), tree, h)), -h) for h in near)
     return -height if best > -1 else last[behind]
 
