@@ -495,7 +495,10 @@ def global_direction(spark, d):
     way = points.filter("i BETWEEN 1 AND 4").groupBy("event").agg(
         F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"), (at("x", 4) - at("x", 1)).alias("dx"), (at("y", 4) - at("y", 1)).alias("dy"), (timed(4) - timed(1)).alias("dt")
     )
-    a, b = held.select("event", "x", "y").distinct(), held.select("event", F.col("x").alias("bx"), F.col("y").alias("by")).distinct()
+    # The farthest pair are corners of the hull, so only the two ends of each grid column are paired: at most 30 places an event.
+    ends = held.groupBy("event", "x").agg(F.array_distinct(F.array(F.min("y"), F.max("y"))).alias("y"))
+    a = graph.cut(ends.select("event", "x", F.explode("y").alias("y")))
+    b = a.toDF("event", "bx", "by")
     wide = a.join(b, "event").groupBy("event").agg(F.max(F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)).alias("extent"))
     net = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)
     moved = (F.col("extent") > 0) & (net >= 0.25 * F.col("extent"))
