@@ -1,8 +1,11 @@
 """Steps that must not grow with the square of a group: their tables stay small, their results those of all pairs."""
 
 import numpy as np
+import pandas as pd
+import pytest
 
-from tidewave.plans import waves
+from tidewave.plans import archive, waves
+from tidewave.plans.catalog import QUERIES
 
 
 def test_extent_pairs_only_column_ends(spark, monkeypatch):
@@ -18,3 +21,35 @@ def test_extent_pairs_only_column_ends(spark, monkeypatch):
     x, y = 10.0 * (cells % 15), 10.0 * (cells // 15)
     assert found["extent"] == round(float(np.hypot(x[:, None] - x, y[:, None] - y).max()), 6)
     assert written[-1].columns == ["event", "x", "y"] and written[-1].count() <= 30
+
+
+def test_lagged_similarities_meet_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    traces = {int(c): rng.integers(0, 4, 12).astype(float) for c in rng.choice(1000, 40, replace=False)}
+    traces[5], traces[6] = np.full(12, 3.0), np.zeros(12)
+    daily = spark.createDataFrame([(c, v.tolist()) for c, v in traces.items()], "cell long, values array<double>")
+    monkeypatch.setattr(archive, "_daily", lambda spark, d: daily)
+    monkeypatch.setattr(archive, "BLOCK", 7)
+
+    def corr(x, y):
+        return np.corrcoef(x, y)[0, 1] if x.std() > 1e-6 and y.std() > 1e-6 else None
+
+    def best(f, a, b):
+        found = [f(a[max(k, 0) : 12 + min(k, 0)], b[max(-k, 0) : 12 + min(-k, 0)]) for k in range(-2, 3)]
+        return max((v for v in found if v is not None), default=0.0)
+
+    pairs = [(a, b) for a in traces for b in traces if a <= b]
+    plain = {
+        "lagged_pearson": corr,
+        "lagged_spearman": lambda x, y: corr(pd.Series(x).rank().to_numpy(), pd.Series(y).rank().to_numpy()),
+        "lagged_jaccard": lambda x, y: ((x > 1) & (y > 1)).sum() / max(1, ((x > 1) | (y > 1)).sum()),
+    }
+    monkeypatch.setattr(archive, "ACTIVE", 1.0)
+    for name, f in plain.items():
+        got = [((r.cell_a, r.cell_b), r.similarity) for r in QUERIES[name](spark, "").collect()]
+        assert len(got) == len(pairs)
+        assert dict(got) == pytest.approx({(a, b): best(f, traces[a], traces[b]) for a, b in pairs}, abs=2e-6)
+    norm = np.linalg.norm
+    got = {(r.cell_a, r.cell_b): r.similarity for r in archive.lagged_xcorr(spark, "").collect()}
+    assert got == pytest.approx({(a, b): best(np.dot, traces[a], traces[b]) / (norm(traces[a]) * norm(traces[b]) + 1e-8) for a, b in pairs}, abs=2e-6)
+    assert archive._compared(spark, "", lambda a, b: {0: np.zeros((len(a), len(b)))})._jdf.queryExecution().toString().count("NestedLoop") == 0
