@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tidewave.functions import stats
 from tidewave.operators import joins
 from tidewave.plans import archive, waves
 from tidewave.plans.catalog import QUERIES, _links
@@ -67,3 +68,20 @@ def test_causes_on_a_grid_take_one_shuffle_of_the_peaks(spark):
     assert found.columns == plain.columns
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
     assert _links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_slopes_are_counted_not_kept(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 40, 120).astype(float), np.round(rng.normal(size=120), 1)
+    monkeypatch.setattr(stats, "BLOCK", 17)
+    written, cut = [], stats.cut
+    monkeypatch.setattr(stats, "cut", lambda df: written.append(cut(df)) or written[-1])
+    found = stats.theil_sen(spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double"), "x", "y").first()
+    i, j = np.triu_indices(120, 1)
+    i, j = i[x[i] != x[j]], j[x[i] != x[j]]
+    k, c = np.sort((y[j] - y[i]) / (x[j] - x[i])), np.unique(x, return_counts=True)[1]
+    spread = 1.959963984540054 * np.sqrt((120 * 119 * 245 - (c * (c - 1) * (2 * c + 5)).sum()) / 18)
+    slope = np.median(k)
+    want = (slope, np.median(y) - slope * np.median(x), k[round((len(k) - spread) / 2) - 1], k[round((len(k) + spread) / 2) - 1])
+    assert tuple(found) == pytest.approx(want, abs=1e-4) and sum(w.count() for w in written) <= 120
+    assert stats.theil_sen(spark.createDataFrame([(1.0, 2.0)], "x double, y double"), "x", "y").first()[0] is None

@@ -10,6 +10,8 @@ from tidewave.operators.graph import cut
 
 #: Bins by which order statistics are narrowed down.
 BINS = 2048
+#: Rows a block holds on average where all pairs of rows are met.
+BLOCK = 2048
 
 
 def quantiles(rows: DataFrame, groups: list[str], value: str, parts: dict[str, float]) -> DataFrame:
@@ -217,18 +219,65 @@ def bootstrap(rows: DataFrame, groups: list[str], columns: list[str], statistic,
 def theil_sen(rows: DataFrame, x: str, y: str, z: float = 1.959963984540054) -> DataFrame:
     """(slope, intercept, lo_slope, hi_slope): median of the slopes of all pairs of unequal ``x``, and its interval from the normal approximation.
 
-    The slopes are of pairs of rows, so their number grows with the square of the rows; they are spread over all tasks and never sorted as a whole.
+    Slopes are made from two blocks of rows at a time and only counted, never kept: four passes count them by the next 16 bits of the numbers of the order
+    statistics asked for, which are exact after the last. Time grows with the square of the rows, memory and disk do not.
     """
-    p = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    slopes = cut(p.toDF("ax", "ay").join(p.toDF("bx", "by"), F.col("ax") < F.col("bx")).select(((F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))).alias("k")))
-    n, t = p.count(), slopes.count()
-    if not t:
-        return quantiles(slopes, [], "k", {c: 0.5 for c in ("slope", "intercept", "lo_slope", "hi_slope")})
-    c = F.col("c")
-    ties = p.groupBy("x").agg(F.count("*").alias("c")).agg(F.sum(c * (c - 1) * (2 * c + 5))).first()[0]
-    spread = z * ((n * (n - 1) * (2 * n + 5) - ties) / 18.0) ** 0.5
-    rank = lambda r: (min(max(round(r), 1), t) - 1) / max(1, t - 1)
-    q = quantiles(slopes, [], "k", {"slope": 0.5, "lo_slope": rank((t - spread) / 2), "hi_slope": rank((t + spread) / 2)})
+    p = cut(rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna())
+    n = p.count()
+    blocks = F.lit(max(1, -(-n // BLOCK))).cast("long")
+    met = p.withColumn("own", F.pmod(F.xxhash64("x", "y", F.monotonically_increasing_id()), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = met.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "y")
+    places: dict[int, tuple[int, int]] = {}
+    for step in range(4):
+        counts = _slope_bits(met, sorted({at for at, _ in places.values()} or {0}), 48 - 16 * step)
+        if not step:
+            t = sum(counts.values())
+            if not t:
+                return rows.sparkSession.createDataFrame([(None,) * 4], "slope double, intercept double, lo_slope double, hi_slope double")
+            c = F.col("c")
+            ties = p.groupBy("x").agg(F.count("*").alias("c")).agg(F.sum(c * (c - 1) * (2 * c + 5))).first()[0]
+            spread = z * ((n * (n - 1) * (2 * n + 5) - ties) / 18.0) ** 0.5
+            low, high = (min(max(round(r), 1), t) - 1 for r in ((t - spread) / 2, (t + spread) / 2))
+            places = {r: (0, r) for r in ((t - 1) // 2, t // 2, low, high)}
+        for r, (at, left) in places.items():
+            for (held, part), k in sorted(counts.items()):
+                if held == at:
+                    if left < k:
+                        places[r] = ((at << 16) | part, left)
+                        break
+                    left -= k
+    value = {r: _number(at) for r, (at, _) in places.items()}
+    slope = value[(t - 1) // 2] + (value[t // 2] - value[(t - 1) // 2]) * 0.5
     mid = quantiles(p, [], "x", {"mx": 0.5}).crossJoin(quantiles(p, [], "y", {"my": 0.5}))
-    out = q.crossJoin(F.broadcast(mid)).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
-    return out.select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("lo_slope", 6).alias("lo_slope"), F.round("hi_slope", 6).alias("hi_slope"))
+    rounded = lambda v, name: F.round(F.lit(v), 6).alias(name)
+    return mid.select(rounded(slope, "slope"), F.round(F.col("my") - slope * F.col("mx"), 4).alias("intercept"), rounded(value[low], "lo_slope"), rounded(value[high], "hi_slope"))
+
+
+def _slope_bits(met: DataFrame, prefixes: list[int], shift: int) -> dict[tuple[int, int], int]:
+    """Numbers of slopes by (prefix, next 16 bits) of those whose bits above begin with one of ``prefixes``; the bits are in the order of the numbers."""
+    import numpy as np
+    import pandas as pd
+
+    def count(key, pdf):
+        a, b = (pdf[pdf["own"] == k] for k in key)
+        dx = b["x"].to_numpy() - a["x"].to_numpy()[:, None]
+        used = (dx != 0) if key[0] != key[1] else np.triu(dx != 0, 1)
+        slopes = (b["y"].to_numpy() - a["y"].to_numpy()[:, None])[used] / dx[used] + 0.0
+        bits = slopes.view(np.uint64)
+        bits = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+        out = []
+        for prefix in prefixes:
+            mine = bits if shift == 48 else bits[bits >> np.uint64(shift + 16) == np.uint64(prefix)]
+            n = np.bincount(((mine >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64))
+            part = np.flatnonzero(n)
+            out.append(pd.DataFrame({"prefix": np.full(len(part), prefix, np.int64), "part": part, "n": n[part]}))
+        return pd.concat(out)
+
+    found = met.groupBy("i", "j").applyInPandas(count, "prefix long, part long, n long").groupBy("prefix", "part").agg(F.sum("n").alias("n"))
+    return {(r["prefix"], r["part"]): r["n"] for r in found.collect()}
+
+
+def _number(bits: int) -> float:
+    import struct
+
+    return struct.unpack(">d", (bits ^ (1 << 63) if bits >> 63 else bits ^ ((1 << 64) - 1)).to_bytes(8, "big"))[0]
