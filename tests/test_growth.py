@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidewave.functions import stats
+from tidewave.functions import similarity, stats
 from tidewave.operators import joins
 from tidewave.plans import archive, waves
 from tidewave.plans.catalog import QUERIES, _links
@@ -85,3 +85,15 @@ def test_slopes_are_counted_not_kept(spark, monkeypatch):
     want = (slope, np.median(y) - slope * np.median(x), k[round((len(k) - spread) / 2) - 1], k[round((len(k) + spread) / 2) - 1])
     assert tuple(found) == pytest.approx(want, abs=1e-4) and sum(w.count() for w in written) <= 120
     assert stats.theil_sen(spark.createDataFrame([(1.0, 2.0)], "x double, y double"), "x", "y").first()[0] is None
+
+
+def test_dense_traces_need_no_table_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    traces = [(i, rng.random(8).tolist()) for i in range(50)]
+    t = spark.createDataFrame(traces, "cell long, values array<double>")
+    monkeypatch.setattr(archive, "BLOCK", 9)
+    for bar in (0.9, 0.94, 0.97):
+        m = similarity.cosine(*[np.array([v for _, v in traces])] * 2) >= bar
+        pairs = spark.createDataFrame([(int(i), int(j)) for i, j in zip(*np.nonzero(m))], "a long, b long")
+        want = {r.cell: r.label for r in archive.density_clusters(pairs, t.select("cell"), 4).collect()}
+        assert {r.cell: r.label for r in archive.dense_traces(t, similarity.cosine, bar, 4).collect()} == want
