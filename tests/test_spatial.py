@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewave.operators import communications, spatial
+from tidewave.operators import communications, graph, spatial
 
 
 def points(rng, n, spread):
@@ -178,3 +178,10 @@ def test_communications_and_their_events(spark):
         size[top(a)] |= {a, b}
     events = {(r.event, r.cause_id, r.event_id) for r in communications.events(links, 3).collect()}
     assert events == {(top(a), a, b) for a, b in want if len(size[top(a)]) >= 3}
+
+
+def test_copies_over_squares_are_not_broadcast(spark):
+    p = spark.range(1000).select(F.col("id").alias("a"), F.col("id").alias("t"), F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
+    met = spatial.within(p, p.toDF("b", "t2", "x2", "y2"), 1.0, times=("t", "t2"), lag=(1, 6))
+    top = met._jdf.queryExecution().sparkPlan().toString().split("Join", 1)[0]
+    assert "SortMerge" in top and "Broadcast" not in top
