@@ -180,8 +180,31 @@ def test_communications_and_their_events(spark):
     assert events == {(top(a), a, b) for a, b in want if len(size[top(a)]) >= 3}
 
 
+def test_communications_within_a_radius_need_no_edges(spark):
+    rng = np.random.default_rng(5)
+    at = {c: (float(rng.uniform(0, 8)), float(rng.uniform(0, 8))) for c in range(16)}
+    edges = {(a, b) for a in at for b in at if a != b and (at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2 <= 4.0}
+    peaks = [(i, int(rng.integers(0, 16)), "ab"[int(rng.integers(0, 2))], int(rng.integers(0, 40))) for i in range(220)]
+    p = spark.createDataFrame([(*q, *at[q[1]]) for q in peaks], "event_id long, cell long, dataset string, frame long, x double, y double")
+    got = [(r.cause_id, r.event_id) for r in communications.communications(p, None, 6, 2.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_communications(peaks, edges, 6)
+
+
 def test_copies_over_squares_are_not_broadcast(spark):
     p = spark.range(1000).select(F.col("id").alias("a"), F.col("id").alias("t"), F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
     met = spatial.within(p, p.toDF("b", "t2", "x2", "y2"), 1.0, times=("t", "t2"), lag=(1, 6))
     top = met._jdf.queryExecution().sparkPlan().toString().split("Join", 1)[0]
     assert "SortMerge" in top and "Broadcast" not in top
+
+
+def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
+    """Labels that only flow along links need a round a step where a path climbs and falls again."""
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, kept=graph.cut: cuts.append(1) or kept(df))
+    n = 600
+    name = [int(x) for x in np.random.default_rng(6).permutation(n)]
+    name = [x + 1000 * (i % 40) for i, x in enumerate(name)]
+    links = [(name[i], name[i + 1]) for i in range(n - 1)] + [(90_000, 90_001), (90_001, 90_000), (90_002, 90_002)]
+    got = {r.node: r.label for r in graph.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{x: min(name) for x in name}, 90_000: 90_000, 90_001: 90_000, 90_002: 90_002}
+    assert len(cuts) <= 12

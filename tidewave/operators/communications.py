@@ -5,43 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.operators import graph, joins
+from tidewave.operators import graph, joins, spatial
 
 
-def copeak_links(peaks: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b) of peaks in one frame of a dataset whose cells are joined by ``edges(cell, neighbour)``, both directions."""
-    a = peaks.select(F.col("event_id").alias("a"), "cell", "dataset", "frame")
-    b = peaks.select(F.col("event_id").alias("b"), F.col("cell").alias("neighbour"), "dataset", "frame")
-    return a.join(edges, "cell").join(b, ["neighbour", "dataset", "frame"]).select("a", "b")
+def _by_edges(rows: DataFrame, other: DataFrame, edges: DataFrame, lo: int, hi: int) -> DataFrame:
+    spans = rows.join(edges, "cell").withColumns({"lo": F.col("frame") + lo, "hi": F.col("frame") + hi}).withColumnRenamed("neighbour", "other_cell")
+    return joins.range_join(spans, other, ["other_cell", "dataset"], "lo", "hi", "other_frame", hi - lo + 1).drop("lo", "hi")
 
 
-def communications(peaks: DataFrame, edges: DataFrame, reach: int) -> DataFrame:
+def communications(peaks: DataFrame, edges: DataFrame | None, reach: int, radius: float | None = None) -> DataFrame:
     """(cause_id, event_id, cause_cell, cell, dataset, cause_frame, frame): every peak's cause, if it has one.
 
+    Cells are next to each other by ``edges(cell, neighbour)``, or if they are at most ``radius`` apart; peaks then have x and y, and meet by
+    squares and frames, so that no peak is joined with all neighbours of its cell, active or not.
+
     A co-peaking group is caused by the earliest peak (ties: cell, id) of a cell next to a member and outside the group, at most ``reach``
     frames before. That peak is linked to the members next to it; without one, the group's first member (by cell, id) is its root. Other
     members are reached breadth-first, from the neighbour of the level before with the least cell and id. Peaks in no group are caused by
     the neighbour's peak farthest back within ``reach``. Tables are cut between the steps and deleted, but for the one returned.
     """
-    p, edges = graph.cut(peaks.select("event_id", "cell", "dataset", "frame")), graph.cut(edges.select("cell", "neighbour"))
-    pairs = graph.cut(copeak_links(p, edges))
-    groups = graph.connected(pairs).select(F.col("node").alias("event_id"), F.col("label").alias("grp"))
-    members = graph.cut(groups.join(p, "event_id"))
-    asked = members.join(edges, "cell").select("grp", "neighbour", "dataset", (F.col("frame") - reach).alias("lo"), (F.col("frame") - 1).alias("hi")).distinct()
-    other = p.select(F.col("event_id").alias("origin_id"), F.col("cell").alias("neighbour"), "dataset", "frame")
-    met = joins.range_join(asked, other, ["neighbour", "dataset"], "lo", "hi", "frame", reach + 1)
-    outside = met.join(members.select("grp", F.col("cell").alias("neighbour")).distinct(), ["grp", "neighbour"], "left_anti")
-    origins = graph.cut(outside.groupBy("grp").agg(F.min(F.struct("frame", "neighbour", "origin_id")).alias("o")).select("grp", F.col("o.neighbour").alias("neighbour"), F.col("o.origin_id").alias("cause_id")))
-    direct = graph.cut(members.join(origins, "grp").join(edges, ["cell", "neighbour"], "left_semi").select("event_id", "cause_id"))
+    place = [] if radius is None else ["x", "y"]
+    p = graph.cut(peaks.select("event_id", "cell", "dataset", "frame", *place))
+    other = p.select(F.col("event_id").alias("other_id"), F.col("cell").alias("other_cell"), "dataset", F.col("frame").alias("other_frame"), *[F.col(c).alias(f"{c}2") for c in place])
+    if radius is None:
+        edges = graph.cut(edges.select("cell", "neighbour"))
+        near = lambda rows, lo, hi: _by_edges(rows, other, edges, lo, hi)
+    else:
+        near = lambda rows, lo, hi: spatial.within(rows, other, radius, keys=["dataset"], times=("frame", "other_frame"), lag=(lo, hi)).filter("cell <> other_cell")
+    pairs = graph.cut(near(p, 0, 0).select(F.col("event_id").alias("a"), F.col("other_id").alias("b"), F.col("cell").alias("rank")))
+    groups = graph.connected(pairs.select("a", "b"))
+    members = graph.cut(groups.toDF("event_id", "grp").join(p, "event_id"))
+    before = near(members, -reach, -1).groupBy("grp", "other_cell").agg(F.min("other_frame").alias("frame"))
+    outside = before.join(members.select("grp", F.col("cell").alias("other_cell")).distinct(), ["grp", "other_cell"], "left_anti")
+    first = outside.groupBy("grp").agg(F.min(F.struct("frame", "other_cell")).alias("o")).select("grp", "o.frame", F.col("o.other_cell").alias("cell"))
+    first = first.join(members.groupBy("grp").agg(F.min("dataset").alias("dataset")), "grp").join(p, ["dataset", "cell", "frame"])
+    origins = graph.cut(first.groupBy("grp", F.col("cell").alias("neighbour"), *[F.col(c).alias(f"{c}2") for c in place]).agg(F.min("event_id").alias("cause_id")))
+    direct = members.join(origins, "grp")
+    if radius is None:
+        direct = direct.join(edges, ["cell", "neighbour"], "left_semi")
+    else:
+        dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+        direct = direct.filter(dx * dx + dy * dy <= float(radius) ** 2)
+    direct = graph.cut(direct.select("event_id", "cause_id"))
     lone = members.join(origins, "grp", "left_anti").groupBy("grp").agg(F.min(F.struct("cell", "event_id")).alias("m")).select(F.col("m.event_id").alias("event_id"))
-    ranked = pairs.join(p.select(F.col("event_id").alias("a"), F.col("cell").alias("rank")), "a")
-    found = graph.parents(direct.select("event_id").union(lone).withColumnRenamed("event_id", "node"), ranked)
+    found = graph.parents(direct.select("event_id").union(lone).withColumnRenamed("event_id", "node"), pairs)
     inner = found.filter("parent IS NOT NULL").select(F.col("node").alias("event_id"), F.col("parent").alias("cause_id"))
-    rest = joins.farthest_back(p, edges, reach).join(members.select("event_id"), "event_id", "left_anti").select("event_id", "cause_id")
+    alone = p.join(members.select("event_id"), "event_id", "left_anti")
+    rest = near(alone, -reach, -1).groupBy("event_id").agg(F.min(F.struct("other_frame", "other_id")).alias("m")).select("event_id", F.col("m.other_id").alias("cause_id"))
     side = p.select(F.col("event_id").alias("cause_id"), F.col("cell").alias("cause_cell"), F.col("frame").alias("cause_frame"))
     links = direct.unionByName(inner).unionByName(rest)
     out = graph.cut(links.join(p, "event_id").join(side, "cause_id").select("cause_id", "event_id", "cause_cell", "cell", "dataset", "cause_frame", "frame"))
-    graph.release(p, edges, pairs, groups, members, origins, direct, found)
+    graph.release(p, pairs, groups, members, origins, direct, found, *([] if radius is not None else [edges]))
     return out
 
 

@@ -56,7 +56,7 @@ def recorded(spark, d) -> Recorded:
     placed = graph.cut(found.join(cells, "cell"))
     waves = graph.cut(spatial.waves_of(placed, cells, SHARE).join(cells, "cell").withColumnRenamed("event_id", "id"))
     rest = placed.join(waves.select(F.col("id").alias("event_id")), "event_id", "left_anti")
-    comms = communications.communications(rest, near, spatial.REACH)
+    comms = communications.communications(rest, None, spatial.REACH, spatial.NEAR)
     links = communications.events(comms, spatial.LEAST)
     links = graph.cut(links.join(near.select(F.col("cell").alias("cause_cell"), F.col("neighbour").alias("cell"), F.sqrt("squared").alias("distance")), ["cause_cell", "cell"]))
     ends = F.array(F.struct(F.col("cause_id").alias("id"), F.col("cause_cell").alias("cell"), F.col("cause_frame").alias("frame")), F.struct(F.col("event_id").alias("id"), F.col("cell"), F.col("frame")))
