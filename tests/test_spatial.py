@@ -208,3 +208,25 @@ def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
     got = {r.node: r.label for r in graph.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{x: min(name) for x in name}, 90_000: 90_000, 90_001: 90_000, 90_002: 90_002}
     assert len(cuts) <= 12
+
+
+def test_components_write_tables_that_shrink(spark, monkeypatch):
+    """Chains in order, stars and random links: right labels, and all rounds together write few rows for each node."""
+    rng = np.random.default_rng(5)
+    chain = [(i, i + 1) for i in range(3000)]
+    star = [(5000, 5001 + i) for i in range(500)]
+    loose = [(int(a), int(b)) for a, b in rng.integers(6000, 7000, (700, 2))] + [(9000, 9000)]
+    label = {n: n for link in chain + star + loose for n in link}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in chain + star + loose:
+            low = min(label[a], label[b])
+            changed |= (label[a], label[b]) != (low, low)
+            label[a] = label[b] = low
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(out := cut(df)) or out)
+    monkeypatch.setattr(graph, "release", lambda *tables: None)
+    found = {r["node"]: r["label"] for r in graph.connected(spark.createDataFrame(chain + star + loose, "a long, b long")).collect()}
+    assert found == label
+    assert sum(t.count() for t in written) < 9 * len(label)
