@@ -69,8 +69,10 @@ def linear_baseline(spark, d):
 
 @query(f"WITH {_TRACE} SELECT cell, CAST(frame AS BIGINT) AS frame, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-8), 6) AS scaled FROM trace WINDOW w AS (PARTITION BY cell)")
 def minmax_traces(spark, d):
-    lo, span = F.array_min("values"), F.array_max("values") - F.array_min("values") + signals.EPS
-    return _long(_traces(spark, d).select("cell", F.transform("values", lambda v: (v - lo) / span).alias("values")), "scaled")
+    # The ends of a trace are found once, below the explosion; inside a lambda or beside it they would be sought for every sample.
+    lo, span = F.array_min("values").alias("lo"), (F.array_max("values") - F.array_min("values") + signals.EPS).alias("span")
+    s = _traces(spark, d).select("cell", "values", lo, span).select("cell", "lo", "span", F.posexplode("values").alias("frame", "v"))
+    return s.select("cell", F.col("frame").cast("long").alias("frame"), F.round((F.col("v") - F.col("lo")) / F.col("span"), 6).alias("scaled"))
 
 
 @query(f"WITH {_TRACE}, q AS (SELECT cell, quantile_cont(v, 0.9) AS base, max(v) AS hi FROM trace GROUP BY cell) SELECT cell, CAST(frame AS BIGINT) AS frame, round((v - base) / (hi - base + 1e-8), 6) AS scaled FROM trace JOIN q USING (cell)")
@@ -223,8 +225,7 @@ def peak_starting_at(spark, d):
 def _detected(spark, d):
     # Counts of events hold runs of zeros, which have no strict minima, so these traces are smoothed before they are detrended.
     figures = detrend.Minima(order=5)
-    flat = signals.transform(_traces(spark, d), ["cell"], lambda x: detrend.through_minima(signals.gaussian(x, 2.0), figures))
-    smooth = signals.transform(flat, ["cell"], lambda x: signals.gaussian(signals.noise_score(x), 2.0))
+    smooth = signals.transform(_traces(spark, d), ["cell"], lambda x: signals.gaussian(signals.noise_score(detrend.through_minima(signals.gaussian(x, 2.0), figures)), 2.0))
     return signals.detect(smooth, ["cell"], 0.5, 3, parents_only=True)
 
 
