@@ -43,3 +43,30 @@ def test_rows(spark):
     assert [(r.cell, r.frame, r.onset, r.offset, r.symmetry) for r in found.collect()] == [(1, 2, 1, 3, 1.0)]
     assert sorted(r.frame for r in signals.binary(found, ["cell"], 3).collect()) == [1, 2]
     assert signals.detect(traces.limit(0), ["cell"], 1.0).count() == 0
+
+
+def test_traces_are_filled_behind_the_shuffle(spark):
+    """Repeated and missing frames, frames outside and null keys; no spine of all frames is joined."""
+    rows = [(1, 2, 1.0), (1, 2, 2.0), (1, 5, None), (1, -1, 9.0), (2, 0, 4.0), (2, 7, 1.5), (3, 9, 1.0), (None, 1, 5.0)]
+    p = spark.createDataFrame(rows, "cell long, frame long, v double")
+    whole = signals.dense(p, ["cell"], "frame", "v")
+    assert {r["cell"]: r["values"] for r in whole.collect()} == {1: [0, 0, 3.0] + [0] * 7, 2: [4.0] + [0] * 6 + [1.5, 0, 0], 3: [0] * 9 + [1.0], None: [0] * 10}
+    assert {r["cell"]: r["values"] for r in signals.dense(p, ["cell"], "frame", "v", 6).collect()} == {1: [0, 0, 3.0, 0, 0, 0], 2: [4.0, 0, 0, 0, 0, 0], 3: [0] * 6, None: [0] * 6}
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and "explode" not in plan
+
+
+def test_workers_give_results_back_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([[float(i)] * 50 for i in range(100)])], names=["k", "values"])
+    monkeypatch.setattr(signals, "PIECE", 500)
+    sizes = [(part.num_rows, [list(x[:1]) for x in found]) for part, found in signals._pieces([batch])]
+    assert [n for n, _ in sizes] == [10] * 10 and sizes[3][1] == [[float(i)] for i in range(30, 40)]
+
+
+def test_scaled_traces_seek_their_ends_once(spark):
+    from tidewave.plans import traces
+
+    plan = traces.minmax_traces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min" in plan.split("Generate")[-1] and "array_min" not in plan.split("Generate")[0]
