@@ -126,3 +126,16 @@ def test_components_and_levels(spark):
     assert {r.node: r.label for r in graph.connected(frame).collect()} == {x: root(x) for x in parent}
     steps = {r.node: (r.level, r.parent) for r in graph.levels(spark.createDataFrame([(200,)], "node long"), frame).collect()}
     assert steps[200] == (0, None) and steps[207] == (7, 206) and len(steps) == 61
+
+
+def test_equal_growth_curves_are_fitted_once(spark, monkeypatch):
+    from tidewave.plans import archive
+
+    grown = [(root, i, y) for root in range(20) for i, y in enumerate((1, 2, 6, 9, 10))] + [(90, 0, 1), (90, 1, 2)]
+    monkeypatch.setattr(archive, "_growth", lambda spark, d: spark.createDataFrame(grown, "root long, i long, y long"))
+    found = archive.logistic_growth(spark, "")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("MapInArrow")[1] and "FlatMapGroups" not in plan
+    got = {r["root"]: (r["ceiling"], r["rate"], r["middle"]) for r in found.collect()}
+    assert got.pop(90) == (None, None, None)
+    assert got == dict.fromkeys(range(20), similarity.logistic_fit(np.arange(5.0), np.array([1.0, 2, 6, 9, 10])))
