@@ -230,3 +230,45 @@ def test_components_write_tables_that_shrink(spark, monkeypatch):
     found = {r["node"]: r["label"] for r in graph.connected(spark.createDataFrame(chain + star + loose, "a long, b long")).collect()}
     assert found == label
     assert sum(t.count() for t in written) < 9 * len(label)
+
+
+def test_distances_of_long_paths_take_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    edges = {(1, i, i + 1) for i in range(60)} | {(2, 7, 8), (2, 8, 7), (2, 6, 7)} | {(3, int(a), int(b)) for a, b in rng.integers(0, 30, (45, 2)) if a != b}
+    out, into = defaultdict(set), {(e, b) for e, _, b in edges}
+    for e, a, b in edges:
+        out[e, a].add(b)
+    starts = sorted({(e, a) for e, a, _ in edges} - into)
+    want = set()
+    for e, r in starts:
+        seen, level, steps = {r}, {r}, 0
+        while level:
+            want |= {(e, r, x, steps) for x in level}
+            level = {y for x in level for y in out[e, x]} - seen
+            seen, steps = seen | level, steps + 1
+    arcs, roots = spark.createDataFrame(sorted(edges), "event long, a long, b long"), spark.createDataFrame(starts, "event long, root long")
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: cuts.append(1) or cut(df))
+    assert {tuple(r) for r in graph.distances(roots, arcs).collect()} == want
+    assert len(cuts) <= 4
+    # Event 1 alone has 60 edges times roots, and takes a job a step.
+    assert {tuple(r) for r in graph.distances(roots, arcs, 59).collect()} == want
+
+
+def test_dense_peaks_do_not_look_back_over_the_whole_reach(spark, monkeypatch):
+    peaks = [(100 * f + c, c, "a", f, float(10 * (c // 2)), 0.0) for f in range(12) for c in range(8) if (f + c) % 3]
+    at = {c: float(10 * (c // 2)) for c in range(8)}
+    edges = {(a, b) for a in at for b in at if a != b and abs(at[a] - at[b]) <= 2}
+    met = []
+    within = spatial.within
+
+    def counted(left, right, radius, **k):
+        pairs = within(left, right, radius, **k)
+        met.append((k["lag"], pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(spatial, "within", counted)
+    p = spark.createDataFrame(peaks, "event_id long, cell long, dataset string, frame long, x double, y double")
+    got = [(r.cause_id, r.event_id) for r in communications.communications(p, None, 5, 2.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_communications(peaks, edges, 5)
+    assert {lag for lag, _ in met} == {(0, 0), (-5, -5), (-4, -1)}

@@ -13,6 +13,19 @@ def _by_edges(rows: DataFrame, other: DataFrame, edges: DataFrame, lo: int, hi:
     return joins.range_join(spans, other, ["other_cell", "dataset"], "lo", "hi", "other_frame", hi - lo + 1).drop("lo", "hi")
 
 
+def _earliest(near, rows: DataFrame, reach: int, key: str, pick) -> DataFrame:
+    """``pick`` of the peaks each ``key`` of ``rows`` meets 1 to ``reach`` frames before; all rows of a key have one frame.
+
+    The earliest frame wins, so only keys that find nothing ``reach`` frames before look at the frames behind it, and where peaks are dense
+    hardly any does.
+    """
+    found = graph.cut(pick(near(rows, -reach, -reach)))
+    if reach == 1:
+        return found
+    late = graph.cut(pick(near(rows.join(found.select(key), key, "left_anti"), 1 - reach, -1)))
+    return found.unionByName(late)
+
+
 def communications(peaks: DataFrame, edges: DataFrame | None, reach: int, radius: float | None = None) -> DataFrame:
     """(cause_id, event_id, cause_cell, cell, dataset, cause_frame, frame): every peak's cause, if it has one.
 
@@ -33,12 +46,16 @@ def communications(peaks: DataFrame, edges: DataFrame | None, reach: int, radius
     else:
         near = lambda rows, lo, hi: spatial.within(rows, other, radius, keys=["dataset"], times=("frame", "other_frame"), lag=(lo, hi)).filter("cell <> other_cell")
     pairs = graph.cut(near(p, 0, 0).select(F.col("event_id").alias("a"), F.col("other_id").alias("b"), F.col("cell").alias("rank")))
-    groups = graph.connected(pairs.select("a", "b"))
+    groups = graph.connected(pairs.filter("a < b").select("a", "b"))
     members = graph.cut(groups.toDF("event_id", "grp").join(p, "event_id"))
-    before = near(members, -reach, -1).groupBy("grp", "other_cell").agg(F.min("other_frame").alias("frame"))
-    outside = before.join(members.select("grp", F.col("cell").alias("other_cell")).distinct(), ["grp", "other_cell"], "left_anti")
-    first = outside.groupBy("grp").agg(F.min(F.struct("frame", "other_cell")).alias("o")).select("grp", "o.frame", F.col("o.other_cell").alias("cell"))
-    first = first.join(members.groupBy("grp").agg(F.min("dataset").alias("dataset")), "grp").join(p, ["dataset", "cell", "frame"])
+    own = members.select("grp", F.col("cell").alias("other_cell")).distinct()
+
+    def outside(met: DataFrame) -> DataFrame:
+        seen = met.groupBy("grp", "other_cell").agg(F.min("other_frame").alias("frame")).join(own, ["grp", "other_cell"], "left_anti")
+        return seen.groupBy("grp").agg(F.min(F.struct("frame", "other_cell")).alias("o")).select("grp", "o.frame", F.col("o.other_cell").alias("cell"))
+
+    sources = _earliest(near, members, reach, "grp", outside)
+    first = sources.join(members.groupBy("grp").agg(F.min("dataset").alias("dataset")), "grp").join(p, ["dataset", "cell", "frame"])
     origins = graph.cut(first.groupBy("grp", F.col("cell").alias("neighbour"), *[F.col(c).alias(f"{c}2") for c in place]).agg(F.min("event_id").alias("cause_id")))
     direct = members.join(origins, "grp")
     if radius is None:
@@ -51,11 +68,12 @@ def communications(peaks: DataFrame, edges: DataFrame | None, reach: int, radius
     found = graph.parents(direct.select("event_id").union(lone).withColumnRenamed("event_id", "node"), pairs)
     inner = found.filter("parent IS NOT NULL").select(F.col("node").alias("event_id"), F.col("parent").alias("cause_id"))
     alone = p.join(members.select("event_id"), "event_id", "left_anti")
-    rest = near(alone, -reach, -1).groupBy("event_id").agg(F.min(F.struct("other_frame", "other_id")).alias("m")).select("event_id", F.col("m.other_id").alias("cause_id"))
+    farthest = lambda met: met.groupBy("event_id").agg(F.min(F.struct("other_frame", "other_id")).alias("m")).select("event_id", F.col("m.other_id").alias("cause_id"))
+    rest = _earliest(near, alone, reach, "event_id", farthest)
     side = p.select(F.col("event_id").alias("cause_id"), F.col("cell").alias("cause_cell"), F.col("frame").alias("cause_frame"))
     links = direct.unionByName(inner).unionByName(rest)
     out = graph.cut(links.join(p, "event_id").join(side, "cause_id").select("cause_id", "event_id", "cause_cell", "cell", "dataset", "cause_frame", "frame"))
-    graph.release(p, pairs, groups, members, origins, direct, found, *([] if radius is not None else [edges]))
+    graph.release(p, pairs, groups, members, sources, origins, direct, found, rest, *([] if radius is not None else [edges]))
     return out
 
 
