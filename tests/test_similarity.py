@@ -139,3 +139,20 @@ def test_equal_growth_curves_are_fitted_once(spark, monkeypatch):
     got = {r["root"]: (r["ceiling"], r["rate"], r["middle"]) for r in found.collect()}
     assert got.pop(90) == (None, None, None)
     assert got == dict.fromkeys(range(20), similarity.logistic_fit(np.arange(5.0), np.array([1.0, 2, 6, 9, 10])))
+
+
+def test_growth_of_hulls_takes_the_outer_points_of_columns_only(spark, monkeypatch):
+    from tidewave.plans import archive
+
+    rng = np.random.default_rng(4)
+    rows = [(e, int(rng.integers(0, 25)), 10.0 * int(rng.integers(0, 5)), 10.0 * int(rng.integers(0, 40))) for e in range(12) for _ in range(5 * e + 1)]
+    rows += [(90, t, 10.0, 10.0 * t) for t in range(30)] + [(91, t, 10.0 * t, 20.0 * t) for t in range(9)] + [(91, 9, 0.0, 10.0), (91, 14, 0.0, 0.0)]
+    want = {}
+    for e in {r[0] for r in rows}:
+        at = sorted({r[1] for r in rows if r[0] == e})
+        areas = [(t, similarity.hull_area(np.array([r[2:] for r in rows if r[0] == e and r[1] <= t]))) for t in at]
+        grown = [x for x in areas if x[1] > 0]
+        want[e] = (areas[-1][1], (grown[-1][1] - grown[0][1]) / (grown[-1][0] - grown[0][0]) if len(grown) > 1 else 0.0)
+    p = spark.createDataFrame(rows, "root long, frame long, x double, y double")
+    got = {r.root: (r.area, r.speed) for r in archive._hull_growth(p).collect()}
+    assert got == want
