@@ -114,3 +114,13 @@ def test_causes_on_a_grid_of_negative_cells(spark):
             want[i] = min(near)[1]
     found = joins.farthest_back_on_grid(spark.createDataFrame(rows, "event_id long, cell long, dataset string, frame long"), 15)
     assert {r.event_id: r.cause_id for r in found.collect()} == want
+
+
+def test_kruskal_of_more_rows_than_a_long_holds_the_cube_of(spark):
+    rows = spark.range(2_200_000).selectExpr("id % 3 AS g", "(id * id) % 7 + if(id % 3 = 0, id % 2, 0) AS v")
+    n = np.array([[r["n"] for r in sorted(rows.groupBy("v").pivot("g", [0, 1, 2]).count().na.fill(0).selectExpr("v", "array(`0`, `1`, `2`) AS n").collect())]], float)[0]
+    ties, size = n.sum(axis=1), n.sum()
+    mid = np.cumsum(ties) - ties + (ties + 1) / 2
+    h = (12 / (size * (size + 1)) * ((mid @ n) ** 2 / n.sum(axis=0)).sum() - 3 * (size + 1)) / (1 - (ties**3 - ties).sum() / (size**3 - size))
+    found = stats.kruskal(rows, "g", "v").first()
+    assert (found["n"], found["k"]) == (2_200_000, 3) and found["h"] == pytest.approx(h, rel=1e-9)

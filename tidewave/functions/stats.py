@@ -101,7 +101,8 @@ def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:
     per = ranks.groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mid")).alias("r"))
     ties = ranks.select(value, "ties").distinct().agg(F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("t"))
     total = per.agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count("*").alias("k")).crossJoin(ties)
-    n = F.col("n")
+    # As a number of double precision: the cube of two million rows is no long.
+    n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("t") / (n * n * n - n))
     return total.select(F.round(h, 6).alias("h"), "n", F.col("k").alias("k"))
 
