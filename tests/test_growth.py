@@ -124,3 +124,18 @@ def test_kruskal_of_more_rows_than_a_long_holds_the_cube_of(spark):
     h = (12 / (size * (size + 1)) * ((mid @ n) ** 2 / n.sum(axis=0)).sum() - 3 * (size + 1)) / (1 - (ties**3 - ties).sum() / (size**3 - size))
     found = stats.kruskal(rows, "g", "v").first()
     assert (found["n"], found["k"]) == (2_200_000, 3) and found["h"] == pytest.approx(h, rel=1e-9)
+
+
+def test_pair_distances_take_no_row_a_pair(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    even = np.array([(10.0 * x, 10.0 * y) for x, y in rng.integers(0, [4, 90], (300, 2))])
+    odd = np.vstack((rng.normal(size=(40, 2)), rng.normal(size=(5, 2)).repeat(3, axis=0)))
+    seen = []
+    monkeypatch.setattr(stats, "AT_ONCE", 7)
+    for points in (even, even[:, ::-1], odd):
+        d = np.hypot(*(points[:, None] - points).transpose(2, 0, 1))[np.triu_indices(len(points), 1)]
+        found = stats.pair_distances(spark.createDataFrame(points.tolist(), "x double, y double"))
+        assert tuple(found.first()) == pytest.approx((d.mean(), d.max()), abs=1e-6)
+        seen.append(found._jdf.queryExecution().toString())
+    assert not any("explode" in s.lower() for s in seen) and stats._column_distances(0.0, [{"v": 1.0, "n": 2}], [{"v": 1.0, "n": 2}]) == (0.0, 0.0)
+    assert tuple(stats.pair_distances(spark.createDataFrame([(1.0, 2.0)], "x double, y double")).first()) == (None, None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,21 +68,51 @@ def iqr_split(rows: DataFrame, value: str, groups: list[str], k_lower: float, k_
 def pair_distances(points: DataFrame) -> DataFrame:
     """(mean_distance, max_distance) over all pairs of ``points`` (x, y).
 
-    Pairs are formed of distinct offsets, not of points: points are counted by place, places by row of the plane. A plane of n rows
-    and m columns has at most n * m offsets, however many points lie there.
+    Points are counted by place, and places held by columns, the lines along the axis with fewer different values. Two columns are met at a time,
+    and pairs of them counted by their offset, so n places of a column and of another take n log n steps, however many points lie there, and are
+    never rows. Columns whose places are not on even steps are compared place by place. Without a pair both are null.
     """
-    places = points.groupBy("x", "y").agg(F.count("*").alias("n"))
-    rows = places.groupBy("y").agg(F.collect_list(F.struct("x", "n")).alias("held"))
-    a, b = rows.toDF("ay", "a_held"), rows.toDF("by", "b_held")
-    pairs = a.join(F.broadcast(b), F.col("ay") <= F.col("by"))
-    offsets = F.flatten(F.transform("a_held", lambda p: F.transform("b_held", lambda q: F.struct(F.abs(p["x"] - q["x"]).alias("dx"), (p["n"] * q["n"]).alias("n")))))
-    met = pairs.select((F.col("by") - F.col("ay")).alias("dy"), F.explode(offsets).alias("o")).select("dy", "o.*")
-    # Within one row each pair is met twice, and each place with itself.
-    weight = F.when(F.col("dy") == 0, F.when(F.col("dx") == 0, 0.0).otherwise(F.col("n") / 2)).otherwise(F.col("n").cast("double"))
-    dist, total = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2), F.count("*")
-    size = points.agg(total.alias("k"))
-    sums = met.agg(F.sum(weight * dist).alias("s"), F.max(dist).alias("m")).crossJoin(F.broadcast(size))
-    return sums.select(F.round(F.col("s") / (F.col("k") * (F.col("k") - 1) / 2), 6).alias("mean_distance"), F.round("m", 6).alias("max_distance"))
+    places = cut(points.groupBy("x", "y").agg(F.count("*").alias("n")))
+    size = places.agg(F.sum("n").alias("k"), F.countDistinct("x").alias("x"), F.countDistinct("y").alias("y")).first()
+    of, along = ("x", "y") if size["x"] <= size["y"] else ("y", "x")
+    columns = places.groupBy(F.col(of).cast("double").alias("at")).agg(F.array_sort(F.collect_list(F.struct(F.col(along).cast("double").alias("v"), "n"))).alias("held"))
+
+    @F.pandas_udf("s double, m double")
+    def met(dx: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_column_distances(d, p, q) for d, p, q in zip(dx, a, b)], columns=["s", "m"])
+
+    # Few rows hold much work, so they are dealt to as many tasks as shuffles have.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = columns.toDF("a", "p").join(F.broadcast(columns.toDF("b", "q")), F.col("a") <= F.col("b")).repartition(tasks, "a", "b")
+    sums = pairs.select(met(F.col("b") - F.col("a"), "p", "q").alias("o")).agg(F.sum("o.s").alias("s"), F.max("o.m").alias("m"))
+    k = size["k"] or 0
+    some = lambda c: F.round(F.when(F.lit(k > 1), c), 6)
+    return sums.select(some(F.col("s") / max(k * (k - 1) / 2.0, 1.0)).alias("mean_distance"), some(F.col("m")).alias("max_distance"))
+
+
+#: Steps a column may span for each of its places, to be laid out on them, and pairs of places compared at once otherwise.
+SPARSE, AT_ONCE = 64, 1 << 20
+
+
+def _column_distances(dx: float, p, q) -> tuple[float, float]:
+    """(sum, greatest) of the distances of the points of two columns ``dx`` apart, each a list of (v, n): places and points there. Pairs within one column count once."""
+    (v, n), (w, m) = (np.array([(r["v"], r["n"]) for r in side], float).T for side in (p, q))
+    far = float(np.hypot(dx, max(v[-1] - w[0], w[-1] - v[0])))
+    first, steps = min(v[0], w[0]), np.unique(np.concatenate((np.diff(v), np.diff(w), [abs(v[0] - w[0])])))
+    unit = steps[steps > 0].min(initial=np.inf)
+    i, j = (v - first) / unit, (w - first) / unit
+    span = int(max(i[-1], j[-1])) + 1
+    # Counts come out of transforms as whole numbers as long as they are far below the places of a double.
+    if (i == np.floor(i)).all() and (j == np.floor(j)).all() and span <= SPARSE * (len(v) + len(w)) and n.sum() * m.sum() < 1 << 44:
+        a, b = np.zeros(2 * span), np.zeros(2 * span)
+        a[i.astype(int)], b[j.astype(int)] = n, m
+        counts = np.rint(np.fft.irfft(np.fft.rfft(b) * np.conj(np.fft.rfft(a)), 2 * span))
+        off = np.minimum(np.arange(2 * span), 2 * span - np.arange(2 * span)) * (unit if np.isfinite(unit) else 0.0)
+        total = float((counts * np.hypot(dx, off)).sum())
+    else:
+        rows = max(1, AT_ONCE // len(w))
+        total = float(sum(n[k : k + rows] @ np.hypot(dx, v[k : k + rows, None] - w) @ m for k in range(0, len(v), rows)))
+    return (total / 2 if dx == 0 else total), far
 
 
 def mid_ranks(rows: DataFrame, group: str, value: str) -> DataFrame:
