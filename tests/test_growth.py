@@ -139,3 +139,22 @@ def test_pair_distances_take_no_row_a_pair(spark, monkeypatch):
         seen.append(found._jdf.queryExecution().toString())
     assert not any("explode" in s.lower() for s in seen) and stats._column_distances(0.0, [{"v": 1.0, "n": 2}], [{"v": 1.0, "n": 2}]) == (0.0, 0.0)
     assert tuple(stats.pair_distances(spark.createDataFrame([(1.0, 2.0)], "x double, y double")).first()) == (None, None)
+
+
+def test_traces_are_not_copied_to_more_and_more_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    traces = rng.random((150, 6)).round(2)
+    t = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(traces)], "cell long, values array<double>")
+    for name, value in {"BLOCK": 2, "SIDE": 5, "PIECE": 8}.items():
+        monkeypatch.setattr(archive, name, value)
+    monkeypatch.setattr(archive, "_daily", lambda spark, d: t)
+    assert archive._met(t).count() == 5 * 150
+    want = {(7 * i, 7 * j): round(m, 6) for i, row in enumerate(similarity.cosine(traces, traces)) for j, m in enumerate(row) if i <= j}
+    got = [((r.cell_a, r.cell_b), r.similarity) for r in archive._similar(spark, "", similarity.cosine).collect()]
+    assert len(got) == len(want) and dict(got) == pytest.approx(want, abs=2e-6)
+    m = similarity.cosine(traces, traces) >= 0.97
+    pairs = spark.createDataFrame([(7 * int(i), 7 * int(j)) for i, j in zip(*np.nonzero(m))], "a long, b long")
+    dense = {r.cell: r.label for r in archive.density_clusters(pairs, t.select("cell"), 4).collect()}
+    assert {r.cell: r.label for r in archive.dense_traces(t, similarity.cosine, 0.97, 4).collect()} == dense
+    monkeypatch.setattr(archive, "MOST", 10)
+    assert archive._met(t).count() == 15 * 150
