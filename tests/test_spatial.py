@@ -272,3 +272,25 @@ def test_dense_peaks_do_not_look_back_over_the_whole_reach(spark, monkeypatch):
     got = [(r.cause_id, r.event_id) for r in communications.communications(p, None, 5, 2.0).collect()]
     assert len(got) == len(set(got)) and set(got) == plain_communications(peaks, edges, 5)
     assert {lag for lag, _ in met} == {(0, 0), (-5, -5), (-4, -1)}
+
+
+@pytest.mark.parametrize("reach", [1, 6])
+def test_frames_taken_whole_write_no_pairs(spark, monkeypatch, reach):
+    """Communications of crowded frames are those of the plain loop, and no table between the steps is longer than the peaks."""
+    for seed, spread, cells, frames in ((5, 8, 16, 40), (6, 30, 60, 12), (7, 4, 25, 10)):
+        rng = np.random.default_rng(seed)
+        at = {c: (float(rng.uniform(0, spread)), float(rng.uniform(0, spread))) for c in range(cells)}
+        at[3] = (float("nan"), 0.0)
+        edges = {(a, b) for a in at for b in at if a != b and (at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2 <= 4.0}
+        ids = rng.permutation(300) + (1 << 60)
+        peaks = [(int(i), int(rng.integers(0, cells)), "ab"[int(rng.integers(0, 2))], int(rng.integers(0, frames))) for i in ids]
+        p = spark.createDataFrame([(*q, *at[q[1]]) for q in peaks], "event_id long, cell long, dataset string, frame long, x double, y double")
+        written, cut = [], graph.cut
+        monkeypatch.setattr(communications, "FEW", 0)
+        monkeypatch.setattr(graph, "cut", lambda df: (lambda t: written.append(t.count()) or t)(cut(df)))
+        found = [tuple(r) for r in communications.communications(p, None, reach, 2.0).collect()]
+        monkeypatch.setattr(graph, "cut", cut)
+        by_id = {q[0]: q for q in peaks}
+        assert len(found) == len({r[:2] for r in found}) and {r[:2] for r in found} == plain_communications(peaks, edges, reach)
+        assert all((by_id[a][1], by_id[b][1], by_id[b][2], by_id[a][3], by_id[b][3]) == tuple(rest) for a, b, *rest in found)
+        assert max(written) <= 300

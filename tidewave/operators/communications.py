@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.functions import planar
 from tidewave.operators import graph, joins, spatial
 
+#: Peaks of the fullest frame above which frames are taken whole; below, a task a frame costs more than a table of the few pairs.
+FEW = 16
+
 
 def _by_edges(rows: DataFrame, other: DataFrame, edges: DataFrame, lo: int, hi: int) -> DataFrame:
     spans = rows.join(edges, "cell").withColumns({"lo": F.col("frame") + lo, "hi": F.col("frame") + hi}).withColumnRenamed("neighbour", "other_cell")
@@ -36,9 +42,16 @@ def communications(peaks: DataFrame, edges: DataFrame | None, reach: int, radius
     frames before. That peak is linked to the members next to it; without one, the group's first member (by cell, id) is its root. Other
     members are reached breadth-first, from the neighbour of the level before with the least cell and id. Peaks in no group are caused by
     the neighbour's peak farthest back within ``reach``. Tables are cut between the steps and deleted, but for the one returned.
+
+    With ``radius`` and more than ``FEW`` peaks in a frame there is no table of pairs, which grow with the square of the peaks of a frame: frames are taken
+    whole by ``_by_frames``.
     """
     place = [] if radius is None else ["x", "y"]
     p = graph.cut(peaks.select("event_id", "cell", "dataset", "frame", *place))
+    if radius is not None and (p.groupBy("dataset", "frame").count().agg(F.max("count")).first()[0] or 0) > FEW:
+        out = _by_frames(p, reach, radius)
+        graph.release(p)
+        return out
     other = p.select(F.col("event_id").alias("other_id"), F.col("cell").alias("other_cell"), "dataset", F.col("frame").alias("other_frame"), *[F.col(c).alias(f"{c}2") for c in place])
     if radius is None:
         edges = graph.cut(edges.select("cell", "neighbour"))
@@ -77,6 +90,72 @@ def communications(peaks: DataFrame, edges: DataFrame | None, reach: int, radius
     return out
 
 
+def _causes(xy: np.ndarray, cell: np.ndarray, ids: np.ndarray, frame: np.ndarray, start: int, reach: int, radius: float) -> np.ndarray:
+    """For each peak the number of its cause, or -1, as far as its frame is ``start`` or a later one; peaks are in order of frame, cell and id."""
+    at = np.full(len(ids), -1)
+    kinds, code = np.unique(cell, return_inverse=True)
+    span = lambda f: slice(*np.searchsorted(frame, [f, f + 1]))
+    for f in np.unique(frame[frame >= start]):
+        now, n = span(f), int((frame == f).sum())
+        place, own = xy[now], cell[now]
+        same = planar.Near(place, place, radius, (own, own))
+        label, member = planar.components(same), same.degrees() > 0
+        held = np.unique((label * len(kinds) + code[now])[member])
+        cause, source, left = np.full(n, -1), np.full(n, -1), np.full(n, True)
+        for lag in range(reach, 0, -1):
+            before, asked = span(f - lag), np.flatnonzero(left)
+            m = before.stop - before.start
+            if not m or not len(asked):
+                continue
+            met = planar.Near(place[asked], xy[before], radius, (own[asked], cell[before]))
+            # Of a peak in no group, the least id before it.
+            order = np.argsort(ids[before])
+            rank = np.empty(m, np.int64)
+            rank[order] = np.arange(m)
+            first = met.least(rank, m)
+            found = ~member[asked] & (first < m)
+            cause[asked[found]] = before.start + order[first[found]]
+            # Of a group, the least cell outside it: peaks are in order of cells, of each the one of least id first.
+            best = np.full(n, m)
+            for rows, starts, cols in met if member[asked].any() else ():
+                row = asked[np.repeat(rows, np.diff(np.append(starts, len(cols))))]
+                used = member[row]
+                row, col = label[row[used]], cols[used]
+                out = ~np.isin(row * len(kinds) + code[before][col], held)
+                np.minimum.at(best, row[out], col[out])
+            best = best[label]
+            some = member & (best < m)
+            source[some] = before.start + np.searchsorted(cell[before], cell[before][best[some]], "left")
+            left[asked[found]], left[some] = False, False
+        dx, dy = (place - xy[source]).T
+        direct = (source >= 0) & (dx * dx + dy * dy <= float(radius) ** 2)
+        cause[direct] = source[direct]
+        parent = planar.parents(same, direct | (member & (source < 0) & (label == np.arange(n))))
+        cause[parent >= 0] = now.start + parent[parent >= 0]
+        at[now] = cause
+    return at
+
+
+def _by_frames(p: DataFrame, reach: int, radius: float) -> DataFrame:
+    """``communications`` of peaks ``p`` with places: a task holds ``reach`` frames of a recording and as many before them, finds groups, causes and parents
+    there, and hands on links; no pair is ever a row, and a peak is sent twice."""
+    known = p.filter("dataset IS NOT NULL AND frame IS NOT NULL AND cell IS NOT NULL")
+    block = F.floor(F.col("frame") / reach)
+    dealt = known.withColumn("block", F.explode(F.array(block, block + 1)))
+
+    def causes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["frame", "cell", "event_id"], ignore_index=True)
+        cell, ids, frame = (rows[c].to_numpy() for c in ("cell", "event_id", "frame"))
+        at = _causes(rows[["x", "y"]].to_numpy(float), cell, ids, frame, int(key[1]) * reach, reach, radius)
+        to, by = np.flatnonzero(at >= 0), at[at >= 0]
+        return pd.DataFrame({"cause_id": ids[by], "event_id": ids[to], "cause_cell": cell[by], "cell": cell[to], "dataset": key[0], "cause_frame": frame[by], "frame": frame[to]})
+
+    # As many tasks as shuffles have: the work of a block is not in its bytes.
+    tasks = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "cause_id long, event_id long, cause_cell long, cell long, dataset string, cause_frame long, frame long"
+    return graph.cut(dealt.repartition(tasks, "dataset", "block").groupBy("dataset", "block").applyInPandas(causes, kinds))
+
+
 def events(links: DataFrame, least: int = 2) -> DataFrame:
     """``links`` with ``event``: the least peak of each component over cause and effect that has ``least`` peaks or more."""
     labels = graph.connected(links.select(F.col("cause_id").alias("a"), F.col("event_id").alias("b")))

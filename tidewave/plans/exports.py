@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewave.functions import binning, signals
 from tidewave.operators import communications, graph, metrics
+from tidewave.operators import spatial as operators
 from tidewave.plans import spatial
 from tidewave.plans.catalog import _PEAKS, query
 from tidewave.plans.traces import _TOPS, _smooth
@@ -36,7 +37,6 @@ class Recorded:
     """What the published tables are made of, each cut once: cells, detected peaks, waves, links of the rest, cascades with members and origins."""
 
     cells: DataFrame
-    near: DataFrame
     found: DataFrame
     waves: DataFrame
     comms: DataFrame
@@ -48,7 +48,6 @@ class Recorded:
 def recorded(spark, d) -> Recorded:
     """Peaks are detected on the smoothed traces, waves taken out first, then cascades linked among what is left."""
     cells = graph.cut(spatial.spots(spark, d))
-    near = graph.cut(spatial.edges(spark, d))
     raw = signals.detect(_smooth(spark, d), ["cell"], PROMINENCE, part=0.5, base_part=0.9)
     whole = {n: F.col(c).cast("long") for n, c in (("frame", "frame"), ("start", "onset"), ("stop", "offset"), ("base_on", "base_onset"), ("base_off", "base_offset"), ("peak_id", "peak_id"))}
     found = raw.withColumns(whole).withColumn("event_id", F.col("cell") * FRAMES + F.col("frame")).select("event_id", "peak_id", "cell", F.lit("all").alias("dataset"), "frame", "height", F.col("prominence").alias("depth"), "start", "stop", "base_on", "base_off")
@@ -58,12 +57,12 @@ def recorded(spark, d) -> Recorded:
     rest = placed.join(waves.select(F.col("id").alias("event_id")), "event_id", "left_anti")
     comms = communications.communications(rest, None, spatial.REACH, spatial.NEAR)
     links = communications.events(comms, spatial.LEAST)
-    links = graph.cut(links.join(near.select(F.col("cell").alias("cause_cell"), F.col("neighbour").alias("cell"), F.sqrt("squared").alias("distance")), ["cause_cell", "cell"]))
+    links = graph.cut(spatial.apart(links, cells).withColumn("distance", F.sqrt("squared")).drop("squared"))
     ends = F.array(F.struct(F.col("cause_id").alias("id"), F.col("cause_cell").alias("cell"), F.col("cause_frame").alias("frame")), F.struct(F.col("event_id").alias("id"), F.col("cell"), F.col("frame")))
     members = graph.cut(links.select("event", F.explode(ends).alias("s")).select("event", "s.*").distinct().join(cells, "cell"))
     seen = members.groupBy("event", F.col("cell").alias("o_cell")).agg(F.min("frame").alias("o_frame"))
     source = communications.origins(links).select("event", F.col("origin_cell").alias("o_cell")).join(seen, ["event", "o_cell"]).join(cells.toDF("o_cell", "ox", "oy"), "o_cell")
-    return Recorded(cells, near, found, waves, comms, links, members, graph.cut(source))
+    return Recorded(cells, found, waves, comms, links, members, graph.cut(source))
 
 
 @query(f"""{_RECORDED}, k AS (SELECT n.*, w.event AS wave, w.caused, m.event AS cascade FROM numbered n LEFT JOIN waves w USING (event_id) LEFT JOIN crew m ON m.id = n.event_id)
@@ -102,7 +101,7 @@ def cells_export(spark, d):
     early = first.withColumns({"r": F.row_number().over(e.orderBy("at")), "n": F.count("*").over(e)}).filter(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") / 4))).groupBy("cell").agg(F.count("*").alias("n_early"), F.collect_list("event").alias("early_events"))
     parts = [
         base, early, r.waves.groupBy("cell").agg(F.countDistinct("event").alias("n_global")), r.members.groupBy("cell").agg(F.countDistinct("event").alias("n_sequential")),
-        r.source.groupBy(F.col("o_cell").alias("cell")).agg(F.count("*").alias("n_origin")), r.near.groupBy("cell").agg(F.collect_set("neighbour").alias("neighbours")),
+        r.source.groupBy(F.col("o_cell").alias("cell")).agg(F.count("*").alias("n_origin")), operators.neighbour_lists(r.cells, spatial.NEAR).select("cell", "neighbours"),
     ]
     k = r.cells
     for part in parts:
