@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewave.functions import planar
 from tidewave.operators import communications, graph, spatial
 
 
@@ -294,3 +295,20 @@ def test_frames_taken_whole_write_no_pairs(spark, monkeypatch, reach):
         assert len(found) == len({r[:2] for r in found}) and {r[:2] for r in found} == plain_communications(peaks, edges, reach)
         assert all((by_id[a][1], by_id[b][1], by_id[b][2], by_id[a][3], by_id[b][3]) == tuple(rest) for a, b, *rest in found)
         assert max(written) <= 300
+
+
+def test_followers_and_flags_of_peaks_need_no_shuffle_of_pairs(spark):
+    rng = np.random.default_rng(21)
+    for spread in (4, 40):
+        rows = [(i, "ab"[i % 2], int(rng.integers(-20, 40)), *map(float, rng.uniform(0, spread, 2))) for i in range(300)] + [(900, "a", 3, float("nan"), 0.0)]
+        p = spark.createDataFrame(rows, "event_id long, dataset string, frame long, x double, y double")
+        found = spatial.followers(p, 3.0, 6)
+        want = {(a[0], b[0], b[2] - a[2]) for a in rows for b in rows if a[1] == b[1] and 1 <= b[2] - a[2] <= 6 and (a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2 <= 9}
+        got = [(r.a_id, r.b_id, r.lag) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+        own = sorted((r for r in rows if r[1] == "a"), key=lambda r: r[2])
+        met, caused = planar.flags(np.array([r[3:] for r in own]), np.array([r[2] for r in own]), 3.0, 6)
+        ends = {i for a, b, _ in want for i in (a, b)}
+        assert {r[0] for r, f in zip(own, met) if f} == {r[0] for r in own} & ends
+        assert {r[0] for r, f in zip(own, caused) if f} == {r[0] for r in own} & {b for _, b, _ in want}
