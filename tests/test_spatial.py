@@ -312,3 +312,16 @@ def test_followers_and_flags_of_peaks_need_no_shuffle_of_pairs(spark):
         ends = {i for a, b, _ in want for i in (a, b)}
         assert {r[0] for r, f in zip(own, met) if f} == {r[0] for r in own} & ends
         assert {r[0] for r, f in zip(own, caused) if f} == {r[0] for r in own} & {b for _, b, _ in want}
+
+
+@pytest.mark.parametrize("full", [7, 4096])
+def test_neighbour_lists_shuffle_no_pairs(spark, full):
+    rng = np.random.default_rng(22)
+    rows = [(i, *map(float, rng.normal(size=2) * s)) for i, s in zip(rng.permutation(200) + (1 << 55), [3.0, 60.0] * 100)] + [(5, float("nan"), 0.0), (6, None, 1.0), (7, 1e300, 0.0)]
+    rows = [(int(c), x, y) for c, x, y in rows]
+    found = spatial.neighbour_lists(spark.createDataFrame(rows, "cell long, x double, y double"), 4.0, full)
+    near = lambda p, q: p[0] != q[0] and finite((0, 0, 0, *p[1:])) and finite((0, 0, 0, *q[1:])) and (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= 16
+    want = {p[0]: sorted(q[0] for q in rows if near(p, q)) for p in rows}
+    got = found.collect()
+    assert len(got) == len(rows) and {r.cell: r.neighbours for r in got} == want and all(r.n_neighbours == len(r.neighbours) for r in got)
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
